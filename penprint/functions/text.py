@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ WORD_CLASS = r"\p{L}\p{N}_"
 WORD = f"[{WORD_CLASS}]+"
 NOT_AFTER_WORD = f"(?<![{WORD_CLASS}])"
 NOT_BEFORE_WORD = f"(?![{WORD_CLASS}])"
+NUMBER = r"^\p{N}+$"
 TERMINATORS = "[.!?]+"
 SENTENCE_WITH_END = "[^.!?]+[.!?]*"
 
@@ -137,15 +140,25 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), groups - silent)
 
 
+def has_ending(word: Column, before: int, endings: list[str]) -> Column:
+    """The word ends in one of the endings with at least ``before`` characters in front."""
+    hits = [word.endswith(e) & (F.length(word) >= len(e) + before) for e in endings]
+    return reduce(lambda a, b: a | b, hits)
+
+
+def closed_class(word: Column) -> Column:
+    return word.isin([w for words in lx.POS_WORDS.values() for w in words])
+
+
 def pos_tag(word: Column) -> Column:
-    """Tag of a lower-cased word: closed classes first, then endings, else a noun."""
-    tag = None
+    """Tag of a lower-cased word: closed classes first, then numbers and endings, else a noun."""
+    listed = None
     for name, terms in lx.POS_WORDS.items():
-        tag = F.when(word.isin(terms), name) if tag is None else tag.when(word.isin(terms), name)
-    tag = tag.when(~word.rlike(WORD), "PUNCT")
-    for name, pattern in lx.POS_SUFFIXES:
-        tag = tag.when(word.rlike(pattern), name)
-    return tag.otherwise("NOUN")
+        listed = F.when(word.isin(terms), name) if listed is None else listed.when(word.isin(terms), name)
+    tag = F.when(closed_class(word), listed)
+    for name, before, endings in lx.POS_ENDINGS:
+        tag = tag.when(has_ending(word, before, endings), name)
+    return tag.when(word.rlike(NUMBER), "NUM").when(~word.rlike(WORD), "PUNCT").otherwise("NOUN")
 
 
 def verb_tense(word: Column, pos: Column) -> Column:

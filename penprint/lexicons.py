@@ -93,12 +93,12 @@ POS_WORDS = {
 }
 POS_WORDS = {tag: terms.split() for tag, terms in POS_WORDS.items()}
 
-# Endings tried in this order for words of no closed class; the rest are nouns.
-POS_SUFFIXES = [
-    ("NUM", r"^\p{N}+$"),
-    ("ADV", r".ly$"),
-    ("ADJ", r".(ous|ful|less|able|ible|ive|ish|al|ic)$"),
-    ("VERB", r"..(ing|ed|ize|ise|ify|ate)$"),
+# Endings tried in this order for words of no closed class, with the least number of characters
+# before the ending; the rest are nouns.
+POS_ENDINGS = [
+    ("ADV", 1, ["ly"]),
+    ("ADJ", 1, ["ous", "ful", "less", "able", "ible", "ive", "ish", "al", "ic"]),
+    ("VERB", 2, ["ing", "ed", "ize", "ise", "ify", "ate"]),
 ]
 
 PAST_VERBS = ["said", "told", "went", "came", "saw", "felt", "made", "took", "gave", "found", "knew", "thought"]
@@ -154,14 +154,24 @@ CATEGORIES = {
 }
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
+    """A small table written as literals, so that Spark knows its size when it picks a join."""
+
+    def literal(value) -> str:
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in schema.items())
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(schema)})")
+
+
 def lexicon_table(spark: SparkSession) -> DataFrame:
     """All lists as ``(category, term, match_kind)``."""
     rows = [(c, t, kind) for c, (terms, kind) in CATEGORIES.items() for t in terms]
-    return spark.createDataFrame(rows, "category string, term string, match_kind string")
+    return literal_table(spark, rows, {"category": "string", "term": "string", "match_kind": "string"})
 
 
 def sentiment_table(spark: SparkSession) -> DataFrame:
     """``(term, valence, polarity, subjectivity, emotion)``; tenths and hundredths as integers."""
-    return spark.createDataFrame(
-        SENTIMENT, "term string, valence bigint, polarity bigint, subjectivity bigint, emotion string"
-    )
+    schema = {"term": "string", "valence": "bigint", "polarity": "bigint", "subjectivity": "bigint", "emotion": "string"}
+    return literal_table(spark, SENTIMENT, schema)

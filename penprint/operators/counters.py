@@ -47,15 +47,15 @@ def mark_counts(text: Column) -> dict[str, Column]:
     return out
 
 
-def pattern_counts(text: Column) -> dict[str, Column]:
-    """Counts of voice, tense, case and question patterns."""
+def pattern_counts(text: Column, low: Column) -> dict[str, Column]:
+    """Counts of voice, tense, case and question patterns; ``low`` is the lower-cased text."""
     asking = F.filter(
         F.regexp_extract_all(text, F.lit(ASKING_SENTENCE), F.lit(0)),
         lambda s: s.rlike(tx.any_of(lx.RHETORICAL)),
     )
     return {
         "n_passive": F.regexp_count(text, F.lit(PASSIVE)),
-        "n_will": tx.count_of(F.lower(text), "will "),
+        "n_will": tx.count_of(low, "will "),
         "n_contractions": F.when(F.contains(text, F.lit("'")), F.regexp_count(text, F.lit(CONTRACTION))).otherwise(0),
         "n_all_caps": F.regexp_count(text, F.lit(ALL_CAPS)),
         "n_title_case": F.regexp_count(text, F.lit(TITLE_CASE)),
@@ -95,16 +95,16 @@ def text_counters(df: DataFrame, author: str = "author", text: str = "text") ->
 
     The markers that occur anywhere in the text are kept as one bit each.
     """
-    t = F.col(text)
-    bits = {f"{name}_bits": _marker_bits(t, terms) for name, terms in MARKER_LISTS.items()}
-    return df.select(author, *_as_bigint({**mark_counts(t), **pattern_counts(t), **bits}))
+    t, low = F.col(text), F.col("__low")
+    bits = {f"{name}_bits": _marker_bits(low, terms) for name, terms in MARKER_LISTS.items()}
+    both = df.select(author, text, F.lower(t).alias("__low"))
+    return both.select(author, *_as_bigint({**mark_counts(t), **pattern_counts(t, low), **bits}))
 
 
 MARKER_LISTS = {"discourse": lx.DISCOURSE, "politeness": lx.POLITENESS}
 
 
-def _marker_bits(text: Column, terms: list[str]) -> Column:
-    low = F.lower(text)
+def _marker_bits(low: Column, terms: list[str]) -> Column:
     bits = [F.when(F.contains(low, F.lit(m)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, m in enumerate(terms)]
     return reduce(lambda a, b: a + b, bits)
 
@@ -260,9 +260,8 @@ def word_counters(vocabulary: DataFrame, lexicon: DataFrame | None = None, autho
 
 def _member_bit(word: Column, terms: list[str]) -> Column:
     place = F.array_position(F.array(*[F.lit(t) for t in terms]), word)
-    return F.when(word.isin(terms), F.shiftleft(F.lit(1).cast("bigint"), (place - 1).cast("int"))).otherwise(
-        F.lit(0).cast("bigint")
-    )
+    bits = F.array(*[F.lit(1 << i).cast("bigint") for i in range(len(terms))])
+    return F.when(word.isin(terms), F.get(bits, (place - 1).cast("int"))).otherwise(F.lit(0).cast("bigint"))
 
 
 def seam_counters(df: DataFrame, author: str = "author", seq: str = "seq", text: str = "text") -> DataFrame:

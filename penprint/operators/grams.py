@@ -68,37 +68,53 @@ def _with_units(df: DataFrame, units: list[str], text: str, keep: list[str]) ->
     return staged.withColumn("__char", tx.char_list(F.col("__char")))
 
 
-def _inside(df: DataFrame, kinds: list[Kind], author: str, seq: str, text: str) -> DataFrame:
-    """Every n-gram that lies within one text: ``(author, kind, term, first)``.
+def _word_grams(df: DataFrame, kinds: list[Kind], author: str, seq: str, text: str) -> DataFrame:
+    """Every word n-gram that lies within one text: ``(author, kind, term, n, first)``.
 
-    Items are exploded with their place and each n-gram is read off the array next to it, so that
-    the whole path up to the task's own counting is generated code.
+    Words are exploded with their place and each n-gram is read off the array next to it, so that
+    the whole path up to the task's own counting is generated code. ``kind`` is a place in the
+    list of kinds, to keep the grouping key short.
     """
-    parts = []
-    for unit in sorted({kind.unit for kind in kinds}):
-        mine = [kind for kind in kinds if kind.unit == unit]
-        sep = " " if unit == "word" else ""
-        items = _with_units(df, [unit], text, [author, seq]).withColumnRenamed(f"__{unit}", "__items")
-        placed = explode(items, [author, seq, "__items"], "__items", "item", "pos")
-        tagged = placed.withColumn("__kind", F.explode(F.array(*[F.lit(i) for i in range(len(mine))])))
-        term = kind_name = None
-        keep = F.lit(False)
-        for i, kind in enumerate(mine):
-            here = F.col("__kind") == i
-            if kind.n == 1:
-                gram, fits = F.col("item"), is_content_word(F.col("item"))
-            else:
-                later = [F.get("__items", F.col("pos") + k) for k in range(1, kind.n)]
-                gram, fits = F.concat_ws(sep, "item", *later), F.col("pos") + kind.n <= F.size("__items")
-            term = F.when(here, gram) if term is None else term.when(here, gram)
-            kind_name = F.when(here, F.lit(kind.name)) if kind_name is None else kind_name.when(here, F.lit(kind.name))
-            keep = keep | (here & fits)
-        parts.append(
-            tagged.where(keep).select(
-                author, kind_name.alias("kind"), term.alias("term"), _place(seq, F.col("pos")).alias("first")
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    items = _with_units(df, ["word"], text, [author, seq])
+    placed = explode(items, [author, seq, "__word"], "__word", "item", "pos")
+    mine = [i for i, kind in enumerate(kinds) if kind.unit == "word"]
+    tagged = placed.withColumn("kind", F.explode(F.array(*[F.lit(i) for i in mine])))
+    term, keep = F.lit(None).cast("string"), F.lit(False)
+    for i in mine:
+        n = kinds[i].n
+        here = F.col("kind") == i
+        if n == 1:
+            gram, fits = F.col("item"), is_content_word(F.col("item"))
+        else:
+            later = [F.get("__word", F.col("pos") + k) for k in range(1, n)]
+            gram, fits = F.concat_ws(" ", "item", *later), F.col("pos") + n <= F.size("__word")
+        term = F.when(here, gram).otherwise(term)
+        keep = keep | (here & fits)
+    return tagged.where(keep).select(
+        author, "kind", term.alias("term"), F.lit(1).cast("bigint").alias("n"), _place(seq, F.col("pos")).alias("first")
+    )
+
+
+def _char_grams(df: DataFrame, kinds: list[Kind], author: str, seq: str, text: str) -> DataFrame:
+    """Every character n-gram that lies within one text: ``(author, kind, term, n, first)``.
+
+    Only the longest n-grams are counted from the text; a shorter one is the beginning of a longer
+    one or of the rest at the end of a text, so its count is a sum over those few distinct terms.
+    """
+    mine = [(i, kind.n) for i, kind in enumerate(kinds) if kind.unit == "char"]
+    longest, shortest = max(n for _, n in mine), min(n for _, n in mine)
+    items = _with_units(df, ["char"], text, [author, seq])
+    placed = explode(items, [author, seq, "__char"], "__char", "item", "pos")
+    later = [F.get("__char", F.col("pos") + k) for k in range(1, longest)]
+    counted = (
+        placed.where(F.col("pos") + shortest <= F.size("__char"))
+        .select(author, F.concat_ws("", "item", *later).alias("gram"), _place(seq, F.col("pos")).alias("first"))
+        .groupBy(author, "gram")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    )
+    starts = F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(n).alias("size")) for i, n in mine])
+    cut = counted.select(author, "gram", "n", "first", F.inline(starts)).where(F.length("gram") >= F.col("size"))
+    return cut.select(author, "kind", F.left("gram", "size").alias("term"), "n", "first")
 
 
 def _across(df: DataFrame, kinds: list[Kind], author: str, seq: str, text: str) -> DataFrame:
@@ -184,13 +200,25 @@ def gram_counts(
     seams between an author's texts, as if the texts were joined by a space; with ``'document'``
     they stay within a text.
     """
-    rows = _inside(df, kinds, author, seq, text)
+    parts = []
+    if any(kind.unit == "word" for kind in kinds):
+        parts.append(_word_grams(df, kinds, author, seq, text))
+    if any(kind.unit == "char" for kind in kinds):
+        parts.append(_char_grams(df, kinds, author, seq, text))
     across = [kind for kind in kinds if kind.n > 1]
     if scope == "corpus" and across:
-        rows = rows.unionByName(_across(df, across, author, seq, text))
-    return rows.groupBy(author, "kind", "term").agg(
-        F.count(F.lit(1)).alias("n"), F.min("first").alias("first")
+        seams = _across(df, across, author, seq, text)
+        number = F.lit(0)
+        for i, kind in enumerate(kinds):
+            number = F.when(F.col("kind") == kind.name, i).otherwise(number)
+        parts.append(seams.select(author, number.alias("kind"), "term", F.lit(1).cast("bigint").alias("n"), "first"))
+    counts = (
+        reduce(DataFrame.unionByName, parts)
+        .groupBy(author, "kind", "term")
+        .agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     )
+    names = F.array(*[F.lit(kind.name) for kind in kinds])
+    return counts.withColumn("kind", F.get(names, F.col("kind")))
 
 
 def top_terms(counts: DataFrame, kinds: list[Kind], author: str = "author") -> DataFrame:

@@ -97,18 +97,10 @@ def sentence_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:
 def _role(word: Column) -> Column:
     """One letter per token: v verb, n noun, r hangs on its right neighbour, o other."""
     attach = [w for tag in lx.ATTACH_RIGHT for w in lx.POS_WORDS.get(tag, [])]
-    verbs = lx.POS_WORDS["VERB"]
-    others = [w for ws in lx.POS_WORDS.values() for w in ws if w not in attach and w not in verbs]
-    patterns = dict(lx.POS_SUFFIXES)
-    attach_endings = "|".join(p for tag, p in patterns.items() if tag in lx.ATTACH_RIGHT)
-    return (
-        F.when(word.isin(attach), "r")
-        .when(word.isin(others) | ~word.rlike(f"^{tx.WORD}"), "o")
-        .when(word.isin(verbs), "v")
-        .when(word.rlike(attach_endings), "r")
-        .when(word.rlike(patterns["VERB"]), "v")
-        .otherwise("n")
-    )
+    role = F.when(word.isin(attach), "r").when(word.isin(lx.POS_WORDS["VERB"]), "v").when(tx.closed_class(word), "o")
+    for name, before, endings in lx.POS_ENDINGS:
+        role = role.when(tx.has_ending(word, before, endings), "r" if name in lx.ATTACH_RIGHT else "v")
+    return role.when(word.rlike(tx.NUMBER), "r").when(~word.rlike(tx.WORD), "o").otherwise("n")
 
 
 def rule_depths(df: DataFrame, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from penprint.operators import counters as ct
 from penprint.operators.registry import request_defaults, style_upsert
 from penprint.functions import text as tx
-from penprint.sources.tables import scan_parquet
 
 RUNNING = ["n_words", "word_chars", "n_sentences", "sent_words_sq", "n_comma", "n_exclamation", "n_passive", "n_punct"]
 
@@ -20,7 +20,7 @@ def running_counters(texts: DataFrame, style: str = "style_name", text: str = "t
     The state holds one row of sums per style, whatever the length of the stream.
     """
     t = F.col(text)
-    marks, patterns = ct.mark_counts(t), ct.pattern_counts(t)
+    marks, patterns = ct.mark_counts(t), ct.pattern_counts(t, F.lower(t))
     lengths = F.transform(F.filter(tx.fragments(t), lambda s: s.rlike(tx.NON_SPACE)), tx.word_count)
     words = tx.words(t)
 
@@ -81,9 +81,8 @@ def stream_registry_upsert(changes: DataFrame, table: str, checkpoint: str) -> S
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = latest_version(spark, table, before=batch_id)
-        base = spark.read.schema(batch.schema).parquet(f"{table}/v={last}") if last is not None else batch.limit(0)
+        last = latest_version(batch.sparkSession, table, before=batch_id)
+        base = _version(batch.sparkSession, table, last) if last is not None else batch.limit(0)
         style_upsert(base, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
     return (
@@ -94,22 +93,20 @@ def stream_registry_upsert(changes: DataFrame, table: str, checkpoint: str) -> S
     )
 
 
+def _version(spark: SparkSession, table: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{table}/v={version}")
+
+
 def latest_version(spark: SparkSession, table: str, before: int | None = None) -> int | None:
-    """The newest complete version number, optionally below ``before``."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """The newest version number, optionally below ``before``; None if there is no table yet."""
+    try:
+        versions = spark.read.parquet(table).select(F.col("v").cast("bigint").alias("v"))
+    except AnalysisException:
         return None
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("v=") and fs.exists(done):
-            found.append(int(name[2:]))
-    found = [v for v in found if before is None or v < before]
-    return max(found) if found else None
+    if before is not None:
+        versions = versions.where(F.col("v") < before)
+    return versions.agg(F.max("v")).first()[0]
 
 
 def read_registry(spark: SparkSession, table: str) -> DataFrame:
-    return scan_parquet(spark, f"{table}/v={latest_version(spark, table)}")
+    return _version(spark, table, latest_version(spark, table))
