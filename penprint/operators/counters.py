@@ -264,6 +264,9 @@ def _member_bit(word: Column, terms: list[str]) -> Column:
     return F.when(word.isin(terms), F.get(bits, (place - 1).cast("int"))).otherwise(F.lit(0).cast("bigint"))
 
 
+SEAM_COUNTERS = ["will", "dash", "passive"]
+
+
 def seam_counters(df: DataFrame, author: str = "author", seq: str = "seq", text: str = "text") -> DataFrame:
     """What joining an author's texts by a space adds to their per-text counters.
 
@@ -315,7 +318,7 @@ def seam_counters(df: DataFrame, author: str = "author", seq: str = "seq", text:
     )
     both = F.concat_ws(" ", "a", "b")
     counted = seams.groupBy(author).agg(
-        *[F.sum(F.col(c).cast("bigint")).alias(f"extra_{c}") for c in ("will", "dash", "passive")],
+        *[F.sum(F.col(c).cast("bigint")).alias(f"extra_{c}") for c in SEAM_COUNTERS],
         *[F.max(F.contains(both, F.lit(p))).alias(f"__p{i}") for i, p in enumerate(phrases)],
     )
     found = F.filter(

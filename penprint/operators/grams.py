@@ -229,3 +229,13 @@ def top_terms(counts: DataFrame, kinds: list[Kind], author: str = "author") -> D
     for kind in kinds:
         per_kind = per_kind | ((F.col("kind") == kind.name) & (F.col("rank") <= kind.k))
     return ranked.where(per_kind).select(author, "kind", "rank", "term", "n")
+
+
+def vocabulary_with_first(df: DataFrame, author: str = "author", seq: str = "seq", text: str = "text") -> DataFrame:
+    """``(author, term, n, first)``: the vocabulary with the order of first occurrence."""
+    rows = explode(df, [author, seq], tx.words(F.col(text)), "term", "pos")
+    return (
+        rows.select(author, "term", _place(seq, F.col("pos")).alias("first"))
+        .groupBy(author, "term")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    )

@@ -259,26 +259,24 @@ def emotion_struct(k: int = 5) -> Column:
 # Plan -----------------------------------------------------------------------------------------
 
 
-def author_counters(
-    docs: DataFrame, lexicon: DataFrame, scope: str = "corpus", compat: bool = False
-) -> DataFrame:
-    """All counters of ``(author, seq, text)``, one row per author."""
+def text_part(docs: DataFrame, scope: str = "corpus") -> DataFrame:
+    """Mark, pattern and marker counters; in corpus scope with what reaches over the seams."""
     counters = ct.author_text_counters(docs)
-    if scope == "corpus":
-        seams = ct.seam_counters(docs)
-        counters = join_on(counters, seams, ["author"], "left")
-        for extra in ("will", "dash", "passive"):
-            name = f"n_{extra}"
-            counters = counters.withColumn(name, F.col(name) + F.coalesce(F.col(f"extra_{extra}"), F.lit(0)))
-        found = F.array_sort(
-            F.array_union("politeness_found", F.coalesce("seam_phrases", F.array().cast("array<string>")))
-        )
-        counters = counters.withColumn("politeness_found", found).drop(
-            "extra_will", "extra_dash", "extra_passive", "seam_phrases"
-        )
+    if scope == "document":
+        return counters
+    both = join_on(counters, ct.seam_counters(docs), ["author"], "left")
+    found = F.array_sort(
+        F.array_union("politeness_found", F.coalesce("seam_phrases", F.array().cast("array<string>")))
+    )
+    added = {f"n_{e}": F.col(f"n_{e}") + F.coalesce(F.col(f"extra_{e}"), F.lit(0)) for e in ct.SEAM_COUNTERS}
+    return both.withColumns({**added, "politeness_found": found}).select(*counters.columns)
+
+
+def author_counters(docs: DataFrame, lexicon: DataFrame, scope: str = "corpus", compat: bool = False) -> DataFrame:
+    """All counters of ``(author, seq, text)``, one row per author."""
     sentences = ct.sentence_counters(docs, scope=scope, compat=compat)
     words = ct.word_counters(gr.vocabulary(docs), lexicon)
-    joined = join_on(join_on(counters, sentences, ["author"], "left"), words, ["author"], "left")
+    joined = join_on(join_on(text_part(docs, scope), sentences, ["author"], "left"), words, ["author"], "left")
     return _no_nulls(joined)
 
 
