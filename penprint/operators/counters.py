@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from penprint import lexicons as lx
 from penprint.functions import text as tx
-from penprint.plans.keys import explode, running_totals
+from penprint.operators.edges import AUXILIARIES, place_edges, text_edges
+from penprint.plans.keys import explode
 
 # counter -> the literals whose occurrences it adds up
 MARKS = {
@@ -28,7 +29,6 @@ MARKS = {
 }
 
 SENTENCE_COUNTERS = ["n_sentences", "sent_words", "sent_words_sq", "n_simple", "n_compound", "n_complex"]
-AUXILIARIES = ["was", "were", "been", "being"]
 PASSIVE = f"(?i)(?=[bw]){tx.NOT_AFTER_WORD}({'|'.join(AUXILIARIES)}){tx.SPACE}+{tx.WORD}ed{tx.NOT_BEFORE_WORD}"
 ALL_CAPS = f"(?=[A-Z]){tx.NOT_AFTER_WORD}[A-Z]{{2,}}{tx.NOT_BEFORE_WORD}"
 TITLE_CASE = f"(?=[A-Z]){tx.NOT_AFTER_WORD}[A-Z][a-z]+{tx.NOT_BEFORE_WORD}"
@@ -136,6 +136,7 @@ def sentence_counters(
     text: str = "text",
     scope: str = "corpus",
     compat: bool = False,
+    placed: DataFrame | None = None,
 ) -> DataFrame:
     """Sentence counters per author.
 
@@ -153,31 +154,15 @@ def sentence_counters(
         .select(author, "s")
     )
     inside = _sentence_sums(inner, author, compat)
-
-    def edge(piece: Column, number: Column) -> Column:
-        conj, sub, pause = tx.sentence_flags(piece, compat)
-        return F.struct(
-            number.cast("bigint").alias("number"),
-            tx.word_count(piece).cast("bigint").alias("n"),
-            piece.rlike(tx.NON_SPACE).cast("int").alias("real"),
-            conj.cast("int").alias("conj"),
-            sub.cast("int").alias("sub"),
-            pause.cast("int").alias("pause"),
-        )
-
-    stops = F.size("__f") - 1
-    ends = F.when(
-        stops > 0, F.array(edge(F.get("__f", F.lit(0)), F.lit(0)), edge(F.get("__f", stops), stops))
-    ).otherwise(F.array(edge(F.get("__f", F.lit(0)), F.lit(0))))
-    narrow = whole.select(author, seq, stops.alias("__stops"), ends.alias("__ends"))
-    placed = running_totals(narrow, author, seq, {"__offset": "__stops"})
+    placed = place_edges(text_edges(df, author, seq, text), author, seq) if placed is None else placed
     joined = (
-        placed.select(author, "__offset", F.inline_outer("__ends"))
-        .groupBy(author, (F.col("__offset") + F.col("number")).alias("number"))
-        .agg(F.sum("n").alias("n"), *[F.max(c).alias(c) for c in ("real", "conj", "sub", "pause")])
+        placed.select(author, "stop_offset", F.inline_outer("fragments"))
+        .groupBy(author, (F.col("stop_offset") + F.col("number")).alias("number"))
+        .agg(F.sum("n").alias("n"), *[F.max(f).alias(f) for f in ("real", "conj", "sub", "conj_any", "sub_any", "pause")])
         .where(F.col("real") == 1)
     )
-    kind = tx.type_from_flags(F.col("conj") == 1, F.col("sub") == 1, F.col("pause") == 1, compat)
+    conj, sub = ("conj_any", "sub_any") if compat else ("conj", "sub")
+    kind = tx.type_from_flags(F.col(conj) == 1, F.col(sub) == 1, F.col("pause") == 1, compat)
     seams = joined.select(author, "n", kind.alias("type")).groupBy(author).agg(
         *_sentence_aggregates(F.col("n"), F.col("type"))
     )
@@ -267,40 +252,19 @@ def _member_bit(word: Column, terms: list[str]) -> Column:
 SEAM_COUNTERS = ["will", "dash", "passive"]
 
 
-def seam_counters(df: DataFrame, author: str = "author", seq: str = "seq", text: str = "text") -> DataFrame:
+def seam_counters(placed: DataFrame, author: str = "author") -> DataFrame:
     """What joining an author's texts by a space adds to their per-text counters.
 
     ``extra_will``, ``extra_dash`` and ``extra_passive`` count matches that reach over a seam;
-    ``seam_phrases`` lists the politeness phrases that do. Each text meets its successor under the
-    key ``(author, place of the seam)``.
+    ``seam_phrases`` lists the politeness phrases that do. Each text that is not blank meets its
+    successor under the key ``(author, place of the seam)``.
     """
     phrases = [m for m in lx.POLITENESS if " " in m]
-    width = max(map(len, phrases))
-    t = F.col(text)
-    low = F.lower(t)
-    ends = df.where(t.rlike(tx.NON_SPACE)).select(
-        author,
-        seq,
-        F.lit(1).alias("__one"),
-        F.struct(
-            low.endswith("will").alias("will"),
-            t.endswith(" -").alias("dash"),
-            t.rlike(f"(?i){tx.NOT_AFTER_WORD}({'|'.join(AUXILIARIES)}){tx.SPACE}*$").alias("passive"),
-            F.right(low, F.lit(width)).alias("near"),
-        ).alias("__left"),
-        F.struct(
-            F.lit(False).alias("will"),
-            t.startswith("- ").alias("dash"),
-            t.rlike(f"^{tx.SPACE}*{tx.WORD}ed{tx.NOT_BEFORE_WORD}").alias("passive"),
-            F.left(low, F.lit(width)).alias("near"),
-        ).alias("__right"),
-    )
-    placed = running_totals(ends, author, seq, {"__place": "__one"})
     sides = F.array(
-        F.struct(F.col("__place").alias("seam"), F.lit(0).alias("side"), F.col("__left").alias("e")),
-        F.struct((F.col("__place") - 1).alias("seam"), F.lit(1).alias("side"), F.col("__right").alias("e")),
+        F.struct(F.col("text_offset").alias("seam"), F.lit(0).alias("side"), F.col("closing").alias("e")),
+        F.struct((F.col("text_offset") - 1).alias("seam"), F.lit(1).alias("side"), F.col("opening").alias("e")),
     )
-    sent = placed.select(author, F.inline_outer(sides)).where(F.col("seam") >= 0)
+    sent = placed.where(F.col("real_text") == 1).select(author, F.inline_outer(sides)).where(F.col("seam") >= 0)
 
     def side(i: int, name: str) -> Column:
         return F.max(F.when(F.col("side") == i, F.col(f"e.{name}")))
@@ -324,4 +288,4 @@ def seam_counters(df: DataFrame, author: str = "author", seq: str = "seq", text:
     found = F.filter(
         F.array(*[F.when(F.col(f"__p{i}"), F.lit(p)) for i, p in enumerate(phrases)]), lambda p: p.isNotNull()
     )
-    return counted.select(author, "extra_will", "extra_dash", "extra_passive", found.alias("seam_phrases"))
+    return counted.select(author, *[f"extra_{c}" for c in SEAM_COUNTERS], found.alias("seam_phrases"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from penprint import lexicons as lx
 from penprint.functions import text as tx
-from penprint.plans.keys import explode, first_k, running_totals
+from penprint.operators.edges import place_edges, text_edges
+from penprint.plans.keys import explode, first_k
 
 SEQ_BITS, POS_BITS = 37, 26
 
@@ -117,73 +118,70 @@ def _char_grams(df: DataFrame, kinds: list[Kind], author: str, seq: str, text: s
     return cut.select(author, "kind", F.left("gram", "size").alias("term"), "n", "first")
 
 
-def _across(df: DataFrame, kinds: list[Kind], author: str, seq: str, text: str) -> DataFrame:
-    """n-grams that reach over the seam between an author's texts: ``(author, kind, term, first)``.
+def _across(placed: DataFrame, kinds: list[Kind], author: str, seq: str) -> DataFrame:
+    """n-grams that reach over the seam between an author's texts: ``(author, kind, term, n, first)``.
 
-    Only the first and last n-1 items of a text can take part. Each gets its place in the author's
-    whole item sequence and is sent to every start place it can belong to, so the grouping key is
-    ``(author, kind, start)`` and no author is gathered in one task.
+    Each text sends its last items to the places in the author's item sequence where they start
+    an n-gram, and its first items to the n-1 places before it. The grouping key is the place, so
+    a group holds at most n pieces and no author is gathered in one task. Only the longest n per
+    unit is sent; shorter n-grams are beginnings of it.
     """
-    reach = {u: max(k.n for k in kinds if k.unit == u) - 1 for u in sorted({k.unit for k in kinds})}
-    longest = max(reach.values()) + 1
-    none = F.array().cast("array<string>")
-    items = _with_units(df, list(reach), text, [author, seq])
-    edges = items.select(
-        author,
-        seq,
-        *[F.size(f"__{u}").alias(f"__size_{u}") for u in reach],
-        *[F.slice(f"__{u}", 1, r).alias(f"__head_{u}") for u, r in reach.items()],
-        *[
-            F.when(
-                F.size(f"__{u}") > r,
-                F.slice(f"__{u}", F.greatest(F.size(f"__{u}") - r + 1, F.lit(r + 1)), F.lit(r)),
-            )
-            .otherwise(none)
-            .alias(f"__tail_{u}")
-            for u, r in reach.items()
-        ],
-    )
-    placed = running_totals(edges, author, seq, {f"__offset_{u}": f"__size_{u}" for u in reach})
-
-    def sent_to(kind: Kind, item, local):
-        """One entry per start place; ``local`` is the place of the item in its text."""
-        return F.transform(
-            F.array(*[F.lit(i) for i in range(kind.n)]),
-            lambda slot: F.struct(
-                F.lit(kind.name).alias("kind"),
-                slot.alias("slot"),
-                (F.col(f"__offset_{kind.unit}") + local - slot).alias("start"),
-                local.cast("bigint").alias("local"),
-                item.alias("item"),
-            ),
+    longest = {u: max(k.n for k in kinds if k.unit == u) for u in sorted({k.unit for k in kinds if k.n > 1})}
+
+    def piece(unit: str, start: Column, size: Column, text_piece: Column, local: Column) -> Column:
+        return F.struct(
+            F.lit(unit).alias("unit"),
+            start.cast("bigint").alias("start"),
+            size.cast("int").alias("size"),
+            local.cast("bigint").alias("local"),
+            text_piece.alias("piece"),
         )
 
-    def edge_entries(kind: Kind) -> list[Column]:
-        u = kind.unit
-        before_tail = F.col(f"__size_{u}") - F.size(f"__tail_{u}")
-        return [
-            F.flatten(F.transform(f"__head_{u}", lambda x, i: sent_to(kind, x, i))),
-            F.flatten(F.transform(f"__tail_{u}", lambda x, i: sent_to(kind, x, before_tail + i))),
-        ]
-
-    entries = [entry for kind in kinds for entry in edge_entries(kind)]
-    sent = placed.select(author, seq, F.inline_outer(F.concat(*entries))).where(F.col("item").isNotNull())
-    grouped = sent.groupBy(author, "kind", "start").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("item"))).alias(f"__p{i}") for i in range(longest)],
-        F.max(F.when(F.col("slot") == 0, _place(seq, F.col("local")))).alias("first"),
-        F.min(seq).alias("__from"),
-        F.max(seq).alias("__to"),
-        F.count(F.lit(1)).alias("__have"),
+    entries = []
+    for u, n in longest.items():
+        size, offset = F.col(f"{u}_size"), F.col(f"{u}_offset")
+        for d in range(1, n):
+            entries.append(
+                F.when(
+                    (size > 0) & (offset >= d),
+                    piece(u, offset - d, F.least(size, F.lit(n - d)), F.get(f"{u}_first", F.lit(n - d - 1)), F.lit(None)),
+                )
+            )
+            entries.append(
+                F.when(size >= d, piece(u, offset + size - d, F.lit(d), F.get(f"{u}_last", F.lit(d - 1)), size - d))
+            )
+    sent = placed.select(author, seq, F.explode_outer(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "e.local", "e.size", "e.piece")))
+    grouped = sent.groupBy(author, "e.unit", "e.start").agg(ordered.alias("p"), F.sum("e.size").alias("have"))
+    opened = grouped.where(F.size("p") > 1).select(
+        author,
+        "unit",
+        "have",
+        F.get("p", F.lit(0))["size"].alias("opening"),
+        F.when(F.col("unit") == "word", F.array_join(F.col("p.piece"), " "))
+        .otherwise(F.array_join(F.col("p.piece"), ""))
+        .alias("joined"),
+        F.get("p", F.lit(0))["seq"].alias("__seq"),
+        F.get("p", F.lit(0))["local"].alias("__local"),
+    )
+    wanted = [(i, k) for i, k in enumerate(kinds) if k.n > 1]
+    kind_rows = F.array(
+        *[F.struct(F.lit(i).alias("kind"), F.lit(k.unit).alias("of"), F.lit(k.n).alias("size")) for i, k in wanted]
+    )
+    rows = opened.select("*", F.inline(kind_rows)).where(
+        (F.col("unit") == F.col("of")) & (F.col("have") >= F.col("size")) & (F.col("opening") < F.col("size"))
+    )
+    term = F.when(F.col("unit") == "char", F.left("joined", F.col("size")))
+    for _, k in wanted:
+        if k.unit == "word":
+            term = term.when(F.col("size") == k.n, F.substring_index("joined", " ", k.n))
+    return rows.select(
+        author,
+        "kind",
+        term.alias("term"),
+        F.lit(1).cast("bigint").alias("n"),
+        _place("__seq", F.col("__local")).alias("first"),
     )
-    crossing = F.col("__from") < F.col("__to")
-    term = None
-    full = F.lit(False)
-    for kind in kinds:
-        joined = F.concat_ws(" " if kind.unit == "word" else "", *[f"__p{i}" for i in range(kind.n)])
-        is_kind = F.col("kind") == kind.name
-        term = F.when(is_kind, joined) if term is None else term.when(is_kind, joined)
-        full = full | (is_kind & (F.col("__have") == kind.n))
-    return grouped.where(crossing & full).select(author, "kind", term.alias("term"), "first")
 
 
 def gram_counts(
@@ -193,25 +191,22 @@ def gram_counts(
     seq: str = "seq",
     text: str = "text",
     scope: str = "corpus",
+    placed: DataFrame | None = None,
 ) -> DataFrame:
-    """``(author, kind, term, n, first)`` for all kinds in one pass and one shuffle.
+    """``(author, kind, term, n, first)`` for all kinds, with one shuffle of counted terms.
 
     ``first`` orders terms by first occurrence. With ``scope='corpus'`` n-grams also run over the
     seams between an author's texts, as if the texts were joined by a space; with ``'document'``
-    they stay within a text.
+    they stay within a text. ``placed`` are the texts' edges where they are at hand already.
     """
     parts = []
     if any(kind.unit == "word" for kind in kinds):
         parts.append(_word_grams(df, kinds, author, seq, text))
     if any(kind.unit == "char" for kind in kinds):
         parts.append(_char_grams(df, kinds, author, seq, text))
-    across = [kind for kind in kinds if kind.n > 1]
-    if scope == "corpus" and across:
-        seams = _across(df, across, author, seq, text)
-        number = F.lit(0)
-        for i, kind in enumerate(kinds):
-            number = F.when(F.col("kind") == kind.name, i).otherwise(number)
-        parts.append(seams.select(author, number.alias("kind"), "term", F.lit(1).cast("bigint").alias("n"), "first"))
+    if scope == "corpus" and any(kind.n > 1 for kind in kinds):
+        placed = place_edges(text_edges(df, author, seq, text), author, seq) if placed is None else placed
+        parts.append(_across(placed, kinds, author, seq))
     counts = (
         reduce(DataFrame.unionByName, parts)
         .groupBy(author, "kind", "term")

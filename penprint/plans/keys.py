@@ -81,16 +81,21 @@ def running_totals(
     blocks of ``2**block_bits`` order values, and only the block sums are windowed per group.
     ``totals`` maps the new column to the summed one. Keep ``df`` narrow.
     """
-    block = "__block"
-    marked = df.withColumn(block, F.shiftright(F.col(order).cast("bigint"), block_bits))
-    earlier_rows = Window.partitionBy(group, block).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier_blocks = Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    per_block = marked.groupBy(group, block).agg(
+    # A null group is a group; the two stand-in columns let all steps share one partitioning.
+    keys = ["__key", "__key_null", "__block"]
+    marked = df.select(
+        "*",
+        F.coalesce(F.col(group).cast("string"), F.lit("")).alias("__key"),
+        F.col(group).isNull().alias("__key_null"),
+        F.shiftright(F.col(order).cast("bigint"), block_bits).alias("__block"),
+    )
+    earlier_rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier_blocks = Window.partitionBy(*keys[:2]).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = marked.groupBy(*keys).agg(
         *[F.sum(F.col(value).cast("bigint")).alias(f"__b_{new}") for new, value in totals.items()]
     )
     starts = per_block.select(
-        group,
-        block,
+        *keys,
         *[F.coalesce(F.sum(f"__b_{new}").over(earlier_blocks), F.lit(0)).alias(f"__s_{new}") for new in totals],
     )
     inner = marked.select(
@@ -100,8 +105,7 @@ def running_totals(
             for new, value in totals.items()
         ],
     )
-    joined = join_on(inner, starts, [group, block])
-    return joined.select(
+    return inner.join(starts, keys).select(
         *df.columns, *[(F.col(f"__i_{new}") + F.col(f"__s_{new}")).alias(new) for new in totals]
     )
 

@@ -13,6 +13,7 @@ from penprint.operators import counters as ct
 from penprint.operators import grams as gr
 from penprint.operators import sentiment as se
 from penprint.operators import tokens as tk
+from penprint.operators.edges import stored_edges
 from penprint.operators.segment import head_chars
 from penprint.plans.keys import join_on
 
@@ -259,12 +260,12 @@ def emotion_struct(k: int = 5) -> Column:
 # Plan -----------------------------------------------------------------------------------------
 
 
-def text_part(docs: DataFrame, scope: str = "corpus") -> DataFrame:
-    """Mark, pattern and marker counters; in corpus scope with what reaches over the seams."""
+def text_part(docs: DataFrame, placed: DataFrame | None) -> DataFrame:
+    """Mark, pattern and marker counters; with placed edges also what reaches over the seams."""
     counters = ct.author_text_counters(docs)
-    if scope == "document":
+    if placed is None:
         return counters
-    both = join_on(counters, ct.seam_counters(docs), ["author"], "left")
+    both = join_on(counters, ct.seam_counters(placed), ["author"], "left")
     found = F.array_sort(
         F.array_union("politeness_found", F.coalesce("seam_phrases", F.array().cast("array<string>")))
     )
@@ -272,11 +273,13 @@ def text_part(docs: DataFrame, scope: str = "corpus") -> DataFrame:
     return both.withColumns({**added, "politeness_found": found}).select(*counters.columns)
 
 
-def author_counters(docs: DataFrame, lexicon: DataFrame, scope: str = "corpus", compat: bool = False) -> DataFrame:
+def author_counters(
+    docs: DataFrame, lexicon: DataFrame, scope: str = "corpus", compat: bool = False, placed: DataFrame | None = None
+) -> DataFrame:
     """All counters of ``(author, seq, text)``, one row per author."""
-    sentences = ct.sentence_counters(docs, scope=scope, compat=compat)
+    sentences = ct.sentence_counters(docs, scope=scope, compat=compat, placed=placed)
     words = ct.word_counters(gr.vocabulary(docs), lexicon)
-    joined = join_on(join_on(text_part(docs, scope), sentences, ["author"], "left"), words, ["author"], "left")
+    joined = join_on(join_on(text_part(docs, placed), sentences, ["author"], "left"), words, ["author"], "left")
     return _no_nulls(joined)
 
 
@@ -291,9 +294,9 @@ def _no_nulls(df: DataFrame) -> DataFrame:
     return df.select("author", *out)
 
 
-def top_lists(docs: DataFrame, scope: str) -> DataFrame:
+def top_lists(docs: DataFrame, scope: str, placed: DataFrame | None = None) -> DataFrame:
     """The five ranked lists per author as arrays."""
-    top = gr.top_terms(gr.gram_counts(docs, gr.PROFILE_KINDS, scope=scope), gr.PROFILE_KINDS)
+    top = gr.top_terms(gr.gram_counts(docs, gr.PROFILE_KINDS, scope=scope, placed=placed), gr.PROFILE_KINDS)
     arrays = []
     for kind in gr.PROFILE_KINDS:
         entry = F.when(F.col("kind") == kind.name, F.struct("rank", "term"))
@@ -325,7 +328,8 @@ def style_profile(
     )
     if lexicon is None:
         lexicon = lx.sentiment_table(docs.sparkSession)
-    base = author_counters(docs, lexicon, scope, compat)
+    placed = stored_edges(docs) if scope == "corpus" else None
+    base = author_counters(docs, lexicon, scope, compat, placed)
     fields = {
         **lexical_fields(),
         **sentence_fields(),
@@ -368,7 +372,7 @@ def style_profile(
             "max_parse_tree_depth": F.coalesce(c("depth_max"), F.lit(0)).cast("int"),
         }
     )
-    profile = join_on(profile, top_lists(docs, scope), ["author"], "left")
+    profile = join_on(profile, top_lists(docs, scope, placed), ["author"], "left")
     for kind in gr.PROFILE_KINDS:
         profile = profile.withColumn(kind.name, F.coalesce(kind.name, F.array().cast("array<string>")))
     return profile.select("author", *FIELDS)
