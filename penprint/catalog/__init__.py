@@ -4,7 +4,7 @@ from importlib import import_module
 
 from penprint.catalog.base import QUERIES, Query
 
-GROUPS = ("texts",)
+GROUPS = ("texts", "profiles", "rewrites")
 
 
 def all_queries() -> dict[str, Query]:

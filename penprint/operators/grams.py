@@ -234,3 +234,12 @@ def vocabulary_with_first(df: DataFrame, author: str = "author", seq: str = "seq
         .groupBy(author, "term")
         .agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
     )
+
+
+def approximate_richness(df: DataFrame, author: str = "author", text: str = "text", error: float = 0.01) -> DataFrame:
+    """Distinct words over words with a sketch of the distinct count: one small sketch per author moves."""
+    rows = explode(df, [author], tx.words(F.col(text)), "word")
+    counted = rows.groupBy(author).agg(
+        F.approx_count_distinct("word", error).alias("d"), F.count(F.lit(1)).alias("n")
+    )
+    return counted.select(author, tx.ratio(F.col("d"), F.col("n")).alias("vocabulary_richness"))

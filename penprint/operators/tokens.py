@@ -87,7 +87,7 @@ def sentence_depths(tokens: DataFrame, keys: list[str]) -> DataFrame:
     ``keys`` name one sentence. Its tokens are gathered into one array, which is never larger than
     the text the sentence came from.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("tok_id").cast("int"), F.col("head_id").cast("int"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("tok_id").cast("int").alias("tok_id"), F.col("head_id").cast("int").alias("head_id"))))
     heads = F.transform("t", lambda x: x["head_id"] - 1)
     return (
         tokens.groupBy(*keys).agg(ordered.alias("t")).select(*keys, tree_depth(heads).cast("bigint").alias("depth"))

@@ -141,60 +141,54 @@ def profile_report(profile: DataFrame) -> DataFrame:
     return profile.select("author", F.inline(F.array(*rows)))
 
 
-def _capped(field: str, scale: float) -> Column:
-    return F.least(F.col(field) / scale, F.lit(1.0))
-
-
-# Panel -> (label, value) in chart units.
-def _panels() -> dict[str, list[tuple[str, Column]]]:
-    plain = lambda *fields: [(f, F.col(f)) for f in fields]
-    return {
-        "lexical": [
-            ("avg_word_length", F.col("avg_word_length") / 10),
-            ("vocabulary_richness", F.col("vocabulary_richness")),
-            ("rare_word_frequency", F.col("rare_word_frequency") * 10),
-            ("hapax_legomena_ratio", F.col("hapax_legomena_ratio")),
-        ],
-        "sentence_structure": plain("simple_sentence_ratio", "compound_sentence_ratio", "complex_sentence_ratio"),
-        "voice_tense": plain(
-            "active_voice_ratio", "passive_voice_ratio", "present_tense_ratio", "past_tense_ratio"
-        ),
-        "part_of_speech": plain(
-            "noun_ratio", "verb_ratio", "adjective_ratio", "adverb_ratio", "pronoun_ratio", "preposition_ratio"
-        ),
-        "readability": [
-            ("flesch_reading_ease", _capped("flesch_reading_ease", 100.0)),
-            ("flesch_kincaid_grade", _capped("flesch_kincaid_grade", 20.0)),
-            ("gunning_fog_index", _capped("gunning_fog_index", 20.0)),
-            ("coleman_liau_index", _capped("coleman_liau_index", 20.0)),
-        ],
-        "sentiment": plain("vader_compound", "sentiment_polarity", "sentiment_subjectivity"),
-        "punctuation": [
-            ("comma_frequency", F.col("comma_frequency") * 10),
-            ("semicolon_frequency", F.col("semicolon_frequency") * 100),
-            ("dash_frequency", F.col("dash_frequency") * 100),
-            ("ellipsis_frequency", F.col("ellipsis_frequency") * 100),
-            ("quote_frequency", F.col("quote_frequency") * 10),
-            ("parentheses_frequency", F.col("parentheses_frequency") * 100),
-        ],
-        "characteristics": [
-            *plain("formality_score", "politeness_score", "concreteness_score"),
-            ("rhythm_score", _capped("rhythm_score", 2.0)),
-        ],
-        "discourse": plain(
-            "avg_parse_tree_depth", "avg_words_per_sentence", "sentence_length_std", "modal_verb_frequency",
-            "discourse_marker_frequency", "narrative_score", "analytical_score", "dialogue_ratio",
-            "intensifier_frequency",
-        ),
-    }
+PANEL_FIELDS = {
+    "lexical": ["avg_word_length", "vocabulary_richness", "rare_word_frequency", "hapax_legomena_ratio"],
+    "sentence_structure": ["simple_sentence_ratio", "compound_sentence_ratio", "complex_sentence_ratio"],
+    "voice_tense": ["active_voice_ratio", "passive_voice_ratio", "present_tense_ratio", "past_tense_ratio"],
+    "part_of_speech": [
+        "noun_ratio", "verb_ratio", "adjective_ratio", "adverb_ratio", "pronoun_ratio", "preposition_ratio",
+    ],
+    "readability": ["flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog_index", "coleman_liau_index"],
+    "sentiment": ["vader_compound", "sentiment_polarity", "sentiment_subjectivity"],
+    "punctuation": [
+        "comma_frequency", "semicolon_frequency", "dash_frequency", "ellipsis_frequency", "quote_frequency",
+        "parentheses_frequency",
+    ],
+    "characteristics": ["formality_score", "politeness_score", "concreteness_score", "rhythm_score"],
+    "discourse": [
+        "avg_parse_tree_depth", "avg_words_per_sentence", "sentence_length_std", "modal_verb_frequency",
+        "discourse_marker_frequency", "narrative_score", "analytical_score", "dialogue_ratio",
+        "intensifier_frequency",
+    ],
+}
+# Chart units where they are not the field's own.
+SCALED = {
+    "avg_word_length": lambda x: x / 10,
+    "rare_word_frequency": lambda x: x * 10,
+    "flesch_reading_ease": lambda x: F.least(x / 100.0, F.lit(1.0)),
+    "flesch_kincaid_grade": lambda x: F.least(x / 20.0, F.lit(1.0)),
+    "gunning_fog_index": lambda x: F.least(x / 20.0, F.lit(1.0)),
+    "coleman_liau_index": lambda x: F.least(x / 20.0, F.lit(1.0)),
+    "comma_frequency": lambda x: x * 10,
+    "semicolon_frequency": lambda x: x * 100,
+    "dash_frequency": lambda x: x * 100,
+    "ellipsis_frequency": lambda x: x * 100,
+    "quote_frequency": lambda x: x * 10,
+    "parentheses_frequency": lambda x: x * 100,
+    "rhythm_score": lambda x: F.least(x / 2.0, F.lit(1.0)),
+}
 
 
 def profile_chart_values(profile: DataFrame) -> DataFrame:
     """``(author, panel, label, value)`` for nine chart panels."""
     rows = [
-        F.struct(F.lit(panel).alias("panel"), F.lit(label).alias("label"), value.alias("value"))
-        for panel, entries in _panels().items()
-        for label, value in entries
+        F.struct(
+            F.lit(panel).alias("panel"),
+            F.lit(field).alias("label"),
+            SCALED.get(field, lambda x: x)(F.col(field)).cast("double").alias("value"),
+        )
+        for panel, fields in PANEL_FIELDS.items()
+        for field in fields
     ]
     return profile.select("author", F.inline(F.array(*rows)))
 
