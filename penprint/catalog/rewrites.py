@@ -233,6 +233,21 @@ register(
 register(
     "greedy_refine_compat",
     lambda spark, sf: rr.greedy_refine(*refinement(spark, sf), compat=True).select("input_id", "refined", *rounded("energy"), "last_step"),
+    with_ctes(
+        *SCORED,
+        "kept AS (SELECT * FROM (SELECT *, max((copy_ratio < 0.85)::INT) OVER (PARTITION BY input_id) AS any_ok FROM total) WHERE copy_ratio < 0.85 OR any_ok = 0)",
+        "start AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, cand_id) AS r FROM kept) WHERE r = 1)",
+        "steps AS (SELECT input_id, cand_id, candidate, e1 + 2 * e2 + 2 * e3 AS model, row_number() OVER (PARTITION BY input_id ORDER BY cand_id) AS i FROM scored WHERE cand_id < 15)",
+        """fold(input_id, i, text, energy, last_step) AS (
+             SELECT input_id, 0::BIGINT, candidate, e1 + 2 * e2 + 2 * e3 + 3.0::DOUBLE, -1::BIGINT FROM start
+             UNION ALL SELECT input_id, i, CASE WHEN e < energy THEN candidate ELSE text END, CASE WHEN e < energy THEN e ELSE energy END,
+                              CASE WHEN e < energy THEN cand_id ELSE last_step END
+             FROM (SELECT f.*, s.i AS i2, s.candidate, s.cand_id, s.model + levenshtein(s.candidate, f.text)::DOUBLE / greatest(length(f.text), 1)::DOUBLE
+                     + 3 * (CASE WHEN greatest(length(s.candidate), length(f.text)) = 0 THEN 1.0::DOUBLE
+                       ELSE 1.0::DOUBLE - levenshtein(s.candidate, f.text)::DOUBLE / greatest(length(s.candidate), length(f.text))::DOUBLE END) AS e
+                   FROM fold f JOIN steps s ON s.input_id = f.input_id AND s.i = f.i + 1) AS x(input_id, i0, text, energy, last_step, i, candidate, cand_id, e))""",
+        "SELECT input_id, text AS refined, round(energy, 6) AS energy, last_step FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY i DESC) AS z FROM fold) WHERE z = 1",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 _SPLIT_WS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
 register(

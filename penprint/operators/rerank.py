@@ -167,7 +167,7 @@ def greedy_refine(
         .agg(F.min(F.struct(F.col("proposal"), F.col("__model").alias("model"))).alias("p"))
     )
     gathered = one_per_step.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("step").cast("bigint"), "p.proposal", "p.model"))).alias("__steps")
+        F.array_sort(F.collect_list(F.struct(F.col("step").cast("bigint").alias("step"), "p.proposal", "p.model"))).alias("__steps")
     )
     base = starts.select(key, F.col("current"), (model + closeness(F.col("current"), F.col("current"))).alias("__e0"))
     both = join_on(base, gathered, [key], "left").withColumn(

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from penprint.functions import text as tx
 from penprint.operators import counters as ct
 from penprint.operators.registry import request_defaults, style_upsert
-from penprint.functions import text as tx
 
 RUNNING = ["n_words", "word_chars", "n_sentences", "sent_words_sq", "n_comma", "n_exclamation", "n_passive", "n_punct"]
 
@@ -38,17 +38,12 @@ def running_counters(texts: DataFrame, style: str = "style_name", text: str = "t
     return rows.groupBy(style).agg(*[F.sum(n).alias(n) for n in RUNNING])
 
 
-def stream_profile_counters(texts: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Start the running counters into an in-memory table; for tests and small numbers of styles."""
-    return (
-        running_counters(texts)
-        .writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def stream_profile_counters(texts: DataFrame, table: str, checkpoint: str, key: str = "style_name") -> StreamingQuery:
+    """Keep the running counters of all styles in a stored table.
+
+    Each micro-batch hands over the totals of the styles it touched; they replace the stored rows.
+    """
+    return _upserting(running_counters(texts, key).writeStream.outputMode("update"), table, checkpoint, key)
 
 
 def stream_transfer_requests(requests: DataFrame, cards: DataFrame) -> DataFrame:
@@ -74,23 +69,26 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def stream_registry_upsert(changes: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch into the stored styles.
+    """Fold each micro-batch of changed styles into the stored ones; the newest ``ts`` wins."""
+    return _upserting(changes.writeStream, table, checkpoint, "style_name", "ts")
+
+
+def _upserting(
+    writer: DataStreamWriter, table: str, checkpoint: str, key: str, order: str | None = None
+) -> StreamingQuery:
+    """Fold micro-batches into a stored table; without an ``order`` column later batches win.
 
     Every batch writes a new version below ``table`` and never touches the one it reads, so a
     failed or repeated batch leaves the last version whole.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
+        rows = batch if order else batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
         last = latest_version(batch.sparkSession, table, before=batch_id)
-        base = _version(batch.sparkSession, table, last) if last is not None else batch.limit(0)
-        style_upsert(base, batch).write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        base = _version(batch.sparkSession, table, last) if last is not None else rows.limit(0)
+        style_upsert(base, rows, key, order or "batch").write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
-    return (
-        changes.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return writer.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _version(spark: SparkSession, table: str, version: int) -> DataFrame:
