@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from penprint import lexicons as lx
 from penprint.catalog.base import (
-    CORPUS, MARKED, NON_SPACE, SENTS, SPACE, SSUM, VOCAB, WORD, WORDS, WSUM,
+    CORPUS, DOCS, MARKED, NON_SPACE, QUERIES, SENTS, SPACE, SSUM, VOCAB, WORD, WORDS, WSUM,
     count_sql, documents, in_list, marked, quote, register, with_ctes,
 )
 from penprint.functions import text as tx
@@ -570,7 +570,7 @@ def _profile_sql(fields: dict[str, str], rounded: bool = False) -> str:
 
 
 PROFILE_FIELDS = list(_PROFILE_SQL)
-register("style_profile", lambda spark, sf: profile(spark, sf).select("author", *PROFILE_FIELDS), _profile_sql(_PROFILE_SQL))
+register("style_profile", lambda spark, sf: profile(spark, sf, only=PROFILE_FIELDS).select("author", *PROFILE_FIELDS), _profile_sql(_PROFILE_SQL))
 
 
 def _whole_profile(spark, sf):
@@ -584,10 +584,10 @@ def _whole_profile(spark, sf):
     return p.select("author", F.inline(F.array(*rows)))
 
 
-register("style_profile_all_fields", _whole_profile)
+_DOC_FIELDS = ["avg_words_per_sentence", "comma_frequency", "passive_voice_ratio", "hapax_legomena_ratio"]
 register(
     "style_profile_document_scope",
-    lambda spark, sf: profile(spark, sf, scope="document").select("author", "avg_words_per_sentence", "comma_frequency", "passive_voice_ratio", "hapax_legomena_ratio"),
+    lambda spark, sf: profile(spark, sf, scope="document", only=_DOC_FIELDS).select("author", *_DOC_FIELDS),
     with_ctes(
         *WORD_CTES, WSUM,
         f"""ds AS (SELECT author, count(*) AS s, sum(len(regexp_extract_all(x, {WORD})))::BIGINT AS sw FROM (SELECT author,
@@ -597,9 +597,11 @@ register(
             {div('n_once', 'n_distinct')} AS hapax_legomena_ratio FROM wsum JOIN ds USING (author) JOIN dc USING (author)""",
     ),
 )
-register("style_profile_original_caps", lambda spark, sf: profile(spark, sf, compat=True, caps=pr.ORIGINAL_CAPS).select(
-    "author", "flesch_reading_ease", "smog_index", "vader_compound", "sentiment_polarity", "formality_score"
-))
+_CAPPED_FIELDS = ["flesch_reading_ease", "smog_index", "vader_compound", "sentiment_polarity", "formality_score"]
+register(
+    "style_profile_original_caps",
+    lambda spark, sf: profile(spark, sf, compat=True, caps=pr.ORIGINAL_CAPS, only=_CAPPED_FIELDS).select("author", *_CAPPED_FIELDS),
+)
 _ROUNDED = [
     "avg_word_length", "vocabulary_richness", "hapax_legomena_ratio", "avg_words_per_sentence", "comma_frequency",
     "dash_frequency", "flesch_reading_ease", "smog_index", "politeness_score", "noun_ratio",
@@ -613,7 +615,7 @@ _TOP10 = f"""tw AS (SELECT author, string_agg(w, '|' ORDER BY r) AS top_words FR
    row_number() OVER (PARTITION BY author ORDER BY n DESC, first) AS r FROM vocab WHERE length(w) > 3 AND w NOT IN {in_list(lx.STOP_WORDS)}) WHERE r <= 10 GROUP BY author)"""
 register(
     "profile_summary",
-    lambda spark, sf: rp.profile_summary(profile(spark, sf)).select(
+    lambda spark, sf: rp.profile_summary(profile(spark, sf, only=rp.SUMMARY_FIELDS)).select(
         "author", "avg_word_length", "avg_sentence_length", "vocabulary_richness", "flesch_kincaid_grade", F.array_join("top_words", "|").alias("top_words")
     ),
     with_ctes(
@@ -627,7 +629,7 @@ register(
 _CARDS = ["Avg Word Length", "Sentence Length", "Vocabulary Richness", "Top Words"]
 register(
     "profile_cards",
-    lambda spark, sf: rp.profile_cards(rp.profile_summary(profile(spark, sf))).where(F.col("label").isin(_CARDS)).select("author", "label", "value"),
+    lambda spark, sf: rp.profile_cards(rp.profile_summary(profile(spark, sf, only=rp.SUMMARY_FIELDS))).where(F.col("label").isin(_CARDS)).select("author", "label", "value"),
     with_ctes(
         *WORD_CTES, WSUM, SENTS, SSUM, _TOP10,
         f"v AS (SELECT author, round({_LEXICAL['avg_word_length']}, 2) AS a, round({_SENTENCE['avg_words_per_sentence']}, 2) AS b, round({_LEXICAL['vocabulary_richness']}, 3) AS c FROM wsum JOIN ssum USING (author))",
@@ -694,3 +696,35 @@ register(
     _sink_json,
     with_ctes(*_W, "SELECT author, " + ", ".join(f"{sql} AS {f}" for f, sql in _LEXICAL.items()) + " FROM wsum"),
 )
+
+
+# All 72 fields at once, put together from the queries above.
+
+_SOURCES = {
+    "sentiment_polarity": "sentiment_polarity_subjectivity", "sentiment_subjectivity": "sentiment_polarity_subjectivity",
+    **{f: "vader_scores" for f in ("vader_positive", "vader_negative", "vader_neutral", "vader_compound")},
+    "formality_score": "formality_score", "concreteness_score": "concreteness_score",
+    "avg_parse_tree_depth": "parse_tree_depth", "max_parse_tree_depth": "parse_tree_depth",
+}
+
+
+def _all_fields_sql() -> str:
+    selects = [
+        f"SELECT author, '{field}' AS field, {field}::DOUBLE AS value, NULL::VARCHAR AS terms FROM p" for field in _PROFILE_SQL
+    ]
+    selects += [f"SELECT author, '{field}', {field}::DOUBLE, NULL FROM ({QUERIES[source].sql})" for field, source in _SOURCES.items()]
+    for field in ("top_words", "top_bigrams", "top_trigrams", "top_char_trigrams", "top_char_fourgrams"):
+        sql = QUERIES[field].sql.replace(DOCS, MARKED)
+        selects.append(f"SELECT author, '{field}', NULL, string_agg(term, '|' ORDER BY rank) FROM ({sql}) GROUP BY author")
+    every_author = "(SELECT DISTINCT source AS author FROM documents)"
+    for field, column in (("archaic_words", "word"), ("formal_words", "word"), ("modal_verbs_used", "word"), ("discourse_markers_used", "marker")):
+        selects.append(
+            f"SELECT author, '{field}', NULL, coalesce(string_agg({column}, '|' ORDER BY {column}), '') FROM {every_author} LEFT JOIN ({QUERIES[field].sql}) USING (author) GROUP BY author"
+        )
+    selects.append(
+        f"SELECT author, 'top_emotions', NULL, coalesce(string_agg(label, '|' ORDER BY rank), '') FROM {every_author} LEFT JOIN ({QUERIES['top_emotions'].sql}) USING (author) GROUP BY author"
+    )
+    return _profile_sql_raw(_PROFILE_SQL) + "\nUNION ALL ".join(selects)
+
+
+register("style_profile_all_fields", _whole_profile, _all_fields_sql())

@@ -64,7 +64,7 @@ register(
 
 
 def _labels(spark, sf):
-    p = profile(spark, sf)
+    p = profile(spark, sf, only=pm.LABEL_FIELDS)
     return pm.frequency_labels(p).select(
         "author", "semicolon_label", "dash_label", "ellipsis_label", "archaic_label", "formal_label", "mark_list"
     )

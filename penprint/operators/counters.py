@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +94,7 @@ def text_counters(df: DataFrame, author: str = "author", text: str = "text") ->
     The markers that occur anywhere in the text are kept as one bit each.
     """
     t, low = F.col(text), F.col("__low")
-    bits = {f"{name}_bits": _marker_bits(low, terms) for name, terms in MARKER_LISTS.items()}
+    bits = {f"{name}_bits": _marker_bits("__low", terms) for name, terms in MARKER_LISTS.items()}
     both = df.select(author, text, F.lower(t).alias("__low"))
     return both.select(author, *_as_bigint({**mark_counts(t), **pattern_counts(t, low), **bits}))
 
@@ -104,15 +102,19 @@ def text_counters(df: DataFrame, author: str = "author", text: str = "text") ->
 MARKER_LISTS = {"discourse": lx.DISCOURSE, "politeness": lx.POLITENESS}
 
 
-def _marker_bits(low: Column, terms: list[str]) -> Column:
-    bits = [F.when(F.contains(low, F.lit(m)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, m in enumerate(terms)]
-    return reduce(lambda a, b: a + b, bits)
+def _sql_text(term: str) -> str:
+    return "'" + term.replace("'", "\\'") + "'"
+
+
+def _marker_bits(low: str, terms: list[str]) -> Column:
+    bits = [f"IF(contains({low}, {_sql_text(m)}), {1 << i}L, 0L)" for i, m in enumerate(terms)]
+    return F.expr(" + ".join(bits))
 
 
-def _from_bits(bits: Column, terms: list[str]) -> Column:
+def _from_bits(bits: str, terms: list[str]) -> Column:
     """The terms whose bits are set, sorted."""
-    present = [F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(t)) for i, t in enumerate(terms)]
-    return F.array_sort(F.filter(F.array(*present), lambda t: t.isNotNull()))
+    present = ", ".join(f"IF({bits} & {1 << i}L != 0, {_sql_text(t)}, NULL)" for i, t in enumerate(terms))
+    return F.expr(f"array_sort(filter(array({present}), t -> t IS NOT NULL))")
 
 
 def author_text_counters(df: DataFrame, author: str = "author", text: str = "text") -> DataFrame:
@@ -125,7 +127,7 @@ def author_text_counters(df: DataFrame, author: str = "author", text: str = "tex
     grouped = counters.groupBy(author).agg(
         *[F.sum(c).alias(c) for c in sums], *[F.bit_or(f"{m}_bits").alias(f"{m}_bits") for m in MARKER_LISTS]
     )
-    found = [_from_bits(F.col(f"{m}_bits"), terms).alias(f"{m}_found") for m, terms in MARKER_LISTS.items()]
+    found = [_from_bits(f"{m}_bits", terms).alias(f"{m}_found") for m, terms in MARKER_LISTS.items()]
     return grouped.select(author, *sums, *found)
 
 
@@ -220,7 +222,7 @@ def word_counters(vocabulary: DataFrame, lexicon: DataFrame | None = None, autho
         "n_once": F.count(F.when(n == 1, 1)),
         "n_syllables": F.sum(n * F.col("__syl")),
         "n_polysyllables": times(F.col("__syl") >= 3),
-        **{f"n_{name}": times(w.isin(terms)) for name, terms in WORD_LISTS.items()},
+        **{f"n_{name}": times(F.expr(_is_in("word", terms))) for name, terms in WORD_LISTS.items()},
         **{f"n_pos_{tag.lower()}": times(F.col("__pos") == tag) for tag in COUNTED_TAGS},
         "n_present": times(F.col("__tense") == "Pres"),
         "n_past": times(F.col("__tense") == "Past"),
@@ -230,7 +232,7 @@ def word_counters(vocabulary: DataFrame, lexicon: DataFrame | None = None, autho
     }
     per_label = tagged.groupBy(author, "emotion").agg(
         *[c.alias(name) for name, c in sums.items()],
-        *[F.bit_or(_member_bit(w, terms)).alias(name) for name, terms in SETS.items()],
+        *[F.bit_or(_member_bit("word", terms)).alias(name) for name, terms in SETS.items()],
     )
     label = F.struct(F.col("n_words").alias("n"), F.col("emotion").alias("label"))
     per_author = per_label.groupBy(author).agg(
@@ -239,14 +241,17 @@ def word_counters(vocabulary: DataFrame, lexicon: DataFrame | None = None, autho
         F.collect_list(F.when(F.col("emotion").isNotNull(), label)).alias("emotions"),
     )
     return per_author.select(
-        author, *sums, *[_from_bits(F.col(name), terms).alias(name) for name, terms in SETS.items()], "emotions"
+        author, *sums, *[_from_bits(name, terms).alias(name) for name, terms in SETS.items()], "emotions"
     )
 
 
-def _member_bit(word: Column, terms: list[str]) -> Column:
-    place = F.array_position(F.array(*[F.lit(t) for t in terms]), word)
-    bits = F.array(*[F.lit(1 << i).cast("bigint") for i in range(len(terms))])
-    return F.when(word.isin(terms), F.get(bits, (place - 1).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+def _is_in(column: str, terms: list[str]) -> str:
+    return f"{column} IN ({', '.join(map(_sql_text, terms))})"
+
+
+def _member_bit(word: str, terms: list[str]) -> Column:
+    bits = " ".join(f"WHEN {_sql_text(t)} THEN {1 << i}L" for i, t in enumerate(terms))
+    return F.expr(f"IF({_is_in(word, terms)}, CASE {word} {bits} END, 0L)")
 
 
 SEAM_COUNTERS = ["will", "dash", "passive"]
@@ -257,7 +262,8 @@ def seam_counters(placed: DataFrame, author: str = "author") -> DataFrame:
 
     ``extra_will``, ``extra_dash`` and ``extra_passive`` count matches that reach over a seam;
     ``seam_phrases`` lists the politeness phrases that do. Each text that is not blank meets its
-    successor under the key ``(author, place of the seam)``.
+    successor under the key ``(author, place of the seam)``. Not followed up are a dash text made of
+    nothing but dashes, and a phrase spread over three texts.
     """
     phrases = [m for m in lx.POLITENESS if " " in m]
     sides = F.array(
@@ -273,7 +279,7 @@ def seam_counters(placed: DataFrame, author: str = "author") -> DataFrame:
         sent.groupBy(author, "seam")
         .agg(
             side(0, "will").alias("will"),
-            (side(0, "dash") | side(1, "dash")).alias("dash"),
+            F.when(side(0, "dash") > 0, side(0, "dash")).otherwise(side(1, "dash")).alias("dash"),
             (side(0, "passive") & side(1, "passive")).alias("passive"),
             side(0, "near").alias("a"),
             side(1, "near").alias("b"),

@@ -63,13 +63,13 @@ def text_edges(df: DataFrame, author: str = "author", seq: str = "seq", text: st
     first, last = F.get("__f", F.lit(0)), F.get("__f", stops)
     closing = F.struct(
         low.endswith("will").alias("will"),
-        t.endswith(" -").alias("dash"),
+        (tx.count_of(F.concat(t, F.lit(" ")), " - ") - tx.count_of(t, " - ")).alias("dash"),
         t.rlike(f"(?i){tx.NOT_AFTER_WORD}({'|'.join(AUXILIARIES)}){tx.SPACE}*$").alias("passive"),
         F.right(low, F.lit(width)).alias("near"),
     )
     opening = F.struct(
         F.lit(False).alias("will"),
-        t.startswith("- ").alias("dash"),
+        (tx.count_of(F.concat(F.lit(" "), t), " - ") - tx.count_of(t, " - ")).alias("dash"),
         t.rlike(f"^{tx.SPACE}*{tx.WORD}ed{tx.NOT_BEFORE_WORD}").alias("passive"),
         F.left(low, F.lit(width)).alias("near"),
     )

@@ -11,6 +11,10 @@ from penprint.plans.keys import join_hot
 EXPANSION = 1.5
 TOKENS_PER_WORD, MOST_TOKENS = 3, 512
 OVERLONG = 2.5
+LABEL_FIELDS = [
+    "semicolon_frequency", "dash_frequency", "ellipsis_frequency", "archaic_words", "formal_words",
+    "discourse_markers_used", "top_emotions",
+]
 
 
 def length_budget(df: DataFrame, text: str = "original_text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -108,6 +109,7 @@ class Caps:
     readability: int | None = None
 
 
+VALENCE_FIELDS = {"vader_positive", "vader_negative", "vader_neutral", "vader_compound"}
 ORIGINAL_CAPS = Caps(sentiment=5000, emotion=1000, readability=5000)
 
 
@@ -285,20 +287,19 @@ def author_counters(
 
 def _no_nulls(df: DataFrame) -> DataFrame:
     """Zero for missing counters and empty arrays for missing lists."""
-    out = []
-    for f in df.schema.fields:
-        if f.dataType.typeName() == "array":
-            out.append(F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name))
-        elif f.name != "author":
-            out.append(F.coalesce(f.name, F.lit(0).cast(f.dataType)).alias(f.name))
-    return df.select("author", *out)
-
-
-def top_lists(docs: DataFrame, scope: str, placed: DataFrame | None = None) -> DataFrame:
-    """The five ranked lists per author as arrays."""
-    top = gr.top_terms(gr.gram_counts(docs, gr.PROFILE_KINDS, scope=scope, placed=placed), gr.PROFILE_KINDS)
+    lists = {
+        f.name: F.coalesce(f.name, F.array().cast(f.dataType))
+        for f in df.schema.fields
+        if f.dataType.typeName() == "array"
+    }
+    return df.fillna(0).withColumns(lists) if lists else df.fillna(0)
+
+
+def top_lists(docs: DataFrame, scope: str, placed: DataFrame | None = None, kinds: list[gr.Kind] = gr.PROFILE_KINDS) -> DataFrame:
+    """Ranked lists per author as arrays."""
+    top = gr.top_terms(gr.gram_counts(docs, kinds, scope=scope, placed=placed), kinds)
     arrays = []
-    for kind in gr.PROFILE_KINDS:
+    for kind in kinds:
         entry = F.when(F.col("kind") == kind.name, F.struct("rank", "term"))
         arrays.append(F.array_sort(F.collect_list(entry))["term"].alias(kind.name))
     return top.groupBy("author").agg(*arrays)
@@ -314,13 +315,19 @@ def style_profile(
     scope: str = "corpus",
     compat: bool = False,
     caps: Caps = Caps(),
+    only: Sequence[str] = tuple(FIELDS),
 ) -> DataFrame:
     """Measure each author's texts: 72 unrounded fields in the order of ``FIELDS``.
 
     ``scope='corpus'`` treats an author's texts as one text joined by spaces in ``seq`` order,
     ``'document'`` keeps every text to itself. ``depths(author, depth)`` replaces the rule-made
     sentence trees. ``compat`` reproduces the original's known slips, ``caps`` its text limits.
+    With ``only`` the parts of the plan that none of the named fields needs are left out.
     """
+    wanted = set(only)
+    unknown = wanted - set(FIELDS)
+    if unknown:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
     docs = docs.select(
         F.col(author).alias("author"),
         F.col(seq).cast("bigint").alias("seq"),
@@ -349,33 +356,35 @@ def style_profile(
     if caps.emotion is None:
         fields["top_emotions"] = emotion_struct()
     valence = se.valence_counters(head_chars(docs, caps.sentiment), lexicon)
-    if caps.sentiment is None:
+    if caps.sentiment is None and wanted & VALENCE_FIELDS:
         base = join_on(base, valence, ["author"], "left")
         sums = [F.coalesce(F.col(n), F.lit(0)) for n in ("valence_sum", "positive_sum", "negative_sum", "n_charged")]
         fields.update(se.valence_fields(*sums, c("n_words")))
     markers = F.slice("discourse_found", 1, 15).alias("discourse_markers_used")
     profile = base.select("author", *kept, markers, *[f.alias(name) for name, f in fields.items()])
 
-    if caps.readability is not None:
+    if caps.readability is not None and wanted & set(readability_fields()):
         profile = join_on(profile, _capped(docs, caps.readability, lexicon, scope, readability_fields()), ["author"], "left")
-    if caps.sentiment is not None:
+    if caps.sentiment is not None and wanted & (VALENCE_FIELDS | set(sentiment_fields())):
         profile = join_on(profile, _capped_sentiment(docs, caps.sentiment, lexicon, valence), ["author"], "left")
-    if caps.emotion is not None:
+    if caps.emotion is not None and "top_emotions" in wanted:
         profile = join_on(
             profile, _capped(docs, caps.emotion, lexicon, scope, {"top_emotions": emotion_struct()}), ["author"], "left"
         )
-    trees = tk.depth_fields(tk.rule_depths(docs.select("author", "text")) if depths is None else depths)
-    profile = join_on(profile, trees, ["author"], "left")
-    profile = profile.withColumns(
-        {
-            "avg_parse_tree_depth": ratio(c("depth_sum"), c("n_trees")),
-            "max_parse_tree_depth": F.coalesce(c("depth_max"), F.lit(0)).cast("int"),
-        }
-    )
-    profile = join_on(profile, top_lists(docs, scope, placed), ["author"], "left")
-    for kind in gr.PROFILE_KINDS:
-        profile = profile.withColumn(kind.name, F.coalesce(kind.name, F.array().cast("array<string>")))
-    return profile.select("author", *FIELDS)
+    if wanted & {"avg_parse_tree_depth", "max_parse_tree_depth"}:
+        trees = tk.depth_fields(tk.rule_depths(docs.select("author", "text")) if depths is None else depths)
+        profile = join_on(profile, trees, ["author"], "left").withColumns(
+            {
+                "avg_parse_tree_depth": ratio(c("depth_sum"), c("n_trees")),
+                "max_parse_tree_depth": F.coalesce(c("depth_max"), F.lit(0)).cast("int"),
+            }
+        )
+    kinds = [kind for kind in gr.PROFILE_KINDS if kind.name in wanted]
+    if kinds:
+        profile = join_on(profile, top_lists(docs, scope, placed, kinds), ["author"], "left")
+        empty = F.array().cast("array<string>")
+        profile = profile.withColumns({kind.name: F.coalesce(kind.name, empty) for kind in kinds})
+    return profile.select("author", *[f for f in FIELDS if f in wanted])
 
 
 def _capped(docs: DataFrame, limit: int, lexicon: DataFrame, scope: str, fields: dict[str, Column]) -> DataFrame:

@@ -15,6 +15,12 @@ def round_profile(profile: DataFrame) -> DataFrame:
     )
 
 
+SUMMARY_FIELDS = [
+    "avg_word_length", "avg_words_per_sentence", "vocabulary_richness", "formality_score", "sentiment_polarity",
+    "flesch_kincaid_grade", "top_words",
+]
+
+
 def profile_summary(profile: DataFrame) -> DataFrame:
     """Six scalars and ten words. ``avg_sentence_length`` holds the words per sentence."""
     return profile.select(

@@ -21,6 +21,9 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # The profile is a few thousand column expressions; noting a call site for each doubles
+        # the time to build it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
