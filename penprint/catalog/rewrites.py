@@ -11,6 +11,7 @@ from penprint.functions import vectors as vx
 from penprint.operators import fit
 from penprint.operators import rerank as rr
 from penprint.operators import vectors as vec
+from penprint.plans.keys import join_hot
 
 DIMS = 64
 # Rows of ``embeddings`` that texts are linked to; every test set has at least these.
@@ -108,7 +109,7 @@ def pairs(spark, sf):
     edits = inputs.select(
         "input_id", F.lit(1001).cast("bigint").alias("cand_id"), F.concat("input_text", F.lit(" indeed")).alias("candidate")
     )
-    return cands.unionByName(copies).unionByName(edits).join(inputs, "input_id")
+    return join_hot(cands.unionByName(copies).unionByName(edits), inputs, "input_id", F.col("cand_id"))
 
 
 PAIRS = (

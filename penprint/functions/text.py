@@ -13,6 +13,8 @@ from penprint import lexicons as lx
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same characters one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACE_CHARS}]"
 NON_SPACE = f"[^{SPACE_CHARS}]"
 # Explicit classes, since the meaning of \w and \b varies with engine and Java version.
@@ -31,7 +33,7 @@ def ratio(num: Column, den: Column, empty: float = 0.0) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -62,8 +64,9 @@ def word_count(text: Column) -> Column:
 
 
 def word_count_ws(text: Column) -> Column:
-    """Number of whitespace-separated pieces."""
-    return F.regexp_count(text, F.lit(f"{NON_SPACE}+"))
+    """Number of whitespace-separated pieces: one more than the runs of white space between them."""
+    inner = strip(text)
+    return F.when(inner == "", 0).otherwise(F.regexp_count(inner, F.lit(f"{SPACE}+")) + 1)
 
 
 def fragments(text: Column) -> Column:
@@ -73,18 +76,22 @@ def fragments(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Stripped non-blank pieces between runs of ``.!?``."""
-    return F.transform(F.filter(fragments(text), lambda s: s.rlike(NON_SPACE)), strip)
+    return stripped(fragments(text))
+
+
+def stripped(pieces: Column) -> Column:
+    """Stripped pieces without the blank ones."""
+    return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 
 def sentences_with_end(text: Column) -> Column:
     """Stripped sentences that keep their closing marks."""
-    pieces = F.regexp_extract_all(text, F.lit(SENTENCE_WITH_END), F.lit(0))
-    return F.transform(F.filter(pieces, lambda s: s.rlike(NON_SPACE)), strip)
+    return stripped(F.regexp_extract_all(text, F.lit(SENTENCE_WITH_END), F.lit(0)))
 
 
 def lines(text: Column) -> Column:
     """Stripped non-blank lines."""
-    return F.transform(F.filter(F.split(text, "\n"), lambda s: s.rlike(NON_SPACE)), strip)
+    return stripped(F.split(text, "\n"))
 
 
 def clean(text: Column) -> Column:

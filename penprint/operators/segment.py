@@ -77,8 +77,9 @@ def author_sentences(
 ) -> DataFrame:
     """``(author_id, num_sentences, sentences)``: the first ``wanted`` long sentences per author.
 
-    Authors with fewer long sentences than that are left out. Only ``wanted`` rows per author and
-    task are moved, and an author's array holds exactly ``wanted`` entries.
+    Authors with fewer long sentences than that are left out. Every task cuts its share to
+    ``wanted`` rows per author before anything moves, and an author's array holds exactly
+    ``wanted`` entries.
     """
     rows = filter_short_sentences(df.select(author, seq, text), text, more_than)
     first = first_k(rows, [author], [F.col(seq), F.col("sent_id")], wanted)
@@ -132,16 +133,15 @@ def sample_caps(
     df: DataFrame, caps: dict[str, int | None], author: str = "author", seq: str = "seq", text: str = "text"
 ) -> DataFrame:
     """How much of each author's merged text a set of character caps lets through."""
-    pieces = merge_posts(df, author, seq, text)
+    sizes = df.select(author, seq, F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("__size"))
+    placed = running_totals(sizes.withColumn("__len", F.col("__size") + 1), author, seq, {"start": "__len"})
     through = [
         F.sum(
-            F.length(text).cast("bigint")
-            if cap is None
-            else F.least(F.length(text).cast("bigint"), F.greatest(F.lit(0), F.lit(cap) - F.col("start")))
+            F.col("__size") if cap is None else F.least(F.col("__size"), F.greatest(F.lit(0), F.lit(cap) - F.col("start")))
         ).alias(name)
         for name, cap in caps.items()
     ]
-    return pieces.groupBy(author).agg(*through)
+    return placed.groupBy(author).agg(*through)
 
 
 def strip_prompt_echo(df: DataFrame, output: str = "output", prompt: str = "prompt", out: str = "answer") -> DataFrame:

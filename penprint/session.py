@@ -20,6 +20,8 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Vector sums per author are objects; let a task hold a few thousand before it sorts.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
         .config("spark.ui.enabled", "false")
         # The profile is a few thousand column expressions; noting a call site for each doubles
         # the time to build it.
@@ -34,6 +36,9 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return builder.getOrCreate()
 
 
+_local_root: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -43,6 +48,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/penprint-{name}-{uuid.uuid4().hex}"

@@ -22,17 +22,13 @@ def running_counters(texts: DataFrame, style: str = "style_name", text: str = "t
     t = F.col(text)
     marks, patterns = ct.mark_counts(t), ct.pattern_counts(t, F.lower(t))
     lengths = F.transform(F.filter(tx.fragments(t), lambda s: s.rlike(tx.NON_SPACE)), tx.word_count)
-    words = tx.words(t)
-
-    def total(xs, f):
-        return F.aggregate(xs, F.lit(0).cast("bigint"), lambda acc, x: acc + f(x))
-
-    rows = texts.select(style, text, words.alias("__w"), lengths.alias("__l")).select(
+    squares = F.aggregate("__l", F.lit(0).cast("bigint"), lambda acc, n: acc + n.cast("bigint") * n)
+    rows = texts.select(style, text, lengths.alias("__l")).select(
         style,
-        F.size("__w").cast("bigint").alias("n_words"),
-        total("__w", lambda w: F.length(w).cast("bigint")).alias("word_chars"),
+        tx.word_count(t).cast("bigint").alias("n_words"),
+        F.length(F.regexp_replace(F.lower(t), f"[^{tx.WORD_CLASS}]+", "")).cast("bigint").alias("word_chars"),
         F.size("__l").cast("bigint").alias("n_sentences"),
-        total("__l", lambda n: n.cast("bigint") * n).alias("sent_words_sq"),
+        squares.alias("sent_words_sq"),
         *[c.cast("bigint").alias(n) for n, c in {**marks, **patterns}.items() if n in RUNNING],
     )
     return rows.groupBy(style).agg(*[F.sum(n).alias(n) for n in RUNNING])
