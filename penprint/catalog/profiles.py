@@ -573,9 +573,9 @@ PROFILE_FIELDS = list(_PROFILE_SQL)
 register("style_profile", lambda spark, sf: profile(spark, sf, only=PROFILE_FIELDS).select("author", *PROFILE_FIELDS), _profile_sql(_PROFILE_SQL))
 
 
-def _whole_profile(spark, sf):
+def _whole_profile(docs):
     """All 72 fields in long form: numbers as they are, lists as joined text."""
-    p = profile(spark, sf)
+    p = pr.style_profile(docs)
     rows = [F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value"), F.lit(None).cast("string").alias("terms"))
             for f in [*pr.SCALAR_FIELDS, "max_parse_tree_depth"]]
     rows += [F.struct(F.lit(f).alias("field"), F.lit(None).cast("double").alias("value"), F.array_join(f, "|").alias("terms")) for f in pr.LIST_FIELDS]
@@ -727,4 +727,9 @@ def _all_fields_sql() -> str:
     return _profile_sql_raw(_PROFILE_SQL) + "\nUNION ALL ".join(selects)
 
 
-register("style_profile_all_fields", _whole_profile, _all_fields_sql())
+register("style_profile_all_fields", lambda spark, sf: _whole_profile(marked(spark, sf)), _all_fields_sql())
+register(
+    "style_profile_raw_documents",
+    lambda spark, sf: _whole_profile(documents(spark, sf)),
+    _all_fields_sql().replace(MARKED, DOCS),
+)

@@ -31,13 +31,30 @@ REFINE_STEPS = 15
 
 
 def edit_penalty(candidate: Column, text: Column) -> Column:
-    return F.levenshtein(candidate, text) / F.greatest(F.length(text), F.lit(1))
+    return penalty_of(F.levenshtein(candidate, text), text)
 
 
 def copy_ratio(a: Column, b: Column) -> Column:
     """One minus the edit distance over the longer length; 1 for two empty texts."""
+    return ratio_of(F.levenshtein(a, b), a, b)
+
+
+def penalty_of(distance: Column, text: Column) -> Column:
+    return distance / F.greatest(F.length(text), F.lit(1))
+
+
+def ratio_of(distance: Column, a: Column, b: Column) -> Column:
     longer = F.greatest(F.length(a), F.length(b))
-    return F.when(longer == 0, 1.0).otherwise(1.0 - F.levenshtein(a, b) / longer)
+    return F.when(longer == 0, 1.0).otherwise(1.0 - distance / longer)
+
+
+def with_edit_terms(df: DataFrame, candidate: str, text: str) -> DataFrame:
+    """Add ``e4`` and ``copy_ratio`` with the edit distance, the costly part, worked out once."""
+    a, b = F.col(candidate), F.col(text)
+    measured = df.withColumn("__distance", F.levenshtein(a, b))
+    return measured.withColumns(
+        {"e4": penalty_of(F.col("__distance"), b), "copy_ratio": ratio_of(F.col("__distance"), a, b)}
+    ).drop("__distance")
 
 
 def with_copy_ratio(df: DataFrame, candidate: str = "candidate", text: str = "input_text") -> DataFrame:
@@ -75,14 +92,11 @@ def score_candidate(
     sigma: str = "sigma",
 ) -> DataFrame:
     """All five terms: likelihood, style distance, meaning distance, edit penalty and copy ratio."""
-    cand, source = F.col(candidate), F.col(text)
-    return df.withColumns(
+    return with_edit_terms(df, candidate, text).withColumns(
         {
             "e1": vx.neg_log_density(F.col(target), F.col(mu), F.col(sigma)),
             "e2": 1.0 - vx.cosine(F.col(cand_style), F.col(target)),
             "e3": 1.0 - vx.dot(vx.unit(F.col(text_meaning)), vx.unit(F.col(cand_meaning))),
-            "e4": edit_penalty(cand, source),
-            "copy_ratio": copy_ratio(cand, source),
         }
     )
 
@@ -155,7 +169,8 @@ def greedy_refine(
         first = starts.select(key, F.lit(-1).cast("bigint").alias("step"), F.col("current").alias("proposal"), "e1", "e2", "e3")
         later = within.select(key, F.col("step").cast("bigint").alias("step"), "proposal", "e1", "e2", "e3")
         rows = join_hot(first.unionByName(later), inputs, key, F.col("step"))
-        scored = rows.withColumn("energy", model + closeness(F.col("proposal"), F.col("text")))
+        rated = with_edit_terms(rows, "proposal", "text")
+        scored = rated.withColumn("energy", model + (weights.e4 * F.col("e4") + weights.copy_ratio * F.col("copy_ratio")))
         best = F.min_by(F.struct("proposal", "energy", "step"), F.struct("energy", "step")).alias("b")
         return scored.groupBy(key).agg(best).select(
             key, F.col("b.proposal").alias("refined"), F.col("b.energy").alias("energy"), F.col("b.step").alias("last_step")
