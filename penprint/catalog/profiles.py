@@ -597,11 +597,6 @@ register(
             {div('n_once', 'n_distinct')} AS hapax_legomena_ratio FROM wsum JOIN ds USING (author) JOIN dc USING (author)""",
     ),
 )
-_CAPPED_FIELDS = ["flesch_reading_ease", "smog_index", "vader_compound", "sentiment_polarity", "formality_score"]
-register(
-    "style_profile_original_caps",
-    lambda spark, sf: profile(spark, sf, compat=True, caps=pr.ORIGINAL_CAPS, only=_CAPPED_FIELDS).select("author", *_CAPPED_FIELDS),
-)
 _ROUNDED = [
     "avg_word_length", "vocabulary_richness", "hapax_legomena_ratio", "avg_words_per_sentence", "comma_frequency",
     "dash_frequency", "flesch_reading_ease", "smog_index", "politeness_score", "noun_ratio",
@@ -733,3 +728,31 @@ register(
     lambda spark, sf: _whole_profile(documents(spark, sf)),
     _all_fields_sql().replace(MARKED, DOCS),
 )
+
+# The original's caps: readability and sentiment see the first 5,000 characters of an author.
+
+_CAPPED = {
+    "flesch_reading_ease": "flesch_reading_ease",
+    "smog_index": "smog_index",
+    "vader_compound": "vader_scores",
+    "sentiment_polarity": "sentiment_polarity_subjectivity",
+}
+_CUT = (
+    MARKED.replace("docs AS", "whole AS", 1)
+    + """, begun AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY author ORDER BY seq
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM whole),
+       docs AS (SELECT author, seq, left(text, (5000 - start)::BIGINT) AS text FROM begun WHERE start < 5000)"""
+)
+
+
+def _capped_profile(spark, sf):
+    fields = [*_CAPPED, "formality_score"]
+    return profile(spark, sf, compat=True, caps=pr.ORIGINAL_CAPS, only=fields).select("author", *fields)
+
+
+register(
+    "style_profile_original_caps",
+    _capped_profile,
+    f"SELECT author, {', '.join(_CAPPED)}, formality_score FROM ({QUERIES['formality_score_compat'].sql})"
+    + "".join(f" JOIN (SELECT author, {f} FROM ({QUERIES[q].sql.replace(MARKED, _CUT)})) USING (author)" for f, q in _CAPPED.items()),
+)
