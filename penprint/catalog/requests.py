@@ -197,7 +197,7 @@ def _stream_counters(spark, sf):
     texts = marked(spark, sf).select(F.col("author").alias("style_name"), "text")
     out = scratch_path(spark, "running")
     jobs.stream_profile_counters(_as_stream(spark, texts, "texts"), out, scratch_path(spark, "running-log")).awaitTermination()
-    return jobs.read_registry(spark, out).drop("batch")
+    return jobs.read_registry(spark, out, order=None)
 
 
 _RUNNING = {

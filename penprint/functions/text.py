@@ -94,10 +94,13 @@ def lines(text: Column) -> Column:
     return stripped(F.split(text, "\n"))
 
 
-def clean(text: Column) -> Column:
-    """Drop link placeholders, URLs and tags closed on their line, then squeeze white space."""
+def clean(text: Column, any_case: bool = False) -> Column:
+    """Drop link placeholders, URLs and tags closed on their line, then squeeze white space.
+
+    The placeholder is dropped in lower case only unless ``any_case``.
+    """
     t = F.coalesce(text, F.lit(""))
-    t = F.replace(t, F.lit("urllink"), F.lit(" "))
+    t = F.regexp_replace(t, "(?i)urllink", " ") if any_case else F.replace(t, F.lit("urllink"), F.lit(" "))
     t = F.regexp_replace(t, f"http{NON_SPACE}+", " ")
     t = F.regexp_replace(t, r"<[^>\n]*>", " ")
     t = F.regexp_replace(t, f"{SPACE}+", " ")

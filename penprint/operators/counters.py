@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from penprint import lexicons as lx
 from penprint.functions import text as tx
 from penprint.operators.edges import AUXILIARIES, place_edges, text_edges
-from penprint.plans.keys import explode
+from penprint.plans.keys import explode, first_k, join_on
 
 # counter -> the literals whose occurrences it adds up
 MARKS = {
@@ -157,6 +157,17 @@ def sentence_counters(
     )
     inside = _sentence_sums(inner, author, compat)
     placed = place_edges(text_edges(df, author, seq, text), author, seq) if placed is None else placed
+    seams = _edge_sentences(placed, author, compat).groupBy(author).agg(
+        *_sentence_aggregates(F.col("n"), F.col("type"))
+    )
+    return _sum_by(inside.unionByName(seams), author, SENTENCE_COUNTERS)
+
+
+def _edge_sentences(placed: DataFrame, author: str, compat: bool) -> DataFrame:
+    """Sentences with a part at the edge of a text: ``(author, number, n, type)``.
+
+    ``number`` counts the runs of stops that come before in the author's texts.
+    """
     joined = (
         placed.select(author, "stop_offset", F.inline_outer("fragments"))
         .groupBy(author, (F.col("stop_offset") + F.col("number")).alias("number"))
@@ -165,10 +176,40 @@ def sentence_counters(
     )
     conj, sub = ("conj_any", "sub_any") if compat else ("conj", "sub")
     kind = tx.type_from_flags(F.col(conj) == 1, F.col(sub) == 1, F.col("pause") == 1, compat)
-    seams = joined.select(author, "n", kind.alias("type")).groupBy(author).agg(
-        *_sentence_aggregates(F.col("n"), F.col("type"))
+    return joined.select(author, "number", "n", kind.alias("type"))
+
+
+def first_sentence_types(
+    df: DataFrame,
+    limit: int,
+    author: str = "author",
+    seq: str = "seq",
+    text: str = "text",
+    compat: bool = False,
+    placed: DataFrame | None = None,
+) -> DataFrame:
+    """``n_simple, n_compound, n_complex`` among an author's first ``limit`` sentences in corpus scope.
+
+    Texts with ``limit`` whole sentences before them cannot matter and are left out before the
+    others meet their places.
+    """
+    placed = place_edges(text_edges(df, author, seq, text), author, seq) if placed is None else placed
+    early = placed.where(F.col("inner_offset") < limit).select(author, seq, "stop_offset")
+    texts = join_on(df.select(author, seq, tx.fragments(F.col(text)).alias("__f")), early, [author, seq])
+    inner = (
+        explode(texts, [author, "stop_offset", F.size("__f").alias("__size")], "__f", "s", "pos")
+        .where((F.col("pos") > 0) & (F.col("pos") < F.col("__size") - 1) & F.col("s").rlike(tx.NON_SPACE))
+        .select(
+            author,
+            (F.col("stop_offset") + F.col("pos")).alias("number"),
+            tx.sentence_type(F.col("s"), compat).alias("type"),
+        )
+    )
+    edge = _edge_sentences(placed, author, compat).select(author, "number", "type")
+    first = first_k(inner.unionByName(edge), [author], [F.col("number")], limit)
+    return first.groupBy(author).agg(
+        *[F.count(F.when(F.col("type") == t, 1)).alias(f"n_{t}") for t in ("simple", "compound", "complex")]
     )
-    return _sum_by(inside.unionByName(seams), author, SENTENCE_COUNTERS)
 
 
 WORD_LISTS = {

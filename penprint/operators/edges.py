@@ -13,7 +13,7 @@ from penprint.session import scratch_path
 AUXILIARIES = ["was", "were", "been", "being"]
 # Items kept at either end of a text: one less than the longest n-gram of the profile.
 WORD_REACH, CHAR_REACH = 2, 3
-TOTALS = {"word_offset": "word_size", "char_offset": "char_size", "stop_offset": "stops", "text_offset": "real_text"}
+TOTALS = {"word_offset": "word_size", "char_offset": "char_size", "stop_offset": "stops", "text_offset": "real_text", "inner_offset": "inner"}
 
 
 def _word_pieces(words: Column, last: bool) -> Column:
@@ -80,6 +80,10 @@ def text_edges(df: DataFrame, author: str = "author", seq: str = "seq", text: st
         F.length(chars).alias("char_size"),
         stops.alias("stops"),
         t.rlike(tx.NON_SPACE).cast("int").alias("real_text"),
+        # Sentences that lie wholly within the text.
+        F.when(
+            stops > 1, F.size(F.filter(F.slice("__f", F.lit(2), stops - 1), lambda s: s.rlike(tx.NON_SPACE)))
+        ).otherwise(0).alias("inner"),
         _word_pieces(words, last=False).alias("word_first"),
         _word_pieces(words, last=True).alias("word_last"),
         F.array(*[F.left(chars, F.lit(k)) for k in range(1, CHAR_REACH + 1)]).alias("char_first"),

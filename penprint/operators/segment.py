@@ -9,8 +9,8 @@ from penprint.functions import text as tx
 from penprint.plans.keys import explode, first_k, join_on, running_totals
 
 
-def clean_text(df: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
-    return df.withColumn(out or text, tx.clean(F.col(text)))
+def clean_text(df: DataFrame, text: str = "text", out: str | None = None, any_case: bool = False) -> DataFrame:
+    return df.withColumn(out or text, tx.clean(F.col(text), any_case))
 
 
 def merge_posts(df: DataFrame, author: str = "author", seq: str = "seq", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from penprint import lexicons as lx
 from penprint.functions import text as tx
-from penprint.plans.keys import explode
+from penprint.plans.keys import explode, first_k
 
 TOKEN = f"{tx.WORD}|[^{tx.WORD_CLASS}{tx.SPACE_CHARS}]"
 POS_FIELDS = {
@@ -103,14 +103,20 @@ def _role(word: Column) -> Column:
     return role.when(word.rlike(tx.NUMBER), "r").when(~word.rlike(tx.WORD), "o").otherwise("n")
 
 
-def rule_depths(df: DataFrame, text: str = "text") -> DataFrame:
+def rule_depths(
+    df: DataFrame, text: str = "text", first: int | None = None, author: str = "author", seq: str = "seq"
+) -> DataFrame:
     """Depth per sentence by the attachment rule, without moving any token.
 
+    With ``first`` only an author's first so many sentences are measured.
+
     Under that rule only runs of right-hanging tokens make a tree deeper, so the depth is read off
     a string with one letter per token: a run ending in the root is as deep as it is long, a run
     ending in any other token one deeper.
     """
     sents = split_rows(df, text)
+    if first is not None:
+        sents = first_k(sents, [author], [F.col(seq), F.col("sent_id")], first)
     rest = [c for c in sents.columns if c != "sentence"]
     tokens = F.regexp_extract_all(F.lower(F.col("sentence")), F.lit(TOKEN), F.lit(0))
     roles = sents.select(*rest, F.array_join(F.transform(tokens, _role), "").alias("__roles"))

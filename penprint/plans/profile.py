@@ -102,15 +102,24 @@ SCALAR_FIELDS = [f for f in FIELDS if f not in LIST_FIELDS and f not in ("top_em
 
 @dataclass(frozen=True)
 class Caps:
-    """Character limits on an author's merged text for some fields; ``None`` reads all of it."""
+    """Limits on how much of an author is read for some fields; ``None`` reads all of it.
+
+    The first four count characters of the merged text, the last two sentences.
+    """
 
     sentiment: int | None = None
     emotion: int | None = None
     readability: int | None = None
+    annotation: int | None = None
+    sentence_types: int | None = None
+    trees: int | None = None
 
 
 VALENCE_FIELDS = {"vader_positive", "vader_negative", "vader_neutral", "vader_compound"}
-ORIGINAL_CAPS = Caps(sentiment=5000, emotion=1000, readability=5000)
+TYPE_FIELDS = {"simple_sentence_ratio", "compound_sentence_ratio", "complex_sentence_ratio"}
+ORIGINAL_CAPS = Caps(
+    sentiment=5000, emotion=1000, readability=5000, annotation=1_000_000, sentence_types=500, trees=100
+)
 
 
 # Fields as expressions over counters ----------------------------------------------------------
@@ -189,7 +198,7 @@ def mark_fields() -> dict[str, Column]:
 
 
 def tag_fields() -> dict[str, Column]:
-    tokens = c("n_words") + c("n_other_tokens")
+    tokens = c("n_tagged")
     return {
         **{name: ratio(c(f"n_pos_{tag.lower()}"), tokens) for name, tag in tk.POS_FIELDS.items()},
         "present_tense_ratio": ratio(c("n_present"), c("n_present") + c("n_past")),
@@ -345,9 +354,19 @@ def style_profile(
         **tag_fields(),
         **discourse_fields(compat),
         "formality_score": formality(
-            c("n_pos_noun"), c("n_words") + c("n_other_tokens"), c("n_formal"), c("n_contractions"), c("n_words"), compat
+            c("n_pos_noun"), c("n_tagged"), c("n_formal"), c("n_contractions"), c("n_words"), compat
         ),
     }
+    base = base.withColumn("n_tagged", c("n_words") + c("n_other_tokens"))
+    if caps.annotation is not None and wanted & {*tag_fields(), "formality_score"}:
+        base = _with_capped_tags(base, docs, caps.annotation)
+    if caps.sentence_types is not None and wanted & TYPE_FIELDS:
+        if scope != "corpus":
+            raise ValueError("the limit on sentence types is defined on an author's texts as one")
+        types = ct.first_sentence_types(docs, caps.sentence_types, compat=compat, placed=placed)
+        base = join_on(base.drop("n_simple", "n_compound", "n_complex"), types, ["author"], "left").fillna(0)
+        classified = c("n_simple") + c("n_compound") + c("n_complex")
+        fields.update({f"{t}_sentence_ratio": ratio(c(f"n_{t}"), classified) for t in ("simple", "compound", "complex")})
     kept = ["modal_verbs_used", "archaic_words", "formal_words"]
     if caps.readability is None:
         fields.update(readability_fields())
@@ -372,7 +391,10 @@ def style_profile(
             profile, _capped(docs, caps.emotion, lexicon, scope, {"top_emotions": emotion_struct()}), ["author"], "left"
         )
     if wanted & {"avg_parse_tree_depth", "max_parse_tree_depth"}:
-        trees = tk.depth_fields(tk.rule_depths(docs.select("author", "text")) if depths is None else depths)
+        if depths is None:
+            ordered = docs if caps.trees is not None else docs.select("author", "text")
+            depths = tk.rule_depths(ordered, first=caps.trees)
+        trees = tk.depth_fields(depths)
         profile = join_on(profile, trees, ["author"], "left").withColumns(
             {
                 "avg_parse_tree_depth": ratio(c("depth_sum"), c("n_trees")),
@@ -387,6 +409,18 @@ def style_profile(
     return profile.select("author", *[f for f in FIELDS if f in wanted])
 
 
+def _with_capped_tags(base: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
+    """Replace the tag and tense counters by those of each author's first ``limit`` characters."""
+    head = head_chars(docs, limit)
+    words = ct.word_counters(gr.vocabulary(head))
+    marks = ct.text_counters(head).groupBy("author").agg(F.sum("n_other_tokens").alias("marks"))
+    counted = [f"n_pos_{tag.lower()}" for tag in ct.COUNTED_TAGS] + ["n_present", "n_past"]
+    both = _no_nulls(join_on(marks, words, ["author"], "left")).select(
+        "author", *counted, (c("n_words") + c("marks")).alias("n_tagged")
+    )
+    return join_on(base.drop(*counted, "n_tagged"), both, ["author"], "left").fillna(0)
+
+
 def _capped(docs: DataFrame, limit: int, lexicon: DataFrame, scope: str, fields: dict[str, Column]) -> DataFrame:
     head = head_chars(docs, limit)
     words = ct.word_counters(gr.vocabulary(head), lexicon)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -37,9 +36,9 @@ def running_counters(texts: DataFrame, style: str = "style_name", text: str = "t
 def stream_profile_counters(texts: DataFrame, table: str, checkpoint: str, key: str = "style_name") -> StreamingQuery:
     """Keep the running counters of all styles in a stored table.
 
-    Each micro-batch hands over the totals of the styles it touched; they replace the stored rows.
+    Each micro-batch hands over the totals of the styles it touched; later totals replace earlier.
     """
-    return _upserting(running_counters(texts, key).writeStream.outputMode("update"), table, checkpoint, key)
+    return _logged(running_counters(texts, key).writeStream.outputMode("update"), table, checkpoint)
 
 
 def stream_transfer_requests(requests: DataFrame, cards: DataFrame) -> DataFrame:
@@ -65,42 +64,33 @@ def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def stream_registry_upsert(changes: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Fold each micro-batch of changed styles into the stored ones; the newest ``ts`` wins."""
-    return _upserting(changes.writeStream, table, checkpoint, "style_name", "ts")
+    """Log each micro-batch of changed styles; ``read_registry`` gives the newest row per style."""
+    return _logged(changes.writeStream, table, checkpoint)
 
 
-def _upserting(
-    writer: DataStreamWriter, table: str, checkpoint: str, key: str, order: str | None = None
-) -> StreamingQuery:
-    """Fold micro-batches into a stored table; without an ``order`` column later batches win.
+def _logged(writer: DataStreamWriter, table: str, checkpoint: str) -> StreamingQuery:
+    """Write every micro-batch to its own folder below ``table``.
 
-    Every batch writes a new version below ``table`` and never touches the one it reads, so a
-    failed or repeated batch leaves the last version whole.
+    The work per batch grows with the batch, not with the table. A repeated batch overwrites only
+    its own folder, so the table stays right when an executor or the driver is lost.
     """
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        rows = batch if order else batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
-        last = latest_version(batch.sparkSession, table, before=batch_id)
-        base = _version(batch.sparkSession, table, last) if last is not None else rows.limit(0)
-        style_upsert(base, rows, key, order or "batch").write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
 
-    return writer.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return writer.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _version(spark: SparkSession, table: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v={version}")
+def read_registry(spark: SparkSession, table: str, key: str = "style_name", order: str | None = "ts") -> DataFrame:
+    """The newest row per key: by ``order``, then by batch; without ``order`` by batch alone."""
+    log = spark.read.parquet(table)
+    age = F.struct(order, "v") if order else F.struct("v")
+    newest = style_upsert(log.withColumn("__age", age), log.limit(0).withColumn("__age", age), key, "__age")
+    return newest.drop("__age", "v")
 
 
-def latest_version(spark: SparkSession, table: str, before: int | None = None) -> int | None:
-    """The newest version number, optionally below ``before``; None if there is no table yet."""
-    try:
-        versions = spark.read.parquet(table).select(F.col("v").cast("bigint").alias("v"))
-    except AnalysisException:
-        return None
-    if before is not None:
-        versions = versions.where(F.col("v") < before)
-    return versions.agg(F.max("v")).first()[0]
-
-
-def read_registry(spark: SparkSession, table: str) -> DataFrame:
-    return _version(spark, table, latest_version(spark, table))
+def compact_registry(
+    spark: SparkSession, table: str, into: str, key: str = "style_name", order: str | None = "ts"
+) -> None:
+    """Write the newest rows of a log as the start of a new one."""
+    read_registry(spark, table, key, order).write.parquet(f"{into}/v=-1")

@@ -10,7 +10,7 @@ from penprint.operators import edges as ed
 from penprint.plans import profile as pr
 from penprint.plans import reports as rp
 
-from brute import measures
+from brute import kind_of, measures, sentences_of
 
 FIXED = [
     ("a", 1, "Why would you say that? Who knows."),
@@ -123,6 +123,34 @@ def test_caps_read_only_the_head(spark):
     assert capped["smog_index"] == alone["smog_index"] and capped["flesch_reading_ease"] == alone["flesch_reading_ease"]
 
 
+@pytest.mark.parametrize("compat", [False, True])
+def test_first_sentences_only(spark, rows, compat):
+    docs = spark.createDataFrame(rows, "author string, seq bigint, text string").repartition(5)
+    for limit in (1, 3, 8):
+        got = {r["author"]: r for r in ct.first_sentence_types(docs, limit, compat=compat).collect()}
+        by = {}
+        for a, _, t in sorted(rows):
+            by.setdefault(a, []).append(t)
+        for author, texts in by.items():
+            kinds = [kind_of(x, compat) for x in sentences_of(" ".join(texts))[:limit]]
+            r = got.get(author)
+            have = (r["n_simple"], r["n_compound"], r["n_complex"]) if r else (0, 0, 0)
+            assert have == tuple(kinds.count(k) for k in ("simple", "compound", "complex")), (author, limit, texts)
+
+
+def test_all_caps_at_once(spark):
+    rows = [("a", i, f"The happy dog number {i} was painted, and it quickly walked home. Why would you go?") for i in range(200)]
+    docs = spark.createDataFrame(rows, "author string, seq bigint, text string")
+    caps = pr.Caps(sentiment=100, emotion=100, readability=100, annotation=100, sentence_types=4, trees=4)
+    head = " ".join(t for _, _, t in rows)[:100]
+    alone = spark.createDataFrame([("a", 1, head)], "author string, seq bigint, text string")
+    a, b = style_profile(docs, caps=caps).first(), style_profile(alone).first()
+    for f in ("noun_ratio", "verb_ratio", "present_tense_ratio", "concreteness_score", "flesch_reading_ease", "vader_compound"):
+        assert a[f] == b[f], f
+    assert a["complex_sentence_ratio"] == 0.0 and a["compound_sentence_ratio"] == 0.5
+    assert a["comma_frequency"] == style_profile(docs, only=["comma_frequency"]).first()[0 + 1]
+
+
 def test_reports(spark):
     docs = spark.createDataFrame(FIXED, "author string, seq bigint, text string")
     profile = style_profile(docs).cache()

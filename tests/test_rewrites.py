@@ -187,11 +187,20 @@ def test_stream_equals_batch(spark):
     texts.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 1).parquet(source)
     jobs.stream_profile_counters(stream, table, scratch_path(spark, "c")).awaitTermination()
-    streamed = jobs.read_registry(spark, table).drop("batch")
+    streamed = jobs.read_registry(spark, table, order=None)
     batch = jobs.running_counters(texts)
     assert sorted(streamed.select(batch.columns).collect()) == sorted(batch.collect())
-    assert jobs.latest_version(spark, table) == 3 and jobs.latest_version(spark, table, before=2) == 1
-    assert jobs.latest_version(spark, scratch_path(spark, "missing")) is None
+    compacted = scratch_path(spark, "compact")
+    jobs.compact_registry(spark, table, compacted, order=None)
+    assert sorted(jobs.read_registry(spark, compacted, order=None).select(batch.columns).collect()) == sorted(batch.collect())
+
+
+def test_newest_style_wins_whatever_the_batch(spark):
+    table = scratch_path(spark, "log")
+    spark.createDataFrame([("poe", 5, 1), ("bly", 1, 2)], "style_name string, ts bigint, x int").write.parquet(f"{table}/v=0")
+    spark.createDataFrame([("poe", 3, 3), ("bly", 1, 4)], "style_name string, ts bigint, x int").write.parquet(f"{table}/v=1")
+    got = {r["style_name"]: r["x"] for r in jobs.read_registry(spark, table).collect()}
+    assert got == {"poe": 1, "bly": 4}
 
 
 def test_unit_vector_is_unit(spark):
