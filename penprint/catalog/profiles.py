@@ -745,14 +745,33 @@ _CUT = (
 )
 
 
+_FIRST_TYPES_SQL = with_ctes(
+    MARKED, CORPUS, SENTS, _TYPED, _TYPES.replace("SELECT author,", "SELECT author, idx,"),
+    """SELECT author, count(*) FILTER (WHERE type_compat = 'simple')::DOUBLE / count(*)::DOUBLE AS simple_sentence_ratio,
+       count(*) FILTER (WHERE type_compat = 'complex')::DOUBLE / count(*)::DOUBLE AS complex_sentence_ratio
+       FROM types WHERE idx < 500 GROUP BY author""",
+)
+
+
+def _first_types(spark, sf):
+    counted = ct.first_sentence_types(marked(spark, sf), 500, compat=True)
+    n = F.col("n_simple") + F.col("n_compound") + F.col("n_complex")
+    return counted.select(
+        "author", tx.ratio(F.col("n_simple"), n).alias("simple_sentence_ratio"), tx.ratio(F.col("n_complex"), n).alias("complex_sentence_ratio")
+    )
+
+
+register("sentence_type_ratios_first_500", _first_types, _FIRST_TYPES_SQL)
+
+
 def _capped_profile(spark, sf):
-    fields = [*_CAPPED, "formality_score"]
+    fields = [*_CAPPED, "simple_sentence_ratio", "complex_sentence_ratio"]
     return profile(spark, sf, compat=True, caps=pr.ORIGINAL_CAPS, only=fields).select("author", *fields)
 
 
 register(
     "style_profile_original_caps",
     _capped_profile,
-    f"SELECT author, {', '.join(_CAPPED)}, formality_score FROM ({QUERIES['formality_score_compat'].sql})"
+    f"SELECT author, {', '.join(_CAPPED)}, simple_sentence_ratio, complex_sentence_ratio FROM ({_FIRST_TYPES_SQL})"
     + "".join(f" JOIN (SELECT author, {f} FROM ({QUERIES[q].sql.replace(MARKED, _CUT)})) USING (author)" for f, q in _CAPPED.items()),
 )

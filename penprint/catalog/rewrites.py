@@ -289,7 +289,7 @@ register(
         FROM emb JOIN gauss USING (author, dim) GROUP BY author, vec_id)""", "SELECT author, round(avg(nll), 6) AS mean_nll, count(*) AS n FROM v GROUP BY author"),
 )
 register(
-    "fit_author_gaussian",
+    "fit_style_gaussian",
     lambda spark, sf: fit.fit_author_gaussian(embeddings(spark, sf))
     .select("author", "n", F.posexplode(F.arrays_zip("mu", "sigma")).alias("dim", "z"))
     .select("author", "n", F.col("dim").cast("bigint").alias("dim"), F.round("z.mu", 6).alias("mu"), F.round("z.sigma", 6).alias("sigma")),

@@ -76,7 +76,7 @@ def _logged(writer: DataStreamWriter, table: str, checkpoint: str) -> StreamingQ
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{table}/log_batch={batch_id}")
 
     return writer.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -84,13 +84,13 @@ def _logged(writer: DataStreamWriter, table: str, checkpoint: str) -> StreamingQ
 def read_registry(spark: SparkSession, table: str, key: str = "style_name", order: str | None = "ts") -> DataFrame:
     """The newest row per key: by ``order``, then by batch; without ``order`` by batch alone."""
     log = spark.read.parquet(table)
-    age = F.struct(order, "v") if order else F.struct("v")
+    age = F.struct(order, "log_batch") if order else F.struct("log_batch")
     newest = style_upsert(log.withColumn("__age", age), log.limit(0).withColumn("__age", age), key, "__age")
-    return newest.drop("__age", "v")
+    return newest.drop("__age", "log_batch")
 
 
 def compact_registry(
     spark: SparkSession, table: str, into: str, key: str = "style_name", order: str | None = "ts"
 ) -> None:
     """Write the newest rows of a log as the start of a new one."""
-    read_registry(spark, table, key, order).write.parquet(f"{into}/v=-1")
+    read_registry(spark, table, key, order).write.parquet(f"{into}/log_batch=-1")

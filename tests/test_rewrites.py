@@ -197,8 +197,8 @@ def test_stream_equals_batch(spark):
 
 def test_newest_style_wins_whatever_the_batch(spark):
     table = scratch_path(spark, "log")
-    spark.createDataFrame([("poe", 5, 1), ("bly", 1, 2)], "style_name string, ts bigint, x int").write.parquet(f"{table}/v=0")
-    spark.createDataFrame([("poe", 3, 3), ("bly", 1, 4)], "style_name string, ts bigint, x int").write.parquet(f"{table}/v=1")
+    spark.createDataFrame([("poe", 5, 1), ("bly", 1, 2)], "style_name string, ts bigint, x int").write.parquet(f"{table}/log_batch=0")
+    spark.createDataFrame([("poe", 3, 3), ("bly", 1, 4)], "style_name string, ts bigint, x int").write.parquet(f"{table}/log_batch=1")
     got = {r["style_name"]: r["x"] for r in jobs.read_registry(spark, table).collect()}
     assert got == {"poe": 1, "bly": 4}
 
