@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import (
-    CORPUS, MARKED, VOCAB, WORD, WORDS, count_sql, documents, in_list, marked, quote, register, table, with_ctes,
+    CORPUS, MARKED, VOCAB, WORD, WORDS, count_sql, in_list, marked, register, table, with_ctes,
 )
 from penprint.catalog.profiles import div, profile, text_cte
 from penprint.catalog.texts import strip_sql, words_ws
 from penprint import lexicons as lx
 from penprint.operators import prompts as pm
 from penprint.operators import registry as rg
-from penprint.plans import profile as pr
 from penprint.session import scratch_path
 from penprint.streaming import jobs
 
 
 def requests(spark, sf):
-    """Turns as requests: every 25th style is unknown, some names and texts are missing."""
+    """Turns as requests: two of 22 styles are unknown, some names and texts are missing."""
     turns = table(spark, sf, "conversations")
     k = F.col("conv_id") * 7 + F.col("turn")
     return turns.select(

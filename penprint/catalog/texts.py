@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penprint.catalog.base import (
-    CORPUS, DOCS, MARKED, NON_SPACE, SENTS, SPACE, STRIP, VOCAB, WORD, WORDS,
+    CORPUS, DOCS, MARKED, NON_SPACE, SPACE, STRIP, VOCAB, WORD, WORDS,
     documents, in_list, marked, quote, register, table, with_ctes,
 )
 from penprint import lexicons as lx

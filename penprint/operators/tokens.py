@@ -60,11 +60,9 @@ def tree_depth(heads: Column) -> Column:
     A root is its own head. Links are followed by doubling: each round every token jumps to its
     ancestor's ancestor, so a sentence of n tokens needs about log2(n) rounds.
     """
-    def hops(i_head):
-        head, i = i_head
-        return F.when(head == i, 0).otherwise(1)
-
-    start = F.transform(heads, lambda h, i: F.struct(h.cast("int").alias("up"), hops((h, i)).cast("int").alias("far")))
+    start = F.transform(
+        heads, lambda h, i: F.struct(h.cast("int").alias("up"), F.when(h == i, 0).otherwise(1).alias("far"))
+    )
     rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.size(heads) + 1)).cast("int")))
 
     def jump(links, _):
