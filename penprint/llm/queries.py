@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from penprint.llm import quality_rules, sharding
+from penprint.llm import line_dedup, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op2_secrets": secrets.op2_secrets,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 SQL = {
+    "op5_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
