@@ -148,7 +148,10 @@ def clean_documents(docs: DataFrame, text: str = "text", length: str | None = "n
         elif column == length:
             value = F.when(F.col("__text").isNotNull(), F.length("clean_text").cast(docs.schema[column].dataType))
         out.append(value.alias(column))
-    return judged.where("kept").select(*out)
+    # One entry per row: a filter on generated columns stays above, where a plain one would be pushed
+    # below the steps of judge() and work each of them out again inside the next.
+    rows = judged.select(F.explode_outer(F.array(F.struct("kept", *[c.alias(f"__{i}") for i, c in enumerate(out)]))).alias("r"))
+    return rows.where("r.kept").select(*[F.col(f"r.__{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

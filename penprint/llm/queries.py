@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from penprint.llm import line_dedup, quality_rules, secrets, sharding
+from penprint.llm import decontaminate, line_dedup, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secrets": secrets.op2_secrets,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_sharding": sharding.op9_sharding,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_decontaminate": decontaminate.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
