@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from penprint.llm import decontaminate, line_dedup, quality_rules, secrets, sharding
+from penprint.llm import decontaminate, line_dedup, near_dedup, quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secrets": secrets.op2_secrets,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
