@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from penprint.llm import decontaminate, line_dedup, near_dedup, quality_rules, secrets, sharding
+from penprint.llm import decontaminate, line_dedup, near_dedup, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secrets": secrets.op2_secrets,
     "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
@@ -16,5 +17,6 @@ QUERIES = {
 SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op5_line_dedup": line_dedup.SQL,
+    "op8_warc": warc.SQL,
     "op10_quality_rules": quality_rules.SQL,
 }
