@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from penprint.llm import bpe, decontaminate, line_dedup, near_dedup, quality_rules, secrets, sharding, token_files, warc
+from penprint.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    line_dedup,
+    near_dedup,
+    quality_rules,
+    secrets,
+    sharding,
+    token_files,
+    warc,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +22,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_token_files": token_files.op6_token_files,
+    "op7_html_text": html_text.op7_html_text,
     "op8_warc": warc.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
