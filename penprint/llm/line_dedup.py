@@ -67,8 +67,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.join(exact, KEY, "left").where(decided).select(*KEY, "__first")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``docs`` with ``text`` cleaned, plus ``n_lines`` before and ``n_removed``."""
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
+    """``docs`` with ``text`` cleaned, on request with ``n_lines`` before and ``n_removed``."""
     removed = (
         _lines(docs)
         .join(boilerplate(docs, min_sites), KEY)
@@ -81,16 +81,18 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.array_contains("__removed", i))
     cleaned = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(
-        *[cleaned.alias(c) if c == "text" else keyed[c] for c in docs.columns],
+    reported = [
         F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("__removed"), F.lit(0)).cast("bigint").alias("n_removed"),
+    ]
+    return joined.select(
+        *[cleaned.alias(c) if c == "text" else keyed[c] for c in docs.columns], *(reported if counts else [])
     )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), "text")
+    return dedup_lines(docs, counts=True).select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), "text")
 
 
 SQL = f"""WITH line AS (

@@ -51,6 +51,7 @@ BOILERPLATE = [
     "back to top",
 ]
 MAX_BOILERPLATE_WORDS = 30
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
 
 
 def _repeat_words(words: str) -> list[tuple[str, Column]]:
@@ -108,7 +109,7 @@ def line_fails(line: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the base counts, ``base_failed``, ``kept`` and ``clean_text`` to every row."""
+    """Adds the base counts, ``base_failed``, ``kept`` and ``clean_text``, in place of columns of these names."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.withColumn("__words", ascii_words(body))
     for name, step in _repeat_words("__words"):
@@ -125,7 +126,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     base_failed = (n_words < MIN_WORDS) | (F.col("__repeat") * 100 > n_words * MAX_REPEAT_PERCENT)
     clean = F.array_join(F.transform(F.filter("__lines", lambda x: ~x["f"]), lambda x: x["t"]), "\n")
     return out.select(
-        *docs.columns,
+        *[c for c in docs.columns if c not in RESULTS],
         n_words.alias("n_words"),
         F.length(F.array_join("__words", "")).cast("bigint").alias("word_chars"),
         (F.length(body) - F.length(F.regexp_replace(body, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
