@@ -288,10 +288,10 @@ register(
 )
 register(
     "discourse_markers_used",
-    lambda spark, sf: text_part(spark, sf).select("author", F.explode(F.slice("discourse_found", 1, 15)).alias("marker")),
+    lambda spark, sf: text_part(spark, sf).select("author", F.explode("discourse_found").alias("marker")),
     with_ctes(
         MARKED, CORPUS,
-        "found AS (SELECT author, unnest(list_sort(list_filter([" + ", ".join(map(quote, lx.DISCOURSE)) + "], lambda m: contains(lower(t), m)))[1:15]) AS marker FROM corpus)",
+        "found AS (SELECT author, unnest(list_sort(list_filter([" + ", ".join(map(quote, lx.DISCOURSE)) + "], lambda m: contains(lower(t), m)))) AS marker FROM corpus)",
         "SELECT author, marker FROM found",
     ),
 )

@@ -11,11 +11,9 @@ from penprint.functions import vectors as vx
 from penprint.operators import fit
 from penprint.operators import rerank as rr
 from penprint.operators import vectors as vec
-from penprint.plans.keys import join_hot
+from penprint.plans.keys import join_on
 
 DIMS = 64
-# Rows of ``embeddings`` that texts are linked to; every test set has at least these.
-LINKS = 500
 
 
 def embeddings(spark, sf):
@@ -109,7 +107,7 @@ def pairs(spark, sf):
     edits = inputs.select(
         "input_id", F.lit(1001).cast("bigint").alias("cand_id"), F.concat("input_text", F.lit(" indeed")).alias("candidate")
     )
-    return join_hot(cands.unionByName(copies).unionByName(edits), inputs, "input_id", F.col("cand_id"))
+    return join_on(cands.unionByName(copies).unionByName(edits), inputs, ["input_id"])
 
 
 PAIRS = (
@@ -143,15 +141,18 @@ register(
 
 def scored(spark, sf):
     """Candidates with vectors: a linked embedding as style and meaning, its author's fit as mean
-    and deviation, and the centroid of the conversation's author as target."""
+    and deviation, and the centroid of the conversation's author as target. Links reach every row of
+    ``embeddings`` and every author, however many there are."""
+    emb = embeddings(spark, sf)
+    vectors = emb.agg(F.max("vec_id") + 1).scalar()
+    authors = emb.agg(F.max("author") + 1).scalar()
     rows = pairs(spark, sf).withColumns(
         {
-            "cand_link": F.expr(f"(input_id * 31 + cand_id * 7) % {LINKS}"),
-            "input_link": F.expr(f"(input_id * 17) % {LINKS}"),
-            "target_author": F.expr("cast(input_id % 10 as int)"),
+            "cand_link": F.pmod(F.col("input_id") * 31 + F.col("cand_id") * 7, vectors),
+            "input_link": F.pmod(F.col("input_id") * 17, vectors),
+            "target_author": F.pmod(F.col("input_id"), authors).cast("int"),
         }
     )
-    emb = embeddings(spark, sf)
     gauss = fit.fit_author_gaussian(emb)
     cand = emb.join(gauss, "author").select(
         F.col("vec_id").alias("cand_link"), F.col("vector").alias("cand_style"), F.col("vector").alias("cand_meaning"), "mu", "sigma"
@@ -165,7 +166,8 @@ HALF_LOG = 0.5 * math.log(2 * math.pi)
 GAUSS = """gauss AS (SELECT author, dim, avg(x) AS mu, stddev_pop(x) AS sigma FROM emb GROUP BY author, dim)"""
 SCORED = (
     EMB, UNIT, CENTROID, USER, GAUSS, *PAIRS,
-    f"linked AS (SELECT *, (input_id * 31 + cand_id * 7) % {LINKS} AS cl, (input_id * 17) % {LINKS} AS il, input_id % 10 AS ta FROM pairs)",
+    "top AS (SELECT max(vec_id) + 1 AS v, max(label) + 1 AS a FROM embeddings)",
+    "linked AS (SELECT pairs.*, (input_id * 31 + cand_id * 7) % v AS cl, (input_id * 17) % v AS il, input_id % a AS ta FROM pairs, top)",
     f"""dims AS (SELECT input_id, cand_id, avg((c - mu) * (c - mu) / (2 * sigma * sigma) + ln(sigma) + {HALF_LOG!r}::DOUBLE) AS e1,
          1 - sum(a.x * c) AS e2, 1 - sum(a.x * b.x) AS e3
          FROM linked l JOIN unit a ON a.vec_id = cl JOIN unit b ON b.vec_id = il AND b.dim = a.dim
@@ -227,7 +229,7 @@ register(
         *SCORED,
         "kept AS (SELECT * FROM (SELECT *, max((copy_ratio < 0.85)::INT) OVER (PARTITION BY input_id) AS any_ok FROM total) WHERE copy_ratio < 0.85 OR any_ok = 0)",
         "start AS (SELECT input_id, -1 AS step, candidate, energy FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, cand_id) AS r FROM kept) WHERE r = 1)",
-        "alls AS (SELECT * FROM start UNION ALL SELECT input_id, cand_id, candidate, energy FROM total WHERE cand_id < 15)",
+        "alls AS (SELECT * FROM start UNION ALL SELECT input_id, cand_id, candidate, energy  FROM total)",
         "SELECT input_id, candidate AS refined, round(energy, 6) AS energy FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, step) AS r FROM alls) WHERE r = 1",
     ),
 )
@@ -238,7 +240,7 @@ register(
         *SCORED,
         "kept AS (SELECT * FROM (SELECT *, max((copy_ratio < 0.85)::INT) OVER (PARTITION BY input_id) AS any_ok FROM total) WHERE copy_ratio < 0.85 OR any_ok = 0)",
         "start AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, cand_id) AS r FROM kept) WHERE r = 1)",
-        "steps AS (SELECT input_id, cand_id, candidate, e1 + 2 * e2 + 2 * e3 AS model, row_number() OVER (PARTITION BY input_id ORDER BY cand_id) AS i FROM scored WHERE cand_id < 15)",
+        "steps AS (SELECT input_id, cand_id, candidate, e1 + 2 * e2 + 2 * e3 AS model, row_number() OVER (PARTITION BY input_id ORDER BY cand_id) AS i FROM scored)",
         """fold(input_id, i, text, energy, last_step) AS (
              SELECT input_id, 0::BIGINT, candidate, e1 + 2 * e2 + 2 * e3 + 3.0::DOUBLE, -1::BIGINT FROM start
              UNION ALL SELECT input_id, i, CASE WHEN e < energy THEN candidate ELSE text END, CASE WHEN e < energy THEN e ELSE energy END,
@@ -297,34 +299,50 @@ register(
 )
 
 
-def _regression_rows(spark, sf):
-    """Predict the last four numbers of a vector from its first twelve."""
+def _regression_rows(spark, sf, first=DIMS // 2):
+    """Predict the later numbers of a vector from its ``first`` ones: all dimensions take part."""
     return embeddings(spark, sf).select(
-        "vec_id", vx.as_double(F.slice("vector", 1, 12)).alias("features"), vx.as_double(F.slice("vector", DIMS - 3, 4)).alias("target")
+        "vec_id",
+        vx.as_double(F.slice("vector", 1, first)).alias("features"),
+        vx.as_double(F.slice("vector", first + 1, DIMS - first)).alias("target"),
     )
 
 
 register(
     "fit_linear_gaussian",
-    lambda spark, sf: fit.fit_linear_gaussian(_regression_rows(spark, sf)).select(
-        F.col("dim").cast("bigint").alias("dim"), F.round("bias", 5).alias("bias"), F.round("sigma", 5).alias("sigma")
+    lambda spark, sf: fit.fit_linear_gaussian(_regression_rows(spark, sf, 1), ridge=0.0).select(
+        F.col("dim").cast("bigint").alias("dim"),
+        *[F.round(c, 6).alias(n) for n, c in (("weight", F.get("weights", F.lit(0))), ("bias", F.col("bias")), ("sigma", F.col("sigma")))],
+    ),
+    with_ctes(
+        EMB,
+        """SELECT y.dim - 1 AS dim, round(regr_slope(y.x, f.x), 6) AS weight, round(regr_intercept(y.x, f.x), 6) AS bias,
+             round(sqrt(greatest(regr_syy(y.x, f.x) - regr_sxy(y.x, f.x) * regr_sxy(y.x, f.x) / regr_sxx(y.x, f.x), 0) / count(*)), 6) AS sigma
+           FROM emb y JOIN emb f USING (vec_id) WHERE f.dim = 0 AND y.dim > 0 GROUP BY y.dim""",
     ),
 )
 
 
 def _linear_residuals(spark, sf):
+    """Residuals of the fit on half of the dimensions: their mean and their product with every feature."""
     rows = _regression_rows(spark, sf)
     fitted = fit.apply_linear_gaussian(rows, fit.fit_linear_gaussian(rows, ridge=0.0))
-    long = fitted.select(F.posexplode(F.zip_with("target", "mu", lambda t, m: t - m)).alias("dim", "r"))
-    return long.groupBy(F.col("dim").cast("bigint").alias("dim")).agg(
-        F.round(F.avg("r") + 0.0, 4).alias("mean_residual"), F.count(F.lit(1)).alias("n")
-    ).withColumn("mean_residual", F.abs("mean_residual"))
+    long = fitted.select("features", F.posexplode(F.zip_with("target", "mu", lambda t, m: t - m)).alias("dim", "r"))
+    largest = F.array_max(F.transform("features", lambda x: F.abs(x)))
+    sums = long.select("dim", "r", largest.alias("m"), F.posexplode("features").alias("feature", "x"))
+    return sums.groupBy(F.col("dim").cast("bigint").alias("dim"), F.col("feature").cast("bigint").alias("feature")).agg(
+        F.abs(F.round(F.avg("r"), 4)).alias("mean_residual"),
+        F.abs(F.round(F.avg(F.col("r") * F.col("x")), 4)).alias("mean_product"),
+        F.count(F.lit(1)).alias("n"),
+    )
 
 
+# Zero is what the normal equations say of every pair, so this SQL has constants by right.
 register(
     "fit_linear_residuals",
     _linear_residuals,
-    "SELECT dim, 0.0::DOUBLE AS mean_residual, count(*) AS n FROM embeddings, (SELECT unnest(range(4))::BIGINT AS dim) GROUP BY dim",
+    f"""SELECT dim, feature, 0.0::DOUBLE AS mean_residual, 0.0::DOUBLE AS mean_product, count(*) AS n
+        FROM embeddings, (SELECT unnest(range({DIMS // 2}))::BIGINT AS dim), (SELECT unnest(range({DIMS // 2}))::BIGINT AS feature) GROUP BY dim, feature""",
 )
 KEY = "((conv_id * 1103515245 + turn * 12345 + 7) % 2147483648)"
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-12
+# Least deviation in a density: an author with a single vector has none.
+LEAST_SIGMA = 1e-6
 
 
 def as_double(vector: Column) -> Column:
@@ -36,13 +38,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def neg_log_density(target: Column, mu: Column, sigma: Column) -> Column:
-    """Minus the mean over dimensions of log N(target; mu, sigma)."""
+    """Minus the mean over dimensions of log N(target; mu, sigma), with sigma at least ``LEAST_SIGMA``."""
     half_log_2pi = 0.5 * math.log(2 * math.pi)
     m, s = as_double(mu), as_double(sigma)
 
     def term(t, i):
-        gap = (t - F.get(m, i)) / F.get(s, i)
-        return gap * gap / 2 + F.log(F.get(s, i)) + half_log_2pi
+        spread = F.greatest(F.get(s, i), F.lit(LEAST_SIGMA))
+        gap = (t - F.get(m, i)) / spread
+        return gap * gap / 2 + F.log(spread) + half_log_2pi
 
     return total(F.transform(as_double(target), term)) / F.size(target)
 

@@ -13,16 +13,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import vectors as vx
-from penprint.plans.keys import join_hot, join_on
+from penprint.plans.keys import join_on
 
 BATCH = 12
 
 
 def pad_sequences(df: DataFrame, batch: str = "batch", items: str = "prefix_ids", row_id: str = "row_id") -> DataFrame:
     """Right-pad each array with zeros to the longest of its batch."""
-    longest = df.groupBy(batch).agg(F.max(F.size(items)).alias("__longest"))
-    both = join_hot(df, longest, batch, F.col(row_id))
-    return both.withColumn(items, vx.pad_right(F.col(items).cast("array<bigint>"), F.col("__longest"))).drop("__longest")
+    longest = F.max(F.size(items)).over(Window.partitionBy(batch))  # a batch is a few rows
+    sized = df.withColumn("__longest", longest)
+    return sized.withColumn(items, vx.pad_right(F.col(items).cast("array<bigint>"), F.col("__longest"))).drop("__longest")
 
 
 def shuffle_batches(df: DataFrame, key: Column, row_id: str, size: int = BATCH, bits: int = 31, bucket_bits: int = 10) -> DataFrame:

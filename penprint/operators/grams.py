@@ -13,7 +13,7 @@ from penprint.functions import text as tx
 from penprint.operators.edges import place_edges, text_edges
 from penprint.plans.keys import explode, first_k
 
-SEQ_BITS, POS_BITS = 37, 26
+POS_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -52,12 +52,12 @@ def content_words(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _place(seq: str, pos: Column) -> Column:
-    """Order of first occurrence in one integer, so that the aggregation stays a hash aggregation."""
-    s, p = F.col(seq).cast("bigint"), pos.cast("bigint")
-    fits = (s >= 0) & (s < 1 << SEQ_BITS) & (p < 1 << POS_BITS)
-    return F.when(fits, s * (1 << POS_BITS) + p).otherwise(
-        F.raise_error(F.lit(f"text order must lie in [0, 2^{SEQ_BITS}) and positions below 2^{POS_BITS}"))
-    )
+    """Order of first occurrence in one number, so that the aggregation stays a hash aggregation.
+
+    Any order fits, and a place in an array is below ``2**POS_BITS``. Texts without an order come last.
+    """
+    s = F.coalesce(F.col(seq).cast("decimal(20,0)"), F.lit(str(2**63)).cast("decimal(20,0)"))
+    return (s * F.lit(1 << POS_BITS).cast("decimal(10,0)") + pos.cast("decimal(10,0)")).cast("decimal(32,0)")
 
 
 def _with_units(df: DataFrame, units: list[str], text: str, keep: list[str]) -> DataFrame:
@@ -151,7 +151,7 @@ def _across(placed: DataFrame, kinds: list[Kind], author: str, seq: str) -> Data
                 F.when(size >= d, piece(u, offset + size - d, F.lit(d), F.get(f"{u}_last", F.lit(d - 1)), size - d))
             )
     sent = placed.select(author, seq, F.explode_outer(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), "e.local", "e.size", "e.piece")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).isNull().alias("late"), F.col(seq).alias("seq"), "e.local", "e.size", "e.piece")))
     grouped = sent.groupBy(author, "e.unit", "e.start").agg(ordered.alias("p"), F.sum("e.size").alias("have"))
     opened = grouped.where(F.size("p") > 1).select(
         author,

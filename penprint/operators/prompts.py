@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions import text as tx
-from penprint.plans.keys import join_hot
+from penprint.plans.keys import join_on
 
 EXPANSION = 1.5
 TOKENS_PER_WORD, MOST_TOKENS = 3, 512
@@ -118,11 +118,10 @@ def style_card(profile: DataFrame) -> DataFrame:
 def style_prompt(requests: DataFrame, cards: DataFrame, row_id: str = "request_id") -> DataFrame:
     """One prompt per request: rules and length, the card of its style, then the text.
 
-    ``cards`` has one row per style. The card is long and rendered before the join; a style asked
-    for by a large share of the requests is sliced.
+    ``cards`` has one row per style, rendered before the join.
     """
     budgeted = length_budget(requests)
-    both = join_hot(budgeted, cards, "style_name", F.col(row_id), "left")
+    both = join_on(budgeted, cards, ["style_name"], "left")
     head = F.format_string(
         "Rewrite the text at the end the way %s writes. Keep every fact and event, add and drop "
         "nothing, change only the wording.\nThe text has about %d words; answer with %d to %d words "

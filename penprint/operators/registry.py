@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from penprint.operators.prompts import overlong_check, style_prompt
 from penprint.operators.segment import strip_prompt_echo
-from penprint.plans.keys import join_hot
+from penprint.plans.keys import join_on
 
 DEFAULT_STYLE, DEFAULT_AUTHOR = "custom_style", "the target style"
 
 
 def style_upsert(registry: DataFrame, changes: DataFrame, key: str = "style_name", order: str = "ts") -> DataFrame:
-    """The newest row per style out of the stored and the new ones."""
-    rows = registry.unionByName(changes)
-    newest = F.max_by(F.struct(*rows.columns), F.col(order)).alias("s")
-    return rows.groupBy(key).agg(newest).select("s.*")
+    """The newest row per style out of the stored and the new ones.
+
+    At equal times a change replaces what is stored; among equals of one table the largest row, in
+    the order of its columns, wins, so that the outcome does not depend on the order of rows. A row
+    without a time is older than any other.
+    """
+    both = registry.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
+    whole = F.struct(*registry.columns)
+    comparable = F.to_json(whole) if any(f.dataType.typeName() in ("map", "variant") for f in registry.schema) else whole
+    newest = F.max_by(whole, F.struct(F.col(order), F.col("__new"), comparable)).alias("s")
+    return both.groupBy(key).agg(newest).select("s.*")
 
 
 def style_lookup(requests: DataFrame, registry: DataFrame, row_id: str = "request_id") -> DataFrame:
     """Requests with the columns of their style; those of an unknown style are left out."""
-    return join_hot(requests, registry, "style_name", F.col(row_id))
+    return join_on(requests, registry, ["style_name"])
 
 
 def unknown_styles(requests: DataFrame, registry: DataFrame) -> DataFrame:
@@ -48,11 +55,16 @@ def request_status(requests: DataFrame, registry: DataFrame, row_id: str = "requ
     A ``failure`` column, where present, holds the error text of a failed run.
     """
     known = registry.select("style_name", F.lit(True).alias("__known")).distinct()
-    both = join_hot(requests, known, "style_name", F.col(row_id), "left")
-    failed = F.col("failure") if "failure" in requests.columns else F.lit(None).cast("string")
+    both = join_on(requests, known, ["style_name"], "left")
+    return with_status(both, F.col("__known").isNotNull()).drop("__known")
+
+
+def with_status(rows: DataFrame, known: Column) -> DataFrame:
+    """Add ``status`` and ``http_code``; ``known`` tells whether a request's style is stored."""
+    failed = F.col("failure") if "failure" in rows.columns else F.lit(None).cast("string")
     status = (
         F.when(F.length("original_text") == 0, "missing_text")
-        .when(F.col("__known").isNull(), "unknown_style")
+        .when(~known, "unknown_style")
         .when(failed.contains("Connection"), "no_connection")
         .when(failed.isNotNull(), "failed")
         .otherwise("ok")
@@ -61,7 +73,7 @@ def request_status(requests: DataFrame, registry: DataFrame, row_id: str = "requ
     code = F.lit(None)
     for name, number in codes.items():
         code = F.when(F.col("status") == name, number).otherwise(code)
-    return both.withColumn("status", status).withColumn("http_code", code.cast("bigint")).drop("__known")
+    return rows.withColumn("status", status).withColumn("http_code", code.cast("bigint"))
 
 
 def transfer_batch(

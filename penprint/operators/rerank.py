@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from penprint.functions import vectors as vx
-from penprint.plans.keys import join_hot, join_on
+from penprint.plans.keys import join_on
 
 TERMS = ["e1", "e2", "e3", "e4", "copy_ratio"]
 
@@ -27,7 +27,6 @@ class Weights:
 # The second published setting.
 STYLE_HEAVY = Weights(e2=3.0)
 NEAR_COPY = 0.85
-REFINE_STEPS = 15
 
 
 def edit_penalty(candidate: Column, text: Column) -> Column:
@@ -71,12 +70,11 @@ def drop_near_copies(
 ) -> DataFrame:
     """Candidates below the copy limit; all of an input's candidates where none is below.
 
-    The verdict per input is one pre-aggregated flag. It goes back to the candidates by a join
-    that slices hot inputs.
+    The candidates of one input, some rewrites of one text, are looked at together, so that the edit
+    distance is worked out once.
     """
     rated = with_copy_ratio(df, candidate, text).withColumn("__ok", F.col("copy_ratio") < limit)
-    verdict = rated.groupBy(key).agg(F.max("__ok").alias("__any_ok"))
-    both = join_hot(rated, verdict, key, F.col(cand))
+    both = rated.withColumn("__any_ok", F.max("__ok").over(Window.partitionBy(key)))
     return both.where(F.col("__ok") | ~F.col("__any_ok")).drop("__ok", "__any_ok")
 
 
@@ -115,8 +113,11 @@ def total_energy(df: DataFrame, weights: Weights = Weights(), out: str = "energy
 def best_candidate(
     df: DataFrame, key: str = "input_id", cand: str = "cand_id", keep: tuple[str, ...] = ("candidate",)
 ) -> DataFrame:
-    """The candidate of least energy per input; ties go to the lowest ``cand``."""
-    first = F.min_by(F.struct(cand, "energy", *keep), F.struct("energy", cand))
+    """The candidate of least energy per input; ties go to the lowest ``cand``.
+
+    A candidate without an energy is taken only where no other has one.
+    """
+    first = F.min_by(F.struct(cand, "energy", *keep), F.struct(F.col("energy").isNull(), "energy", cand))
     return df.groupBy(key).agg(first.alias("b")).select(key, "b.*")
 
 
@@ -146,7 +147,7 @@ def greedy_refine(
     starts: DataFrame,
     proposals: DataFrame,
     key: str = "input_id",
-    steps: int = REFINE_STEPS,
+    steps: int | None = None,
     weights: Weights = Weights(),
     compat: bool = False,
 ) -> DataFrame:
@@ -156,10 +157,11 @@ def greedy_refine(
     ``e1, e2, e3`` of ``current``; ``proposals`` has ``step, proposal, e1, e2, e3``. By default the
     edit and copy terms compare with the input, so the outcome is the first row of least energy
     and no group is gathered. ``compat`` compares with the moving text as the original did, which
-    needs the proposals in order: an input then gathers exactly its first ``steps`` steps.
+    needs an input's proposals in order. All supplied proposals take part unless ``steps`` is given; a
+    proposal without an energy is never accepted.
     """
     model = weights.e1 * F.col("e1") + weights.e2 * F.col("e2") + weights.e3 * F.col("e3")
-    within = proposals.where((F.col("step") >= 0) & (F.col("step") < steps))
+    within = proposals if steps is None else proposals.where((F.col("step") >= 0) & (F.col("step") < steps))
 
     def closeness(a: Column, b: Column) -> Column:
         return weights.e4 * edit_penalty(a, b) + weights.copy_ratio * copy_ratio(a, b)
@@ -168,10 +170,11 @@ def greedy_refine(
         inputs = starts.select(key, "text")
         first = starts.select(key, F.lit(-1).cast("bigint").alias("step"), F.col("current").alias("proposal"), "e1", "e2", "e3")
         later = within.select(key, F.col("step").cast("bigint").alias("step"), "proposal", "e1", "e2", "e3")
-        rows = join_hot(first.unionByName(later), inputs, key, F.col("step"))
+        rows = join_on(first.unionByName(later), inputs, [key])
         rated = with_edit_terms(rows, "proposal", "text")
         scored = rated.withColumn("energy", model + (weights.e4 * F.col("e4") + weights.copy_ratio * F.col("copy_ratio")))
-        best = F.min_by(F.struct("proposal", "energy", "step"), F.struct("energy", "step")).alias("b")
+        order = F.struct(F.col("energy").isNull(), "energy", "step")
+        best = F.min_by(F.struct("proposal", "energy", "step"), order).alias("b")
         return scored.groupBy(key).agg(best).select(
             key, F.col("b.proposal").alias("refined"), F.col("b.energy").alias("energy"), F.col("b.step").alias("last_step")
         )
@@ -218,5 +221,5 @@ def select_rewrite(
     fallback to near copies where an input has nothing else.
     """
     rated = total_energy(scored, weights).withColumn("__copy", F.col("copy_ratio") >= limit)
-    first = F.min_by(F.struct(cand, "energy", *keep), F.struct("__copy", "energy", cand))
+    first = F.min_by(F.struct(cand, "energy", *keep), F.struct("__copy", F.col("energy").isNull(), "energy", cand))
     return rated.groupBy(key).agg(first.alias("b")).select(key, "b.*")

@@ -18,12 +18,12 @@ def merge_posts(df: DataFrame, author: str = "author", seq: str = "seq", text: s
 
     The merged text is the posts joined by one space in ``seq`` order. It is kept as rows
     ``(author, seq, start, text)`` with the place of each piece in the whole, so that an author of
-    any size stays spread over the cluster. Joining the pieces in order gives the one string.
+    any size stays spread over the cluster. Joining the pieces in order gives the one string. Posts
+    without an order come last, posts of equal order follow each other by their text.
     """
-    narrow = df.select(author, seq, (F.length(F.coalesce(F.col(text), F.lit(""))) + 1).alias("__len"))
-    starts = running_totals(narrow, author, seq, {"start": "__len"}).drop("__len")
     pieces = df.select(author, seq, F.coalesce(F.col(text), F.lit("")).alias(text))
-    return join_on(pieces, starts, [author, seq]).select(author, seq, "start", text)
+    sized = pieces.withColumn("__len", F.length(text) + 1)
+    return running_totals(sized, author, seq, {"start": "__len"}, ties=[text]).select(author, seq, "start", text)
 
 
 def head_chars(
@@ -134,7 +134,7 @@ def sample_caps(
 ) -> DataFrame:
     """How much of each author's merged text a set of character caps lets through."""
     sizes = df.select(author, seq, F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint").alias("__size"))
-    placed = running_totals(sizes.withColumn("__len", F.col("__size") + 1), author, seq, {"start": "__len"})
+    placed = running_totals(sizes.withColumn("__len", F.col("__size") + 1), author, seq, {"start": "__len"}, ties=["__size"])
     through = [
         F.sum(
             F.col("__size") if cap is None else F.least(F.col("__size"), F.greatest(F.lit(0), F.lit(cap) - F.col("start")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penprint.functions import vectors as vx
-from penprint.plans.keys import join_hot
+from penprint.plans.keys import join_on
 
 
 def mean_vector(df: DataFrame, group: list[str], vector: str, out: str) -> DataFrame:
@@ -53,5 +53,6 @@ def semantic_distance(df: DataFrame, a: str, b: str, out: str = "e3") -> DataFra
 
 
 def pick_author_vector(rows: DataFrame, vectors: DataFrame, key: str, row_id: str) -> DataFrame:
-    """Give every row its author's vector. One author may own most of the rows."""
-    return join_hot(rows, vectors, key, F.col(row_id), "left")
+    """Give every row its author's vector. One author may own most of the rows: adaptive execution
+    splits such a key's rows over tasks. ``row_id`` names the rows and is kept for callers."""
+    return join_on(rows, vectors, [key], "left")

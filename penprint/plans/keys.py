@@ -30,56 +30,21 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
-def join_hot(
-    facts: DataFrame,
-    dims: DataFrame,
-    key: str,
-    spread: Column,
-    how: str = "inner",
-    rows_per_slice: int = 1_000_000,
-) -> DataFrame:
-    """Join many ``facts`` rows to one ``dims`` row per key when a key may be very hot.
-
-    Keys with more than ``rows_per_slice`` facts are cut into that many slices: the fact gets a
-    slice number from a hash of ``spread``, the dimension row is repeated once per slice. Only
-    hot keys are repeated, and there are at most rows/rows_per_slice of them, so the table of hot
-    keys that is broadcast stays a millionth of the input. Every row keeps its partner.
-    """
-    hot = (
-        facts.groupBy(F.col(key).alias("__hot_key"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where((F.col("__n") > rows_per_slice) & F.col("__hot_key").isNotNull())
-        .select("__hot_key", F.ceil(F.col("__n") / rows_per_slice).cast("int").alias("__slices"))
-    )
-    hot = F.broadcast(hot)
-    sliced = (
-        facts.join(hot, F.col(key) == F.col("__hot_key"), "left")
-        .withColumn("__slice", F.coalesce(F.pmod(F.hash(spread), F.col("__slices")), F.lit(0)))
-        .drop("__hot_key", "__slices")
-    )
-    repeated = (
-        dims.join(hot, F.col(key) == F.col("__hot_key"), "left")
-        .withColumn(
-            "__slice",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__slices"), F.lit(1)) - 1)),
-        )
-        .drop("__hot_key", "__slices")
-    )
-    return join_on(sliced, repeated, [key, "__slice"], how).drop("__slice")
-
-
 def running_totals(
     df: DataFrame,
     group: str,
     order: str,
     totals: dict[str, str],
     block_bits: int = 20,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Add, per group, the sum of each value over all rows that come earlier.
 
     A single window per group would put a hot group on one task. Here rows are windowed within
     blocks of ``2**block_bits`` order values, and only the block sums are windowed per group.
-    ``totals`` maps the new column to the summed one. Keep ``df`` narrow.
+    ``totals`` maps the new column to the summed one. All columns of ``df`` pass through the window, so
+    rows are never joined back: null orders come last, rows of equal order follow each other by the
+    columns ``ties``, and each row comes out once.
     """
     # A null group is a group; the two stand-in columns let all steps share one partitioning.
     keys = ["__key", "__key_null", "__block"]
@@ -87,9 +52,11 @@ def running_totals(
         "*",
         F.coalesce(F.col(group).cast("string"), F.lit("")).alias("__key"),
         F.col(group).isNull().alias("__key_null"),
-        F.shiftright(F.col(order).cast("bigint"), block_bits).alias("__block"),
+        # Above every block of a known order, so that rows without one come last.
+        F.coalesce(F.shiftright(F.col(order).cast("bigint"), block_bits), F.lit(2**62)).alias("__block"),
     )
-    earlier_rows = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = [F.col(order).asc_nulls_last(), *ties]
+    earlier_rows = Window.partitionBy(*keys).orderBy(*within).rowsBetween(Window.unboundedPreceding, -1)
     earlier_blocks = Window.partitionBy(*keys[:2]).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     per_block = marked.groupBy(*keys).agg(
         *[F.sum(F.col(value).cast("bigint")).alias(f"__b_{new}") for new, value in totals.items()]

@@ -379,7 +379,7 @@ def style_profile(
         base = join_on(base, valence, ["author"], "left")
         sums = [F.coalesce(F.col(n), F.lit(0)) for n in ("valence_sum", "positive_sum", "negative_sum", "n_charged")]
         fields.update(se.valence_fields(*sums, c("n_words")))
-    markers = F.slice("discourse_found", 1, 15).alias("discourse_markers_used")
+    markers = F.col("discourse_found").alias("discourse_markers_used")
     profile = base.select("author", *kept, markers, *[f.alias(name) for name, f in fields.items()])
 
     if caps.readability is not None and wanted & set(readability_fields()):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from penprint.functions import text as tx
 from penprint.operators import counters as ct
-from penprint.operators.registry import request_defaults, style_upsert
+from penprint.operators.registry import request_defaults, style_upsert, with_status
 
 RUNNING = ["n_words", "word_chars", "n_sentences", "sent_words_sq", "n_comma", "n_exclamation", "n_passive", "n_punct"]
 
@@ -44,12 +47,13 @@ def stream_profile_counters(texts: DataFrame, table: str, checkpoint: str, key:
 def stream_transfer_requests(requests: DataFrame, cards: DataFrame) -> DataFrame:
     """Requests joined with the stored styles: a stream-static left join, without state.
 
+    Every column of ``cards`` comes along, and the full status of ``request_status`` with its code.
+
     Spark sends the style table to every task if it is small enough, and shuffles it otherwise.
     """
     filled = request_defaults(requests)
-    known = F.col("card").isNotNull()
-    status = F.when(F.length("original_text") == 0, "missing_text").when(~known, "unknown_style").otherwise("ok")
-    return filled.join(cards, "style_name", "left").withColumn("status", status).drop("card")
+    joined = filled.join(cards.withColumn("__known", F.lit(True)), "style_name", "left")
+    return with_status(joined, F.col("__known").isNotNull()).drop("__known")
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -71,26 +75,32 @@ def stream_registry_upsert(changes: DataFrame, table: str, checkpoint: str) -> S
 def _logged(writer: DataStreamWriter, table: str, checkpoint: str) -> StreamingQuery:
     """Write every micro-batch to its own folder below ``table``.
 
-    The work per batch grows with the batch, not with the table. A repeated batch overwrites only
-    its own folder, so the table stays right when an executor or the driver is lost.
+    The work per batch grows with the batch, not with the table. Folders are named by the stream's
+    checkpoint and the batch, so a repeated batch overwrites only itself, and streams with
+    checkpoints of their own never overwrite each other.
     """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/log_batch={batch_id}")
+        timed = batch.withColumn("log_time", F.lit(time.time_ns()))
+        timed.write.mode("overwrite").parquet(f"{table}/log_stream=s{name}/log_batch={batch_id}")
 
     return writer.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_registry(spark: SparkSession, table: str, key: str = "style_name", order: str | None = "ts") -> DataFrame:
-    """The newest row per key: by ``order``, then by batch; without ``order`` by batch alone."""
+    """The newest row per key: by ``order``, then by the time and number of its batch."""
     log = spark.read.parquet(table)
-    age = F.struct(order, "log_batch") if order else F.struct("log_batch")
+    written = ["log_time", "log_batch"]
+    age = F.struct(order, *written) if order else F.struct(*written)
     newest = style_upsert(log.withColumn("__age", age), log.limit(0).withColumn("__age", age), key, "__age")
-    return newest.drop("__age", "log_batch")
+    return newest.drop("__age", "log_stream", *written)
 
 
 def compact_registry(
     spark: SparkSession, table: str, into: str, key: str = "style_name", order: str | None = "ts"
 ) -> None:
     """Write the newest rows of a log as the start of a new one."""
-    read_registry(spark, table, key, order).write.parquet(f"{into}/log_batch=-1")
+    read_registry(spark, table, key, order).withColumn("log_time", F.lit(0).cast("bigint")).write.parquet(
+        f"{into}/log_stream=compacted/log_batch=-1"
+    )

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from penprint.plans.keys import explode, first_k, join_hot, join_on, running_totals
+from penprint.plans.keys import explode, first_k, join_on, running_totals
 
 
 def test_running_totals_match_a_loop(spark):
@@ -19,24 +19,11 @@ def test_running_totals_match_a_loop(spark):
         assert got == want
 
 
-def test_join_hot_keeps_every_row(spark):
-    facts = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
-    facts = facts.unionByName(spark.createDataFrame([(None, 5000)], "k string, id bigint"))
-    dims = facts.select("k").distinct().withColumn("d", F.upper("k"))
-    plain = sorted(map(tuple, facts.join(dims, "k").select("k", "id", "d").collect()))
-    for size in (1, 7, 100, 10**6):
-        sliced = join_hot(facts, dims, "k", F.col("id"), rows_per_slice=size).where("k is not null")
-        assert sorted(map(tuple, sliced.select("k", "id", "d").collect())) == plain
-    left = join_hot(facts, dims.where("k = 'hot'"), "k", F.col("id"), "left", rows_per_slice=10)
-    assert left.count() == facts.count() and left.where("d = 'HOT'").count() == 334
-
-
-def test_hot_keys_really_are_sliced(spark):
-    facts = spark.range(300).select(F.lit("hot").alias("k"), "id")
-    dims = spark.createDataFrame([("hot", 1)], "k string, d int")
-    plan = join_hot(facts, dims, "k", F.col("id"), rows_per_slice=50)._jdf.queryExecution().optimizedPlan().toString()
-    assert "__slice" in plan
-    assert join_hot(facts, dims, "k", F.col("id"), rows_per_slice=50).count() == 300
+def test_running_totals_keep_rows_without_or_with_equal_order(spark):
+    rows = [("a", 5, 1), ("a", None, 2), ("a", 5, 4), ("a", -3, 8), ("a", 1 << 60, 16), ("a", None, 32)]
+    df = spark.createDataFrame(rows, "a string, s bigint, v int")
+    got = sorted((r["t"], r["v"]) for r in running_totals(df, "a", "s", {"t": "v"}, ties=["v"]).collect())
+    assert got == [(0, 8), (8, 1), (9, 4), (13, 16), (29, 2), (31, 32)]
 
 
 def test_join_on_lets_null_keys_meet(spark):

@@ -197,8 +197,8 @@ def test_stream_equals_batch(spark):
 
 def test_newest_style_wins_whatever_the_batch(spark):
     table = scratch_path(spark, "log")
-    spark.createDataFrame([("poe", 5, 1), ("bly", 1, 2)], "style_name string, ts bigint, x int").write.parquet(f"{table}/log_batch=0")
-    spark.createDataFrame([("poe", 3, 3), ("bly", 1, 4)], "style_name string, ts bigint, x int").write.parquet(f"{table}/log_batch=1")
+    spark.createDataFrame([("poe", 5, 1), ("bly", 1, 2)], "style_name string, ts bigint, x int").selectExpr("*", "1L log_time").write.parquet(f"{table}/log_stream=a/log_batch=0")
+    spark.createDataFrame([("poe", 3, 3), ("bly", 1, 4)], "style_name string, ts bigint, x int").selectExpr("*", "2L log_time").write.parquet(f"{table}/log_stream=a/log_batch=1")
     got = {r["style_name"]: r["x"] for r in jobs.read_registry(spark, table).collect()}
     assert got == {"poe": 1, "bly": 4}
 
@@ -206,3 +206,67 @@ def test_newest_style_wins_whatever_the_batch(spark):
 def test_unit_vector_is_unit(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.0],)], "v array<float>")
     assert df.select(vx.norm(vx.unit(F.col("v")))).first()[0] == pytest.approx(1.0)
+
+
+def test_order_columns_of_any_size(spark):
+    """Row ids of many partitions and microseconds are orders too; texts without one come last."""
+    from penprint.operators import grams
+
+    texts = ["one fine morning came", "then came another morning", "fine words came later"]
+    small = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "author string, seq bigint, text string")
+    orders = {
+        "row ids": small.repartition(20, "seq").withColumn("seq", F.col("seq") + F.lit(19 << 33)),
+        "microseconds": small.withColumn("seq", F.col("seq") * 1_000_000 + 1_790_000_000_000_000),
+        "negative": small.withColumn("seq", F.col("seq") - (1 << 62)),
+        "last unknown": small.withColumn("seq", F.when(F.col("seq") < 2, F.col("seq"))),
+    }
+    kinds = [grams.CONTENT_WORDS, grams.TRIGRAMS, grams.CHAR_FOURGRAMS]
+
+    def top(df):
+        return sorted(map(tuple, grams.top_terms(grams.gram_counts(df, kinds), kinds).collect()))
+
+    want = top(small)
+    for name, df in orders.items():
+        assert top(df) == want, name
+
+
+def test_candidates_without_energy_lose(spark):
+    schema = "input_id int, cand_id int, candidate string, copy_ratio double, energy double"
+    rows = [(1, 1, "x", 0.1, None), (1, 2, "y", 0.2, 0.1), (2, 5, "z", 0.3, None)]
+    df = spark.createDataFrame(rows, schema)
+    assert {r["input_id"]: r["cand_id"] for r in rr.best_candidate(df).collect()} == {1: 2, 2: 5}
+    terms = df.withColumns({"e1": F.col("energy"), "e2": F.lit(0.0), "e3": F.lit(0.0), "e4": F.lit(0.0)}).drop("energy")
+    assert {r["input_id"]: r["cand_id"] for r in rr.select_rewrite(terms).collect()} == {1: 2, 2: 5}
+
+
+def test_a_deviation_of_zero_has_a_density(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0], [0.0, 1.0])], "t array<double>, mu array<double>, sigma array<double>")
+    got = df.select(vx.neg_log_density(F.col("t"), F.col("mu"), F.col("sigma"))).first()[0]
+    want = (math.log(1e-6) + math.log(1.0) + math.log(2 * math.pi)) / 2
+    assert abs(got - want) < 1e-9
+
+
+def test_all_supplied_proposals_take_part(spark):
+    starts = spark.createDataFrame([(1, "abc def", "abc xyz", 5.0, 0.0, 0.0)], "input_id int, text string, current string, e1 double, e2 double, e3 double")
+    late = spark.createDataFrame([(1, 20, "uvw", 0.0, 0.0, 0.0)], "input_id int, step int, proposal string, e1 double, e2 double, e3 double")
+    for compat in (False, True):
+        assert rr.greedy_refine(starts, late, compat=compat).first()["refined"] == "uvw"
+        assert rr.greedy_refine(starts, late, compat=compat, steps=15).first()["refined"] == "abc xyz"
+
+
+def test_upsert_at_equal_times_takes_the_change(spark):
+    schema = "style_name string, ts bigint, v int"
+    old = spark.createDataFrame([("poe", 2, 9), ("bly", None, 1)], schema)
+    new = spark.createDataFrame([("poe", 2, 3), ("poe", 2, 4), ("bly", 1, 2)], schema)
+    assert {r["style_name"]: r["v"] for r in rg.style_upsert(old, new).collect()} == {"poe": 4, "bly": 2}
+
+
+def test_two_checkpoints_keep_both_styles(spark):
+    out = scratch_path(spark, "two")
+    for name in ("poe", "bly"):
+        path = scratch_path(spark, name)
+        changes = spark.createDataFrame([(name, 1)], "style_name string, ts bigint")
+        changes.write.parquet(path)
+        stream = spark.readStream.schema(changes.schema).parquet(path)
+        jobs.stream_registry_upsert(stream, out, scratch_path(spark, f"{name}-log")).awaitTermination()
+    assert sorted(r["style_name"] for r in jobs.read_registry(spark, out).collect()) == ["bly", "poe"]
