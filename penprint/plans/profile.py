@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -284,16 +285,32 @@ def text_part(docs: DataFrame, placed: DataFrame | None) -> DataFrame:
     return both.withColumns({**added, "politeness_found": found}).select(*counters.columns)
 
 
+PARTS = ("text", "sentences", "words")
+
+
 def author_counters(
-    docs: DataFrame, lexicon: DataFrame, scope: str = "corpus", compat: bool = False, placed: DataFrame | None = None
+    docs: DataFrame,
+    lexicon: DataFrame,
+    scope: str = "corpus",
+    compat: bool = False,
+    placed: DataFrame | None = None,
+    parts: Sequence[str] = PARTS,
 ) -> DataFrame:
-    """All counters of ``(author, seq, text)``, one row per author."""
-    sentences = ct.sentence_counters(docs, scope=scope, compat=compat, placed=placed)
-    words = ct.word_counters(gr.vocabulary(docs), lexicon)
-    joined = join_on(join_on(text_part(docs, placed), sentences, ["author"], "left"), words, ["author"], "left")
+    """The counters of ``(author, seq, text)``, one row per author; ``parts`` says which kinds of them."""
+    joined = text_part(docs, placed) if "text" in parts else docs.select("author").distinct()
+    if "sentences" in parts:
+        joined = join_on(joined, ct.sentence_counters(docs, scope=scope, compat=compat, placed=placed), ["author"], "left")
+    if "words" in parts:
+        joined = join_on(joined, ct.word_counters(gr.vocabulary(docs), lexicon), ["author"], "left")
     return _no_nulls(joined)
 
 
+def _parts_of(fields: dict[str, Column], columns: dict[str, list[str]]) -> list[str]:
+    """The parts whose columns the fields read."""
+    read = set(re.findall(r"\w+", " ".join(map(str, fields.values()))))
+    return [part for part, names in columns.items() if read & set(names)]
+
+
 def _no_nulls(df: DataFrame) -> DataFrame:
     """Zero for missing counters and empty arrays for missing lists."""
     lists = {
@@ -344,8 +361,6 @@ def style_profile(
     )
     if lexicon is None:
         lexicon = lx.sentiment_table(docs.sparkSession)
-    placed = stored_edges(docs) if scope == "corpus" else None
-    base = author_counters(docs, lexicon, scope, compat, placed)
     fields = {
         **lexical_fields(),
         **sentence_fields(),
@@ -357,7 +372,33 @@ def style_profile(
             c("n_pos_noun"), c("n_tagged"), c("n_formal"), c("n_contractions"), c("n_words"), compat
         ),
     }
+    # Only what the wanted fields read is counted.
+    needed = {name: f for name, f in {**fields, **readability_fields(), **sentiment_fields()}.items() if name in wanted}
+    needed.update({name: c(name) for name in ("modal_verbs_used", "archaic_words", "formal_words") if name in wanted})
+    if "discourse_markers_used" in wanted:
+        needed["discourse_markers_used"] = c("discourse_found")
+    if wanted & {"top_emotions", *VALENCE_FIELDS}:
+        needed["top_emotions"] = c("emotions") + c("n_words")
+    columns = {
+        "text": ct.author_text_counters(docs).columns,
+        "sentences": ct.sentence_counters(docs, scope="document", compat=compat).columns,
+        "words": ct.word_counters(gr.vocabulary(docs), lexicon).columns,
+    }
+    columns = {part: [n for n in names if n != "author"] for part, names in columns.items()}
+    parts = _parts_of(needed, columns)
+    if "n_tagged" in " ".join(map(str, needed.values())):
+        parts = [p for p in PARTS if p in parts or p in ("text", "words")]
+    kinds = [kind for kind in gr.PROFILE_KINDS if kind.name in wanted]
+    seams = set(parts) & {"text", "sentences"} or caps.sentence_types is not None or any(kind.n > 1 for kind in kinds)
+    placed = stored_edges(docs) if scope == "corpus" and seams else None
+    base = author_counters(docs, lexicon, scope, compat, placed, parts)
+    # Columns of parts that no wanted field reads stand in as nothing.
+    empty_list = F.array().cast("array<string>")
+    for part in set(PARTS) - set(parts):
+        lists = ("modal_verbs_used", "archaic_words", "formal_words", "discourse_found", "politeness_found", "emotions")
+        base = base.withColumns({n: empty_list if n in lists else F.lit(0).cast("bigint") for n in columns[part] if n not in base.columns})
     base = base.withColumn("n_tagged", c("n_words") + c("n_other_tokens"))
+    fields = {name: f for name, f in fields.items() if name in wanted}
     if caps.annotation is not None and wanted & {*tag_fields(), "formality_score"}:
         base = _with_capped_tags(base, docs, caps.annotation)
     if caps.sentence_types is not None and wanted & TYPE_FIELDS:
@@ -367,20 +408,20 @@ def style_profile(
         base = join_on(base.drop("n_simple", "n_compound", "n_complex"), types, ["author"], "left").fillna(0)
         classified = c("n_simple") + c("n_compound") + c("n_complex")
         fields.update({f"{t}_sentence_ratio": ratio(c(f"n_{t}"), classified) for t in ("simple", "compound", "complex")})
-    kept = ["modal_verbs_used", "archaic_words", "formal_words"]
+    kept = [name for name in ("modal_verbs_used", "archaic_words", "formal_words") if name in wanted]
     if caps.readability is None:
-        fields.update(readability_fields())
+        fields.update({name: f for name, f in readability_fields().items() if name in wanted})
     if caps.sentiment is None:
-        fields.update(sentiment_fields())
-    if caps.emotion is None:
+        fields.update({name: f for name, f in sentiment_fields().items() if name in wanted})
+    if caps.emotion is None and "top_emotions" in wanted:
         fields["top_emotions"] = emotion_struct()
     valence = se.valence_counters(head_chars(docs, caps.sentiment), lexicon)
     if caps.sentiment is None and wanted & VALENCE_FIELDS:
         base = join_on(base, valence, ["author"], "left")
         sums = [F.coalesce(F.col(n), F.lit(0)) for n in ("valence_sum", "positive_sum", "negative_sum", "n_charged")]
         fields.update(se.valence_fields(*sums, c("n_words")))
-    markers = F.col("discourse_found").alias("discourse_markers_used")
-    profile = base.select("author", *kept, markers, *[f.alias(name) for name, f in fields.items()])
+    markers = [F.col("discourse_found").alias("discourse_markers_used")] if "discourse_markers_used" in wanted else []
+    profile = base.select("author", *kept, *markers, *[f.alias(name) for name, f in fields.items()])
 
     if caps.readability is not None and wanted & set(readability_fields()):
         profile = join_on(profile, _capped(docs, caps.readability, lexicon, scope, readability_fields()), ["author"], "left")
@@ -401,7 +442,6 @@ def style_profile(
                 "max_parse_tree_depth": F.coalesce(c("depth_max"), F.lit(0)).cast("int"),
             }
         )
-    kinds = [kind for kind in gr.PROFILE_KINDS if kind.name in wanted]
     if kinds:
         profile = join_on(profile, top_lists(docs, scope, placed, kinds), ["author"], "left")
         empty = F.array().cast("array<string>")

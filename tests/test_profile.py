@@ -164,3 +164,17 @@ def test_reports(spark):
     assert charts.count() == 0
     rounded = rp.round_profile(profile).where("author = 'a'").first()
     assert rounded["avg_word_length"] == round(rounded["avg_word_length"], 2)
+
+
+def test_only_leaves_out_what_no_field_reads(spark):
+    docs = spark.createDataFrame([("a", 1, "One two. Three four!"), ("b", 1, None)], "author string, seq bigint, text string")
+
+    def plan(*fields):
+        return style_profile(docs, only=fields)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "n_sentences" not in plan("top_words") and "n_comma" not in plan("top_words")
+    assert "n_sentences" not in plan("avg_word_length", "archaic_words")
+    whole = style_profile(docs).orderBy("author").collect()
+    for field in [*list(pr.FIELDS)[::10], "formality_score", "top_emotions", "vader_compound"]:
+        alone = style_profile(docs, only=[field]).orderBy("author").collect()
+        assert [r[field] for r in alone] == [r[field] for r in whole], field
