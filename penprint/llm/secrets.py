@@ -40,7 +40,7 @@ ALPHABETS = {
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 BANDS = [24, 32, 48, 64]
-MAX_Z = 4.0
+MAX_Z = 3.0
 ORDINARY_COINCIDENCE, ORDINARY_TRIPLE = 0.06, 0.0048
 ORDINARY_CHANGE = 0.05
 FALSE_DISCOVERY_RATE = 0.001
