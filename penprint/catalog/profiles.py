@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from penprint import lexicons as lx
+from penprint.catalog import texts as _texts  # noqa: F401  its queries are used by name below
 from penprint.catalog.base import (
     CORPUS, DOCS, MARKED, NON_SPACE, QUERIES, SENTS, SPACE, SSUM, VOCAB, WORD, WORDS, WSUM,
     count_sql, documents, in_list, marked, quote, register, with_ctes,
@@ -142,9 +143,20 @@ for _field, _sql in _LEXICAL.items():
         lambda spark, sf, f=_field: word_part(spark, sf).select("author", *pick(pr.lexical_fields(), f)),
         with_ctes(*_W, f"SELECT author, {_sql} AS {_field} FROM wsum"),
     )
+
+
+def _approx_richness(spark, sf):
+    """The exact value next to whether the sketch lies within five of its standard errors of it."""
+    sketch = gr.approximate_richness(marked(spark, sf), error=0.01).withColumnRenamed("vocabulary_richness", "sketched")
+    exact = word_part(spark, sf).select("author", *pick(pr.lexical_fields(), "vocabulary_richness"))
+    close = F.abs(F.col("sketched") - F.col("vocabulary_richness")) <= 0.05 * F.col("vocabulary_richness")
+    return exact.join(sketch, "author").select("author", "vocabulary_richness", close.alias("within_bound"))
+
+
 register(
     "vocabulary_richness_approx",
-    lambda spark, sf: gr.approximate_richness(marked(spark, sf)),
+    _approx_richness,
+    with_ctes(*_W, f"SELECT author, {_LEXICAL['vocabulary_richness']} AS vocabulary_richness, true AS within_bound FROM wsum"),
 )
 register(
     "avg_sentence_length",

@@ -36,10 +36,6 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def is_blank(text: Column) -> Column:
-    return ~text.rlike(NON_SPACE)
-
-
 def whole_word(terms: list[str]) -> str:
     """A pattern matching any of the terms as whole words, ignoring ASCII case.
 

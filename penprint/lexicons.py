@@ -107,52 +107,39 @@ PRESENT_VERBS = ["says", "goes", "comes", "makes", "takes", "gives"]
 # Tags whose tokens hang on their right neighbour in the attachment rule.
 ATTACH_RIGHT = ["DET", "ADJ", "NUM", "ADP", "AUX", "ADV", "PART"]
 
-# term, valence in tenths, polarity in hundredths, subjectivity in hundredths, emotion
+# Our own judgement on a coarse scale, not taken from any published list: valence in tenths (weak 10,
+# plain 20, strong 30), polarity and subjectivity in hundredths (in quarters), emotion.
 SENTIMENT = [
-    ("good", 19, 70, 60, "joy"),
-    ("great", 31, 80, 75, "joy"),
-    ("happy", 27, 80, 100, "joy"),
-    ("love", 32, 50, 60, "joy"),
-    ("best", 32, 100, 30, "joy"),
-    ("kind", 24, 60, 90, "joy"),
-    ("free", 23, 40, 80, "joy"),
-    ("please", 13, 10, 20, "neutral"),
-    ("calm", 13, 30, 75, "neutral"),
-    ("wonder", 20, 30, 60, "surprise"),
-    ("sudden", -2, 0, 50, "surprise"),
-    ("strange", -9, -5, 15, "surprise"),
-    ("bad", -25, -70, 67, "sadness"),
-    ("sad", -21, -50, 100, "sadness"),
-    ("lost", -13, -20, 40, "sadness"),
-    ("alone", -10, -30, 50, "sadness"),
-    ("fear", -22, -60, 80, "fear"),
-    ("afraid", -20, -60, 90, "fear"),
-    ("dark", -8, -15, 40, "fear"),
-    ("hate", -27, -80, 90, "anger"),
-    ("anger", -27, -70, 80, "anger"),
-    ("wrong", -21, -50, 90, "anger"),
-    ("ugly", -23, -70, 100, "disgust"),
-    ("foul", -15, -60, 80, "disgust"),
+    ("good", 20, 50, 50, "joy"),
+    ("great", 30, 75, 75, "joy"),
+    ("happy", 30, 75, 100, "joy"),
+    ("love", 30, 75, 75, "joy"),
+    ("best", 30, 100, 50, "joy"),
+    ("kind", 20, 50, 75, "joy"),
+    ("free", 20, 25, 50, "joy"),
+    ("please", 10, 25, 25, "neutral"),
+    ("calm", 10, 25, 50, "neutral"),
+    ("wonder", 20, 25, 75, "surprise"),
+    ("sudden", -10, 0, 50, "surprise"),
+    ("strange", -10, -25, 50, "surprise"),
+    ("bad", -20, -50, 75, "sadness"),
+    ("sad", -20, -50, 100, "sadness"),
+    ("lost", -10, -25, 50, "sadness"),
+    ("alone", -10, -25, 75, "sadness"),
+    ("fear", -20, -50, 75, "fear"),
+    ("afraid", -20, -50, 100, "fear"),
+    ("dark", -10, -25, 50, "fear"),
+    ("hate", -30, -75, 100, "anger"),
+    ("anger", -30, -75, 75, "anger"),
+    ("wrong", -20, -50, 75, "anger"),
+    ("ugly", -20, -50, 100, "disgust"),
+    ("foul", -20, -50, 75, "disgust"),
 ]
 
 NEGATIONS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "without", "cannot"]
 BOOSTERS = INTENSIFIERS
 DAMPENERS = ["almost", "barely", "hardly", "kinda", "sorta", "slightly", "somewhat", "partly"]
 
-CATEGORIES = {
-    "archaic": (ARCHAIC, "word"),
-    "formal": (FORMAL, "word"),
-    "intensifier": (INTENSIFIERS, "word"),
-    "slang": (SLANG, "word"),
-    "modal": (MODALS, "word"),
-    "narrative": (NARRATIVE, "word"),
-    "analytical": (ANALYTICAL, "word"),
-    "stop": (STOP_WORDS, "word"),
-    "discourse": (DISCOURSE, "substring"),
-    "politeness": (POLITENESS, "substring"),
-    "rhetorical": (RHETORICAL, "substring"),
-}
-
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]) -> DataFrame:
     """A small table written as literals, so that Spark knows its size when it picks a join."""
@@ -165,12 +152,6 @@ def literal_table(spark: SparkSession, rows: list[tuple], schema: dict[str, str]
     return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(schema)})")
 
 
-def lexicon_table(spark: SparkSession) -> DataFrame:
-    """All lists as ``(category, term, match_kind)``."""
-    rows = [(c, t, kind) for c, (terms, kind) in CATEGORIES.items() for t in terms]
-    return literal_table(spark, rows, {"category": "string", "term": "string", "match_kind": "string"})
-
-
 def sentiment_table(spark: SparkSession) -> DataFrame:
     """``(term, valence, polarity, subjectivity, emotion)``; tenths and hundredths as integers."""
     schema = {"term": "string", "valence": "bigint", "polarity": "bigint", "subjectivity": "bigint", "emotion": "string"}

@@ -59,8 +59,11 @@ def fit_author_gaussian(df: DataFrame, author: str = "author", vector: str = "ve
     ).select(author, "n", "mu", spread.alias("sigma"))
 
 
-def _moments(features: str, target: str):
-    """Per batch of rows, the sums of products that least squares needs, one row per matrix line."""
+def _moments(features: str, target: str, means: tuple[np.ndarray, np.ndarray]):
+    """Per batch of rows, the sums of products that least squares needs, one row per matrix line.
+
+    Columns are centred first: sums of products of large numbers that differ little would cancel.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -69,6 +72,7 @@ def _moments(features: str, target: str):
                 continue
             x = np.stack(batch.column(features).to_numpy(zero_copy_only=False)).astype(float)
             y = np.stack(batch.column(target).to_numpy(zero_copy_only=False)).astype(float)
+            x, y = x - means[0], y - means[1]
             x = np.hstack([x, np.ones((len(x), 1))])
             full = np.vstack([x.T @ np.hstack([x, y]), np.hstack([y.sum(0) * 0, np.zeros(x.shape[1])])[None, :]])
             full[-1, : y.shape[1]] = (y * y).sum(0)
@@ -89,7 +93,10 @@ def fit_linear_gaussian(df: DataFrame, features: str = "features", target: str =
     a matrix whose size depends on the dimensions only; those are added per matrix line on the
     executors. What reaches the driver is one such matrix, and one small solve.
     """
-    partials = df.select(features, target).mapInArrow(_moments(features, target), "line int, sums array<double>")
+    vectors = df.select(*[array_to_vector(vx.as_double(F.col(c))).alias(c) for c in (features, target)])
+    mean = vectors.agg(Summarizer.mean(F.col(features)).alias("x"), Summarizer.mean(F.col(target)).alias("y")).first()
+    means = (mean["x"].toArray(), mean["y"].toArray())
+    partials = df.select(features, target).mapInArrow(_moments(features, target, means), "line int, sums array<double>")
     dense = partials.select("line", array_to_vector("sums").alias("v"))
     lines = dense.groupBy("line").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("sums"))
     matrix = np.array([r["sums"] for r in lines.orderBy("line").collect()])
@@ -100,7 +107,8 @@ def fit_linear_gaussian(df: DataFrame, features: str = "features", target: str =
     weights = np.linalg.solve(gram + ridge * np.eye(d), cross)
     residual = squares - 2 * (weights * cross).sum(0) + (weights * (gram @ weights)).sum(0)
     sigma = np.sqrt(np.maximum(residual / n, 0.0))
-    rows = [(j, weights[:-1, j].tolist(), float(weights[-1, j]), float(sigma[j])) for j in range(k)]
+    bias = weights[-1] + means[1] - means[0] @ weights[:-1]
+    rows = [(j, weights[:-1, j].tolist(), float(bias[j]), float(sigma[j])) for j in range(k)]
     return df.sparkSession.createDataFrame(rows, "dim int, weights array<double>, bias double, sigma double")
 
 

@@ -47,11 +47,6 @@ def split_sentences(df: DataFrame, text: str = "text", keep_end: bool = False) -
     return explode(df, rest, pieces, "sentence", "sent_id")
 
 
-def split_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    rest = [c for c in df.columns if c != text]
-    return explode(df, rest, tx.lines(F.col(text)), "line", "line_id")
-
-
 def tokenize_words(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per lower-cased word with its position from 0."""
     rest = [c for c in df.columns if c != text]

@@ -270,3 +270,12 @@ def test_two_checkpoints_keep_both_styles(spark):
         stream = spark.readStream.schema(changes.schema).parquet(path)
         jobs.stream_registry_upsert(stream, out, scratch_path(spark, f"{name}-log")).awaitTermination()
     assert sorted(r["style_name"] for r in jobs.read_registry(spark, out).collect()) == ["bly", "poe"]
+
+
+def test_fit_survives_a_large_offset(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2)) + 1e7
+    y = x @ np.array([[0.5], [-2.0]]) + 3.0 + rng.normal(scale=0.01, size=(400, 1))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "features array<double>, target array<double>")
+    head = fit.fit_linear_gaussian(df, ridge=0.0).first()
+    assert np.allclose(head["weights"], [0.5, -2.0], atol=1e-2) and abs(head["sigma"] - 0.01) < 2e-3
