@@ -29,6 +29,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +44,12 @@ WORD = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 # A task forgets its words when it knows this many; a forgotten word is encoded again.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 200_000
+# The library's encodings are large objects, so words go through it in portions.
+PORTION = 2_000
+# A chunk is a run of whole texts of at most this many words, or a single longer text.
+CHUNK_WORDS = 1_500_000
+BATCH_BYTES = 24_000_000
 
 
 def words_of(text: Column, specials: list[str]) -> Column:
@@ -119,18 +125,22 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, words: list[str]) -> pa.ListArray:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = code.ids
-        lists = [self.known[w] for w in words]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
-        return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> pa.LargeListArray:
+        """Ids of every word; ``words`` are distinct or few."""
+        parts = []
+        for at in range(0, len(words), PORTION):
+            some = words[at : at + PORTION]
+            if len(self.known) > KNOWN_WORDS:
+                self.known.clear()
+            new = [w for w in some if w not in self.known]
+            for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(code.ids, "<i4").tobytes()
+            parts += [self.known[w] for w in some]
+        lengths = np.fromiter((len(x) // 4 for x in parts), np.int64, len(parts))
+        flat = np.frombuffer(b"".join(parts), "<i4").astype(np.int32)
+        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), pa.array(flat))
 
     def words(self, batch: pa.RecordBatch, specials: list[str]) -> pa.ListArray:
         """The word lists of rows from ``worded``, with odd texts split here."""
@@ -157,6 +167,16 @@ class WordCoder:
         return joined(offsets_of(words), numbers.indices, self.ids(numbers.dictionary.to_pylist()))
 
 
+def chunks_of(batch: pa.RecordBatch, words: pa.ListArray) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Runs of rows of at most ``CHUNK_WORDS`` words, or single rows."""
+    ends, first = offsets_of(words), 0
+    while first < len(words):
+        last = int(np.searchsorted(ends, ends[first] + CHUNK_WORDS, side="right")) - 1
+        last = max(last, first + 1)
+        yield batch.slice(first, last - first), words.slice(first, last - first)
+        first = last
+
+
 def offsets_of(lists: pa.ListArray) -> np.ndarray:
     offsets = lists.offsets.to_numpy()
     return (offsets - offsets[0]).astype(np.int64)
@@ -181,120 +201,130 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _chunk(batch: pa.RecordBatch, coder: WordCoder, specials: list[str]) -> tuple[int, np.ndarray, np.ndarray, list[str]]:
-    """Name, text offsets, word numbers and word list (frequent words first) of a batch."""
-    words = coder.words(batch, specials)
+def _chunk(batch: pa.RecordBatch, words: pa.ListArray) -> tuple[int, np.ndarray, np.ndarray, pa.Array]:
+    """Name, text offsets, word numbers and word list (frequent words first) of a chunk."""
     coded = words.flatten().dictionary_encode()
     numbers, vocabulary = coded.indices.to_numpy(), coded.dictionary
     order = np.argsort(-np.bincount(numbers, minlength=len(vocabulary)), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    numbers = place[numbers].astype(np.uint32) if len(order) else np.empty(0, np.uint32)
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    numbers = place[numbers] if len(order) else np.empty(0, np.uint32)
     offsets = offsets_of(words)
-    listed = vocabulary.take(pa.array(order)).to_pylist()
+    listed = vocabulary.take(pa.array(order))
     name = xxhash.xxh3_64()
     for part in (numbers.tobytes(), offsets.tobytes(), repr(batch.column("doc_id").to_pylist()).encode()):
         name.update(part)
-    name.update("\x00".join(listed).encode())
+    name.update(b"".join(bytes(b) for b in listed.buffers()[1:] if b))
     return name.intdigest() - 2**63, offsets, numbers, listed
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Word lists are wide rows: lets a batch that goes to Python hold ``BATCH_BYTES`` at most."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name, "67108864"))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _zipped(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``doc_id, ids`` for rows of ``doc_id`` and ``text``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = worded(docs, vocabulary.specials)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    chunk_schema = f"chunk bigint, doc_ids array<{kind}>, offsets binary, numbers binary, lengths binary, ids binary"
-    chunk_types = pa.schema(
-        [("chunk", pa.int64()), ("doc_ids", pa.list_(id_type)), ("offsets", pa.binary()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary())]
-    )
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    # Texts of a chunk: ids of documents, offsets, word numbers, their order by bucket, bucket sizes.
+    # Words of a chunk in a bucket: lengths and bytes. Answers to them: lengths and ids.
+    names = ["chunk", "bucket", "doc_ids", "a", "b", "order", "sizes"]
+    types = [pa.int64(), pa.int32(), pa.list_(id_type), *[pa.binary()] * 4]
+    schema = f"chunk bigint, bucket int, doc_ids array<{kind}>, a binary, b binary, order binary, sizes binary"
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        pa.default_memory_pool().release_unused()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         coder = shared.value.encoder()
         for batch in batches:
-            if batch.num_rows:
-                name, offsets, numbers, _ = _chunk(batch, coder, shared.value.specials)
-                columns = [[name], [batch.column("doc_id").to_pylist()], [offsets.tobytes()], [_packed(numbers)], [None], [None]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, chunk_types, strict=True)], schema=chunk_types)
+            for part, words in chunks_of(batch, coder.words(batch, shared.value.specials)):
+                name, offsets, numbers, listed = _chunk(part, words)
+                bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in listed.to_pylist()), np.int64, len(listed))
+                # Words of a bucket in alphabetical order, which packs well.
+                sorted_words = pc.sort_indices(listed).to_numpy().astype(np.int64)
+                order = sorted_words[np.argsort(bucket[sorted_words], kind="stable")]
+                yield part, name, offsets, numbers, listed, order, np.bincount(bucket, minlength=buckets)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, name, offsets, numbers, _, order, sizes in chunks(batches):
+            yield batch_of(
+                [name], [None], [part.column("doc_id").to_pylist()], [offsets.tobytes()], [_packed(numbers)], [_packed(order)], [_packed(sizes)]
+            )
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value.encoder()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            name, _, _, listed = _chunk(batch, coder, shared.value.specials)
-            bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in listed), np.int32, len(listed))
-            order = np.argsort(bucket, kind="stable")
-            used, first = np.unique(bucket[order], return_index=True)
-            ends = [*first[1:], len(order)]
-            words = pa.ListArray.from_arrays(pa.array([*first, len(order)], pa.int32()), pa.array(listed, pa.string()).take(pa.array(order)))
-            places = pa.array([order[a:b].astype("<u4").tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(used), pa.int64()), pa.array(used, pa.int32()), places, words], ["chunk", "bucket", "places", "words"]
+        for _, name, _, _, listed, order, sizes in chunks(batches):
+            words = [w.encode() for w in listed.take(pa.array(order)).to_pylist()]
+            ends = np.cumsum(sizes)
+            used = np.flatnonzero(sizes)
+            cut = [words[ends[b] - sizes[b] : ends[b]] for b in used]
+            lengths = [_packed(np.fromiter(map(len, c), np.int64, len(c))) for c in cut]
+            yield batch_of(
+                [name] * len(used), used, [None] * len(used), lengths, [_zipped(b"".join(c)) for c in cut], [None] * len(used), [None] * len(used)
             )
 
     def word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value.encoder()
+        wide = "<u2" if len(shared.value.pieces()) <= 65536 else "<u4"
         for batch in batches:
-            lists = batch.column("words")
-            ids = coder.ids(lists.flatten().to_pylist())
-            ends, inner = offsets_of(lists), ids.offsets.to_numpy()
-            lengths, flat = np.diff(inner).astype("<u4"), ids.flatten().to_numpy()
-            wide = "<u2" if len(shared.value.pieces()) <= 65536 else "<u4"
-            cuts = list(zip(ends[:-1], ends[1:], strict=True))
-            columns = [
-                batch.column("chunk"),
-                pa.nulls(len(cuts), pa.list_(id_type)),
-                pa.nulls(len(cuts), pa.binary()),
-                batch.column("places"),
-                pa.array([_packed(lengths[a:b]) for a, b in cuts], pa.binary()),
-                pa.array([flat[inner[a] : inner[b]].astype(wide).tobytes() for a, b in cuts], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=chunk_types)
+            for row in batch.to_pylist():
+                ends = np.cumsum(_unpacked(row["a"]).astype(np.int64))
+                data = _unzipped(row["b"])
+                words = [data[x:y].decode() for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+                ids = coder.ids(words)
+                codes = ids.flatten().to_numpy().astype(wide).tobytes()
+                yield batch_of(
+                    [row["chunk"]], [row["bucket"]], [None], [_packed(np.diff(ids.offsets.to_numpy()))], [_zipped(codes)], [None], [None]
+                )
 
     def joined_back(part: pa.Table) -> pa.Table:
         wide = "<u2" if len(shared.value.pieces()) <= 65536 else "<u4"
-        texts, places, lengths, ids = None, [np.empty(0, "<u4")], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-        same_texts = 0
+        answers, texts_of, same_texts = {}, None, 0
         for row in part.to_pylist():
-            if row["ids"] is None:
-                texts, same_texts = row, same_texts + 1
-            else:
-                places.append(np.frombuffer(row["numbers"], "<u4"))
-                lengths.append(_unpacked(row["lengths"]).astype(np.int64))
-                ids.append(np.frombuffer(row["ids"], wide).astype(np.int32))
-        place, length, flat = np.concatenate(places), np.concatenate(lengths), np.concatenate(ids)
-        if texts is None:
+            if row["bucket"] is None:
+                texts_of, same_texts = row, same_texts + 1
+            else:  # equal chunks have equal names and equal answers
+                answers[row["bucket"]] = row
+        if texts_of is None:
             raise RuntimeError("the input changed between two readings: words without their texts")
-        numbers, offsets = _unpacked(texts["numbers"]), np.frombuffer(texts["offsets"], np.int64)
-        # Equal chunks have equal names; their packets repeat, and any one of each place will do.
-        place, first = np.unique(place, return_index=True)
-        if len(numbers) and (len(place) <= int(numbers.max()) or place[-1] != len(place) - 1):
+        sizes = _unpacked(texts_of["sizes"])
+        if sorted(answers) != np.flatnonzero(sizes).tolist():
             raise RuntimeError("the input changed between two readings: texts without their words")
-        start = np.concatenate([[0], np.cumsum(length)])
-        pick = np.repeat(start[:-1][first], length[first]) + _within(length[first])
-        table_of_words = pa.LargeListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum(length[first])])), pa.array(flat[pick] if len(flat) else flat)
-        )
-        out = joined(offsets, pa.array(numbers.astype(np.int64)), table_of_words)
-        one = pa.table({"doc_id": pa.array(texts["doc_ids"], id_type), "ids": out.cast(pa.list_(pa.int32()))})
+        found = [answers[b] for b in sorted(answers)]
+        lengths = np.concatenate([np.empty(0, np.int64), *(_unpacked(r["a"]).astype(np.int64) for r in found)])
+        flat = np.concatenate([np.empty(0, np.int32), *(np.frombuffer(_unzipped(r["b"]), wide).astype(np.int32) for r in found)])
+        order = _unpacked(texts_of["order"])
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        table_of_words = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), pa.array(flat))
+        offsets = np.frombuffer(texts_of["a"], np.int64)
+        out = joined(offsets, pa.array(place[_unpacked(texts_of["b"])]), table_of_words)
+        one = pa.table({"doc_id": pa.array(texts_of["doc_ids"], id_type), "ids": out.cast(pa.list_(pa.int32()))})
         return pa.concat_tables([one] * same_texts)
 
-    coded = rows.mapInArrow(texts, chunk_schema)
-    dealt = rows.mapInArrow(packets, "chunk bigint, bucket int, places binary, words array<string>").repartition(buckets, "bucket")
-    answers = dealt.mapInArrow(word_table, chunk_schema)
+    coded = rows.mapInArrow(texts, schema)
+    dealt = rows.mapInArrow(packets, schema).repartition(buckets, "bucket")
+    answers = dealt.mapInArrow(word_table, schema)
     return coded.union(answers).groupBy("chunk").applyInArrow(joined_back, f"doc_id {kind}, ids array<int>")
 
 
-def _within(lengths: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each length in turn."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-
-
 def decoded_bytes(ids: pa.ListArray, pieces: pa.Array) -> Iterator[bytes]:
     """The bytes of every list of ids: ids joined to their pieces by position."""
     offsets = offsets_of(ids)

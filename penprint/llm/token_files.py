@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from penprint.llm.bpe import Vocabulary, offsets_of, tokenizer_path, worded
+from penprint.llm.bpe import Vocabulary, bounded_batches, chunks_of, offsets_of, tokenizer_path, worded
 from penprint.llm.common import saved, table
 from penprint.llm.files import Output, read_range
 from penprint.session import scratch_path
@@ -119,6 +119,7 @@ class Reader:
 
 def write_tokens(docs: DataFrame, vocabulary: Vocabulary, folder: str) -> DataFrame:
     """Encodes ``doc_id, text`` rows, writes files below ``folder`` and returns their manifest."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
@@ -132,15 +133,16 @@ def write_tokens(docs: DataFrame, vocabulary: Vocabulary, folder: str) -> DataFr
             written.append((part, len(written), writer.out.path, len(writer.index), writer.ids, writer.out.size))
 
         for batch in batches:
-            ids = coder.texts(coder.words(batch, shared.value.specials))
-            offsets, flat = offsets_of(ids), ids.flatten().to_numpy()
-            for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                if writer is None:
-                    writer = Writer(f"{folder}/part-{part:06d}-{len(written):04d}-{uuid.uuid4().hex}.zst")
-                writer.add(doc_id, np.append(flat[offsets[i] : offsets[i + 1]], END_ID))
-                if writer.out.size >= FILE_BYTES:
-                    finish()
-                    writer = None
+            for rows, words in chunks_of(batch, coder.words(batch, shared.value.specials)):
+                ids = coder.texts(words)
+                offsets, flat = offsets_of(ids), ids.flatten().to_numpy()
+                for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
+                    if writer is None:
+                        writer = Writer(f"{folder}/part-{part:06d}-{len(written):04d}-{uuid.uuid4().hex}.zst")
+                    writer.add(doc_id, np.append(flat[offsets[i] : offsets[i + 1]], END_ID))
+                    if writer.out.size >= FILE_BYTES:
+                        finish()
+                        writer = None
         if writer is not None:
             finish()
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
