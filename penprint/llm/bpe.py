@@ -44,7 +44,7 @@ WORD = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 # A task forgets its words when it knows this many; a forgotten word is encoded again.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 800_000
 # The library's encodings are large objects, so words go through it in portions.
 PORTION = 2_000
 # A chunk is a run of whole texts of at most this many words, or a single longer text.
@@ -282,6 +282,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value.encoder()
+        coder.known.clear()  # other tasks' words are not met here
         wide = "<u2" if len(shared.value.pieces()) <= 65536 else "<u4"
         for batch in batches:
             for row in batch.to_pylist():
