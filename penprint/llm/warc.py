@@ -34,11 +34,13 @@ from penprint.llm.files import Output, read_all
 from penprint.session import scratch_path
 
 FILE_BYTES = 32_000_000
+PIECE = 16_384
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:penprint:page:"
+VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
 MANIFEST = "path string, records bigint, bytes bigint"
 
 
@@ -98,12 +100,13 @@ class Salvage:
     gaps: list[tuple[int, int, str]] = field(default_factory=list)
 
 
-def _parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of ``data``; ValueError if it is damaged."""
-    head, mark, rest = data.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if not mark or not re.fullmatch(rb"WARC/\d+\.\d+", lines[0]):
+def _parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers and block of the record at ``at`` and where it ends; ValueError if it is damaged."""
+    body = data.find(b"\r\n\r\n", at)
+    if body < 0 or not VERSION_LINE.match(data, at):
         raise ValueError("no version line")
+    lines = data[at:body].split(b"\r\n")
+    body += 4
     headers = {}
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
@@ -113,28 +116,33 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     if not re.fullmatch(r"\d+", headers.get("content-length", "")):
         raise ValueError("no length")
     length = int(headers["content-length"])
-    if rest[length : length + 4] != b"\r\n\r\n":
+    if data[body + length : body + length + 4] != b"\r\n\r\n":
         raise ValueError("block length")
-    block = rest[:length]
+    block = data[body : body + length]
     named = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and named.startswith("sha1:"):
         if digest(block.partition(b"\r\n\r\n")[2]) != named[5:]:
             raise ValueError("payload digest")
-    return headers, block, len(head) + 4 + length + 4
+    return headers, block, body + length + 4
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends."""
-    unpacker = zlib.decompressobj(31)
-    out = unpacker.decompress(memoryview(data)[at:])
+    """The gzip member at ``at`` and where it ends.
+
+    It is fed piece by piece: what follows its end is copied, which must not be the rest of the file.
+    """
+    unpacker, parts = zlib.decompressobj(31), []
+    while at < len(data) and not unpacker.eof:
+        parts.append(unpacker.decompress(data[at : at + PIECE]))
+        at += PIECE
     if not unpacker.eof:
         raise ValueError("gzip member is cut off")
-    return out, len(data) - len(unpacker.unused_data)
+    return b"".join(parts), min(at, len(data)) - len(unpacker.unused_data)
 
 
 def _next(data: bytes, at: int) -> int:
     """The next place where a record may begin, or the end."""
-    if data[:2] == b"\x1f\x8b" or b"\x1f\x8b\x08" in data:
+    if data[:2] == b"\x1f\x8b" or not VERSION_LINE.match(data) and b"\x1f\x8b\x08" in data:
         while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
             try:
                 if zlib.decompressobj(31).decompress(memoryview(data)[at : at + 4096], 16).startswith(b"WARC/"):
@@ -143,8 +151,11 @@ def _next(data: bytes, at: int) -> int:
                 pass
             at += 1
         return len(data)
-    found = re.compile(rb"(?<=\n)WARC/\d+\.\d+\r\n").search(data, at)
-    return found.start() if found else len(data)
+    while (at := data.find(b"WARC/", at)) >= 0:
+        if data[at - 1 : at] == b"\n" and VERSION_LINE.match(data, at):
+            return at
+        at += 1
+    return len(data)
 
 
 def read_records(data: bytes) -> Salvage:
@@ -158,8 +169,7 @@ def read_records(data: bytes) -> Salvage:
                 if used != len(whole):
                     raise ValueError("more than one record in a member")
             else:
-                headers, block, used = _parse(data[at:])
-                end = at + used
+                headers, block, end = _parse(data, at)
             out.records.append(Record(at, end, headers, block))
             at = end
         except (ValueError, zlib.error) as error:
