@@ -1,18 +1,16 @@
-"""Benchmark decontamination: SimHash windows of an item's size, multi-index Hamming search, exact check.
+"""Benchmark decontamination: windows of an item's size where rare shingles occur, exact check.
 
 1. Words are runs of letters, marks and digits in lower case; a shingle is five words, or the whole
    text if it is shorter. A shingle weighs its number of characters.
 2. A window that is ``MIN_SIMILARITY`` alike to an item misses at most the rest of the item's weight, so
-   it holds one of the item's *seeds*: its rarest shingles, as many as weigh just more than that
-   rest. Every place of a seed in a document fixes a window of the item's length. Windows
-   elsewhere cannot pass the check, so they are never built.
-3. Each distinct window text gets a 64-bit SimHash of its words, weighted by their length.
-   Fingerprints within ``RADIUS`` bits agree in one of ``BLOCKS`` blocks up to ``RADIUS // BLOCKS`` bits; the
-   index holds every item under all such block values, so an equality join finds all of them.
-4. Weighted Jaccard similarity of the shingles themselves decides.
+   it holds one of the item's *seeds*: its rarest shingles, as many as weigh more than that rest.
+   Documents without a seed of an item are never compared with it.
+3. Around the seeds every shingle shared by document and item fixes a window of the item's length.
+4. Weighted Jaccard similarity of the shingles themselves decides for every such window.
 
-Only words matter: a five-word shingle test at 0.8 lets one word in thirty change, which moves the
-SimHash by about five bits, well inside the radius.
+No fingerprint stands before the check: one changed word in an item of 15 to 60 words moves a SimHash
+of single words by more than a small radius, and no radius is sure. The 64-bit SimHash of the words,
+weighted by their length, is only reported: ``distance`` is that of the window from the item.
 
 Defined results: null and empty texts and items match nothing; null ``doc_id`` or ``item_id`` are values
 like any others; rows that repeat id and text give one result row; of equally similar windows the
@@ -29,9 +27,10 @@ from penprint.llm.common import same, saved, table
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
+# Of the fingerprint index (``_blocks``), which ``find_leaks`` does not search.
 RADIUS, BLOCKS = 7, 4
 BLOCK_BITS = 64 // BLOCKS
-# Seeds up to this many rows (16 bytes each) are sent to all executors; more are joined by shuffle.
+# Seeds up to this many rows (20 bytes each) are sent to all executors; more are joined by shuffle.
 BROADCAST_SEEDS = 200_000
 NOT_WORD = r"[^\p{L}\p{M}\p{N}]+"
 
@@ -108,27 +107,42 @@ def _blocks(variants: bool) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     items = _hashed(benchmark, "text", F.col("item_id")).where(F.size("__words") > 0)
-    return items.select("item_id", "__words", "__hashes", "__shingles", F.size("__words").alias("n_words"))
+    key = F.xxhash64(F.col("item_id").isNull(), "item_id", "__words")
+    return items.select(key.alias("__item"), "item_id", "__words", "__shingles", F.size("__words").alias("n_words")).distinct()
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """``__seed, offset, n_words``: rarest shingles of each item that outweigh what may be missing."""
-    each = items.select(
-        F.xxhash64("item_id", "__words").alias("item"), "n_words", "__words", F.posexplode("__shingles").alias("offset", "__seed")
-    ).withColumn("weight", F.length(F.array_join(F.slice("__words", F.col("offset") + 1, SHINGLE), " ")))
-    by_item = each.groupBy("item", "n_words", "__seed").agg(
-        F.max("weight").alias("weight"), F.collect_set("offset").alias("offsets")
+    """``__seed, __item, n_words``: rarest shingles of each item that outweigh what may be missing."""
+    each = items.select("__item", "n_words", "__words", F.posexplode("__shingles").alias("offset", "__seed")).withColumn(
+        "weight", F.length(F.array_join(F.slice("__words", F.col("offset") + 1, SHINGLE), " "))
     )
+    by_item = each.groupBy("__item", "n_words", "__seed").agg(F.max("weight").alias("weight"))
     rare = by_item.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("__seed")))
-    rest = Window.partitionBy("item").orderBy("df", "__seed").rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("__item").orderBy("df", "__seed").rowsBetween(Window.unboundedPreceding, -1)
     chosen = rare.withColumn("before", F.coalesce(F.sum("weight").over(rest), F.lit(0))).withColumn(
-        "total", F.sum("weight").over(Window.partitionBy("item"))
+        "total", F.sum("weight").over(Window.partitionBy("__item"))
     )
-    return (
-        chosen.where(F.col("before") <= (1 - MIN_SIMILARITY) * F.col("total"))
-        .select("__seed", F.explode("offsets").alias("offset"), "n_words")
-        .distinct()
+    # Without the shingles before it an item can still be just alike enough, so this one is needed too.
+    return chosen.where(F.col("total") - F.col("before") >= MIN_SIMILARITY * F.col("total")).select(
+        "__seed", "__item", "n_words"
+    )
+
+
+def _starts() -> Column:
+    """First words of the windows of ``__near``, the words from ``low`` on, that a shared shingle fixes."""
+    shared = F.filter(
+        F.transform("__near_shingles", lambda g, i: F.struct(g.alias("g"), (F.col("low") + i).alias("at"))),
+        lambda x: F.array_contains("__item_shingles", x["g"]),
+    )
+    places = F.transform("__item_shingles", lambda g, i: F.struct(g.alias("g"), i.alias("offset")))
+    fixed = F.transform(
+        shared,
+        lambda x: F.transform(
+            F.filter(places, lambda y: y["g"] == x["g"]), lambda y: F.greatest(x["at"] - y["offset"], F.lit(0))
+        ),
     )
+    inside = F.filter(F.flatten(fixed), lambda p: (p >= F.col("low")) & (p <= F.col("last")))
+    return F.array_distinct(inside)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -143,62 +157,53 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("doc_id", "__text", F.posexplode_outer("__shingles").alias("place", "__seed"))
         .where(F.col("__seed").isNotNull())
     )
-    starts = (
+    # A window with a seed starts at most its own length before the first one and at the last one.
+    before = F.greatest(F.col("n_words") - F.lit(SHINGLE), F.lit(0))
+    pairs = (
         places.join(seeds, "__seed")
-        .select("doc_id", "__text", F.greatest(F.col("place") - F.col("offset"), F.lit(0)).alias("first_word"), "n_words")
+        .groupBy("doc_id", "__text", "__item", "n_words")
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .select("doc_id", "__text", "__item", "last", F.greatest(F.col("first") - before, F.lit(0)).alias("low"))
         .groupBy("doc_id", "__text")
-        .agg(F.collect_set(F.struct("first_word", "n_words")).alias("starts"))
+        .agg(F.collect_list(F.struct("__item", "low", "last")).alias("pairs"))
     )
     keyed = docs.select(F.col("doc_id"), F.xxhash64("text").alias("__text"), "text")
-    windows = (
-        keyed.join(starts, same(keyed, starts, ["doc_id", "__text"]))
-        .select(keyed["doc_id"], keyed["__text"], _words("text").alias("__words"), "starts")
-        .select("doc_id", "__text", "__words", F.explode("starts").alias("w"))
-        .select(
-            "doc_id",
-            "__text",
-            "w.first_word",
-            F.array_join(F.slice("__words", F.col("w.first_word") + 1, F.col("w.n_words")), " ").alias("body"),
-        )
-    )
-    windows = saved(windows, "benchmark-windows")
-
-    split = F.split("body", " ", -1)
-    prints = _with_fingerprint(windows.select("body").distinct().withColumn("__words", split), "__words")
-    prints = prints.select("body", F.col("__print").alias("window_print"), F.explode_outer(_blocks(False)).alias("b"))
-    index = _with_fingerprint(items.select("item_id", "__words"), "__words")
-    index = index.select(
-        "item_id", F.array_join("__words", " ").alias("item_body"), F.col("__print").alias("item_print"), F.explode_outer(_blocks(True)).alias("b")
-    )
-    near = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print")))
-    candidates = (
-        prints.select("body", "window_print", "b.*")
-        .join(index.select("item_id", "item_body", "item_print", "b.*"), ["block", "value"])
-        .withColumn("distance", near)
-        .where(F.col("distance") <= RADIUS)
-        .select("body", "item_id", "item_body", "distance")
-        .distinct()
+    wanted = items.select("__item", "item_id", F.col("__words").alias("__item_words"), F.col("__shingles").alias("__item_shingles"))
+    near = (
+        keyed.join(pairs, same(keyed, pairs, ["doc_id", "__text"]))
+        .select(keyed["doc_id"], keyed["__text"], _words("text").alias("__words"), "pairs")
+        .select("doc_id", "__text", "__words", F.explode("pairs").alias("p"))
+        .select("doc_id", "__text", "__words", "p.*")
+        .join(wanted, "__item")
+        .withColumn("size", F.size("__item_words"))
+        .withColumn("__near", F.slice("__words", F.col("low") + 1, F.col("last") - F.col("low") + F.col("size")))
+        .drop("__words")
+        .withColumn("__hashes", F.transform("__near", lambda w: F.xxhash64(w)))
+        .withColumn("__near_shingles", _shingle_hashes("__near", "__hashes"))
     )
-    alike = (
-        candidates.withColumn("__a", F.split("body", " ", -1))
-        .withColumn("__b", F.split("item_body", " ", -1))
-        .withColumn("__a", _shingles("__a"))
-        .withColumn("__b", _shingles("__b"))
+    windows = (
+        near.withColumn("first_word", F.explode(_starts()))
+        .withColumn("__words", F.slice("__near", F.col("first_word") - F.col("low") + 1, F.col("size")))
+        .select("doc_id", "__text", "item_id", "first_word", "__words", "__item_words")
+        .withColumn("__a", _shingles("__words"))
+        .withColumn("__b", _shingles("__item_words"))
     )
     weight = lambda shingles: F.aggregate(shingles, F.lit(0), lambda a, s: a + F.length(s))
-    alike = alike.withColumn(
-        "similarity", weight(F.array_intersect("__a", "__b")) / weight(F.array_union("__a", "__b"))
-    ).where(F.col("similarity") >= MIN_SIMILARITY)
     best = F.max_by(
-        F.struct("first_word", F.size(split).alias("n_words"), "similarity", "distance"),
-        F.struct("similarity", -F.col("first_word"), -F.col("distance")),
+        F.struct("first_word", F.size("__words").alias("n_words"), "similarity", "__words", "__item_words"),
+        F.struct("similarity", -F.col("first_word")),
     )
-    return (
-        windows.join(alike.select("body", "item_id", "similarity", "distance"), "body")
+    leaks = (
+        windows.withColumn("similarity", weight(F.array_intersect("__a", "__b")) / weight(F.array_union("__a", "__b")))
+        .where(F.col("similarity") >= MIN_SIMILARITY)
         .groupBy("doc_id", "__text", "item_id")
         .agg(best.alias("best"))
         .select("doc_id", "__text", "item_id", "best.*")
     )
+    leaks = _with_fingerprint(leaks, "__words").withColumnRenamed("__print", "__window_print")
+    leaks = _with_fingerprint(leaks, "__item_words")
+    distance = F.bit_count(F.col("__window_print").bitwiseXOR(F.col("__print"))).alias("distance")
+    return leaks.select("doc_id", "__text", "item_id", "first_word", "n_words", "similarity", distance)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -136,3 +136,61 @@ def test_the_index_holds_every_print_within_the_radius(spark):
     index = spark.createDataFrame([(p,) for p in prints], "__print bigint")
     index = index.select(F.col("__print").alias("home"), F.explode_outer(decontaminate._blocks(True)).alias("b")).select("home", "b.*")
     assert probes.join(index, ["home", "block", "value"]).select("home", "q").distinct().count() == len(set(moved))
+
+
+def best_windows(doc, items):
+    """item -> similarity and first word of the best window that a shared shingle fixes."""
+    words, found = doc.lower().split(), {}
+    for item_id, text in items:
+        item = text.lower().split()
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        starts = {max(i - k, 0) for k in range(len(item) - 4) for i, g in enumerate(grams) if g == tuple(item[k : k + 5])}
+        b = {tuple(item[i : i + 5]) for i in range(len(item) - 4)}
+        weigh = lambda some: sum(len(" ".join(g)) for g in some)
+        for p in starts:
+            w = words[p : p + len(item)]
+            a = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+            s = weigh(a & b) / weigh(a | b)
+            if s >= 0.8 and (s, -p) > found.get(item_id, (0, 0)):
+                found[item_id] = (s, -p)
+    return found
+
+
+def test_leaks_with_changed_cut_and_replaced_words_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 11)))
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(15, 61)]
+    rows = []
+    for _, text in items:
+        item = text.split()
+        n = len(item)
+        edge, cut, mid = max(n // 10, 1), max(n * 3 // 20, 1), n // 2
+        for changed in (
+            [word(), *item[1:]],
+            [*item[:-1], word()],
+            [*item[:mid], word(), *item[mid + 1 :]],
+            [*item[:-edge], *(word() for _ in range(edge))],
+            [*(word() for _ in range(edge)), *item[edge:]],
+            [*item[:edge], word(), *item[edge:]],
+            [*item[: edge + 1], *item[edge + 2 :]],
+        ):
+            rows.append([*(word() for _ in range(20)), *changed, *(word() for _ in range(20))])
+        rows.append([*(word() for _ in range(20)), *item[:-edge]])
+        rows.append([*(word() for _ in range(20)), *item[:-cut]])
+        rows.append([*item[edge:], *(word() for _ in range(20))])
+    rows = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.first_word) for r in decontaminate.find_leaks(docs, bench).collect()}
+    want = {(d, i): best for d, text in rows for i, best in best_windows(text, items).items()}
+    assert len(want) > 250 and got == want
+
+
+def test_a_leak_exactly_at_the_threshold_is_found(spark):
+    """The item's rarest shingles weigh a fifth of it and are the ones that the document lacks."""
+    item = [f"{a}{b}" for a in "abcd" for b in "klmnop"]
+    bench = [(0, " ".join(item))] + [(k, " ".join(item[:-4])) for k in (1, 2)]
+    text = " ".join(item[:-4])
+    docs = spark.createDataFrame([(0, text)], "doc_id bigint, text string")
+    found = decontaminate.find_leaks(docs, spark.createDataFrame(bench, "item_id bigint, text string")).collect()
+    assert {(r.item_id, r.similarity) for r in found} == {(0, 0.8), (1, 1.0), (2, 1.0)}
