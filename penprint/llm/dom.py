@@ -14,7 +14,8 @@ BLOCKS = set(
     "tfoot th thead tr ul caption".split()
 )
 VOID = {"hr"}
-RAW = "script|style|noscript|template|svg|math|title|textarea|select|iframe|object|button|audio|video|canvas"
+# Elements whose content HTML reads as raw text: up to their end tag or, without one, to the end.
+RAW = "script|style|noscript|title|textarea|iframe"
 TAG_GROUPS = {
     "p": ["p"],
     "heading": ["h1", "h2", "h3", "h4", "h5", "h6", "hgroup"],
@@ -45,8 +46,13 @@ WORD_GROUPS = {
 GROUP_OF = {w: g for g, words in WORD_GROUPS.items() for w in words}
 TAG_OF = {t: g for g, tags in TAG_GROUPS.items() for t in tags}
 
+# A raw tag that ends in "/>" is empty unless its end tag comes before the next one like it. A template is no
+# part of the page, if it is closed; without an end tag it is a tag like others.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<template(?=[\s/>])(?:(?!<template[\s/>]).)*?</template\s*>"
+    rf"|<(?P<empty>{RAW})(?=[\s/>])(?>(?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?=>)|[^>]*)(?<=/)>"
+    r"(?:(?:(?!<(?P=empty)[\s/>]).)*?</(?P=empty)\s*>)?"
+    rf"|<(?P<raw>{RAW})(?=[\s/>]).*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?=>)|[^>]*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -123,6 +129,8 @@ def parse(source: str) -> Page:
         tag = tag.lower()
         if tag not in BLOCKS:
             node = nodes[stack[-1]]
+            if tag in ("option", "select"):
+                parts.append(" ")
             if m["end"]:
                 link = link and tag != "a"
             else:

@@ -15,6 +15,21 @@ def test_blocks_spaces_and_references():
     assert len(dom.features(page)[0]) == len(dom.NAMES)
 
 
+def test_only_raw_text_is_skipped_and_never_past_an_empty_tag():
+    texts = lambda source: [t for _, t in dom.parse(source).runs]
+    for tag in ("svg", "math", "object", "button", "audio", "video", "canvas", "select"):
+        for one in (f"<{tag} class='x'/>", f"<{tag}>", f"<{tag}></{tag}>"):
+            assert texts(f"<article><p>one {one}two<p>three</article><p>four<{tag}></{tag}>") == ["one two", "three", "four"]
+        assert texts(f"<p>a <{tag}>inner <b>text</b></{tag}> b") == ["a inner text b"]
+    for tag in ("script", "style", "noscript", "title", "textarea", "iframe"):
+        assert texts(f"<p>one<{tag} src='a>b' /><p>two<{tag}>no</{tag}><p>three<{tag}/>") == ["one", "two", "three"]
+        assert texts(f"<p>one<{tag} src=/a/></{tag}><p>two<{tag} src='a/>b'>no</{tag}><{tag}/>no</{tag}> tail") == ["one", "two tail"]
+        assert texts(f"<p>one<{tag}>no<p>no") == ["one"]
+    assert texts("<p>one<template><p>no</template><p>two<template>three<template/>four") == ["one", "twothreefour"]
+    assert texts("<p><select><option>a<option>b</option></select>c") == ["a b c"]
+    assert texts("<p>x <svg viewBox='0 0 1 1'><title>no</title><path d='M0'/></svg>y") == ["x y"]
+
+
 def test_decoding_keeps_nothing_below_a_dropped_node():
     page = dom.parse("<div><p>aaaa</p><div><p>bbbb</p><p>cccc</p></div></div>")
     tags = [n.tag for n in page.nodes]
@@ -62,6 +77,16 @@ def test_given_pages_and_layouts_not_seen_in_training(spark, sf, trees):
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_an_article_around_empty_and_unclosed_elements_is_whole(spark, sf, trees):
+    row = spark.read.parquet(f"{sf}/pages.parquet").where("html like '%</p>%</article>%'").orderBy("page_id").first()
+    head, body = row.html.split("<article", 1)
+    marks = ["<svg class='i'/>", "<math/>", "<button>", "<object data='x'>", "<video src='v'>", "<canvas>"]
+    pages = [(i, "u", head + "<article" + body.replace("</p>", m + "</p>", 1)) for i, m in enumerate(["", *marks])]
+    pages = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages, trees).collect()}
+    assert got[0] and set(got.values()) == {got[0]}
+
+
 def test_trees_score_as_spark_does(spark, sf):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
