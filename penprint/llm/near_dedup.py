@@ -1,11 +1,12 @@
 """MinHash near-duplicates by a multi-index Hamming join, every link confirmed on full shingle sets.
 
 1. Equal shingle sets form one class; each class gets a signature of ``SLOTS`` MinHash slots of eight bits.
-2. The signature is cut into ``CHUNKS`` chunks. Two signatures that differ in at most ``CHUNKS * 2 - 1`` slots
+2. The signature is cut into ``c = chunks(percent)`` chunks. Two signatures that differ in at most ``2 * c - 1`` slots
    differ in at most one slot of some chunk (pigeonhole). Each class is entered under every chunk with
    each single slot left out, which enumerates those errors, so an equality join meets every such pair.
-   A pair at the similarity threshold of 0.85 differs in 9.6 of 64 slots on average, with a standard
-   deviation of 2.9; 23 slots lie 4.7 deviations above.
+   There are as many chunks as keep the chance that a pair at the threshold differs in more slots below
+   ``MISS``: at 0.85 it differs in 9.6 of 64 slots on average (deviation 2.9), and 12 chunks cover 23 slots
+   (chance of more 8.2e-6); at 0.80 in 12.7 (3.2), and 14 chunks cover 27 (1.3e-5).
 3. In every bucket all members are compared with the one that shares the most buckets with others. So a
    group of copies of one text costs as many comparisons as it has members.
 4. Members of a bucket that are still in different components are compared in blocks of bounded
@@ -24,6 +25,7 @@ empty table gives an empty table; other columns are ignored, and ``keep_one`` pa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from penprint.llm.common import same, saved, table
 from penprint.llm.components import components
 
-SLOTS, CHUNKS = 64, 12
+SLOTS, MISS = 64, 2e-5
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 SEED = 20240229
 _SIDES = np.random.default_rng(SEED).integers(1, 2**63, (2, SLOTS), dtype=np.uint64)
@@ -105,11 +107,22 @@ def _sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int) ->
     return texts.mapInArrow(work, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
 
 
-def _keys() -> Column:
+def chunks(percent: int) -> int:
+    """Chunks that meet a pair of similarity ``percent`` but for a chance of ``MISS``; two slots each at least."""
+    p = (1 - percent / 100) * 255 / 256  # slots of eight bits also agree by accident
+
+    def miss(count: int) -> float:
+        return sum(comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k) for k in range(2 * count, SLOTS + 1))
+
+    return next((c for c in range(1, SLOTS // 2) if miss(c) <= MISS), SLOTS // 2)
+
+
+def _keys(percent: int) -> Column:
     """Bucket keys of ``sig``: every chunk with each of its slots left out in turn."""
-    edges = np.linspace(0, SLOTS, CHUNKS + 1).round().astype(int)
+    count = chunks(percent)
+    edges = np.linspace(0, SLOTS, count + 1).round().astype(int)
     keys = []
-    for chunk in range(CHUNKS):
+    for chunk in range(count):
         first, last = int(edges[chunk]), int(edges[chunk + 1])
         for skip in range(first, last):
             kept = F.concat(F.substring("sig", first + 1, skip - first), F.substring("sig", skip + 2, last - skip - 1))
@@ -231,7 +244,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         ),
         "near-classes",
     )
-    keys = classes.select("class", F.explode_outer(_keys()).alias("key"))
+    keys = classes.select("class", F.explode_outer(_keys(percent)).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = saved(keys.join(shared, "key"), "near-buckets")
     rank = buckets.groupBy("class").agg(F.sum("members").alias("rank"))

@@ -58,6 +58,25 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(r.n_shingles == len(shingles(dict(rows)[r.doc_id], size)) for r in got)
 
 
+def test_the_buckets_meet_every_pair_that_the_threshold_needs(spark):
+    """Signatures that differ in 27 slots, the most that 0.80 asks for, in 23 for 0.85; some spread evenly."""
+    assert near_dedup.chunks(85) == 12 and near_dedup.chunks(80) == 14
+    rng = random.Random(2)
+    for percent, most in ((85, 23), (80, 27)):
+        rows = []
+        for i in range(200):
+            sig = bytes(rng.randrange(256) for _ in range(64))
+            slots = rng.sample(range(64), most) if i % 2 else [round((k + rng.random()) * 64 / most - 0.5) % 64 for k in range(most)]
+            other = bytes(b ^ 1 if k in slots else b for k, b in enumerate(sig))
+            rows += [(i, 0, sig), (i, 1, other)]
+        keys = near_dedup._keys(percent).alias("keys")
+        both = spark.createDataFrame(rows, "pair int, side int, sig binary").select("pair", "side", keys).collect()
+        found = {}
+        for r in both:
+            found.setdefault(r.pair, []).append(set(r["keys"]))
+        assert all(a & b for a, b in found.values())
+
+
 def test_a_group_without_a_center_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
     rng = random.Random(8)
