@@ -12,6 +12,9 @@ No fingerprint stands before the check: one changed word in an item of 15 to 60
 of single words by more than a small radius, and no radius is sure. The 64-bit SimHash of the words,
 weighted by their length, is only reported: ``distance`` is that of the window from the item.
 
+An item of fewer than five words is one shingle, its whole text: it is found only in a document that
+consists of it alone, not inside a longer one, where so few words say nothing.
+
 Defined results: null and empty texts and items match nothing; null ``doc_id`` or ``item_id`` are values
 like any others; rows that repeat id and text give one result row; of equally similar windows the
 first is reported; an empty table on either side gives no matches; other columns are ignored, and
