@@ -2,8 +2,9 @@
 
 Every block node gets features of its subtree's density, attribute words, depth and siblings
 (``dom.features``). Spark's gradient-boosted trees are fitted on a bounded sample: at most
-``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters, by the order of a hash of their id, each as
-given and in ``SKINS`` other layouts (``skins``). Decoding picks the likeliest set of nodes in which
+``SAMPLE_PAGES`` pages by the order of a hash of their id, each as given and in ``SKINS`` other layouts
+(``skins``). Pages of more than ``SAMPLE_CHARS`` characters come after all others, shorter ones first, and
+only until the sample holds ``SAMPLE_PAGES * SAMPLE_CHARS`` characters. Decoding picks the likeliest set of nodes in which
 nothing is kept below a dropped node. All pages are read whole, page by page.
 
 Defined results: null, empty and text-free pages give the empty string; null or repeated ``page_id`` are
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from penprint.llm import dom, skins
@@ -66,23 +67,30 @@ def training_rows(pages: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, truth = [], []
             for seed, source in zip(batch.column("seed").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                rows, truth = [], []
                 for source_of_one in [skins.given(source), *(skins.render(source, seed * 31 + k) for k in range(SKINS))]:
                     if source_of_one and "data-keep='1'" in source_of_one:
                         page = dom.parse(source_of_one)
                         rows += dom.features(page)
                         truth += dom.labels(page)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.list_(pa.float64())), pa.array(truth, pa.float64())], ["features", "label"]
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows, pa.list_(pa.float64())), pa.array(truth, pa.float64())], ["features", "label"]
+                )
 
-    sample = (
-        pages.where(F.length("html") <= SAMPLE_CHARS)
-        .select(F.xxhash64("page_id", "html").alias("seed"), "html")
-        .orderBy("seed")
+    longer = F.greatest(F.ceil(F.log2(F.length("html") / SAMPLE_CHARS)), F.lit(0))
+    first = (
+        pages.where(F.col("html").isNotNull())
+        .select(longer.alias("longer"), F.xxhash64("page_id", "html").alias("seed"), "html")
+        .orderBy("longer", "seed")
         .limit(SAMPLE_PAGES)
     )
+    before = Window.orderBy("longer", "seed").rowsBetween(Window.unboundedPreceding, -1)
+    sample = (
+        first.withColumn("before", F.coalesce(F.sum(F.length("html")).over(before), F.lit(0)))
+        .where(F.col("before") < SAMPLE_PAGES * SAMPLE_CHARS)
+        .select("seed", "html")
+    )
     return saved(sample.mapInArrow(work, "features array<double>, label double"), "page-nodes")
 
 

@@ -87,6 +87,13 @@ def test_an_article_around_empty_and_unclosed_elements_is_whole(spark, sf, trees
     assert got[0] and set(got.values()) == {got[0]}
 
 
+def test_long_pages_fill_the_sample_if_there_are_no_shorter_ones(spark, sf, monkeypatch):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(30)
+    monkeypatch.setattr(html_text, "SAMPLE_CHARS", 100)
+    trees = html_text.fit(pages)
+    assert trees is not None and all(r.text for r in html_text.main_text(pages, trees).collect())
+
+
 def test_trees_score_as_spark_does(spark, sf):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
