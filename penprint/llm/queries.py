@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from penprint.llm import (
     bpe,
+    conversations,
     decontaminate,
     html_text,
     line_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_conversations": conversations.op13_conversations,
 }
 
 SQL = {
