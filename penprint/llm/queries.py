@@ -7,6 +7,7 @@ from penprint.llm import (
     conversations,
     decontaminate,
     html_text,
+    importance,
     line_dedup,
     near_dedup,
     quality_rules,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_importance": importance.op11_importance,
     "op13_conversations": conversations.op13_conversations,
 }
 
@@ -35,4 +37,5 @@ SQL = {
     "op5_line_dedup": line_dedup.SQL,
     "op8_warc": warc.SQL,
     "op10_quality_rules": quality_rules.SQL,
+    "op11_importance": importance.SQL,
 }
