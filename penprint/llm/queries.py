@@ -8,6 +8,7 @@ from penprint.llm import (
     decontaminate,
     html_text,
     importance,
+    jaccard_join,
     line_dedup,
     near_dedup,
     quality_rules,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_importance": importance.op11_importance,
+    "op12_jaccard": jaccard_join.op12_jaccard,
     "op13_conversations": conversations.op13_conversations,
 }
 
