@@ -7,12 +7,14 @@ shingles they share one among the first ``n - ceil(percent * n / 100) + 1`` of e
 1. Equal shingle sets form one class. Shingles are counted in ``CELLS`` cells over all texts; every order puts the
    shingles of crowded cells last and mixes those of one crowd its own way. Any order gives all links, so a cell
    shared by accident costs time only.
-2. Classes are entered under each shingle of their first prefix. In every such bucket all members meet one center,
-   the one that shares the most buckets, so a group of copies costs as many pairs as it has members.
+2. Classes are entered under each shingle of their first prefix, by bands of size, for linked sets differ little in
+   size. In every such bucket all members meet one center, the one that shares the most buckets, so a group of
+   copies costs as many pairs as it has members.
 3. Of these pairs those of fitting sizes whose prefixes also meet under the other orders are verified.
-4. Members of a bucket that are still in different components meet in blocks of bounded size; there, too, the
-   filters of all orders are intersected before sets are compared. A pair of blocks returns a spanning forest of
-   its links, never all of them, so no link between different components is lost.
+4. Members of a bucket that are still in different components and share a prefix token with such a member under
+   every order meet in blocks of bounded size; there, too, the filters of all orders are intersected before sets are
+   compared. A pair of blocks returns a spanning forest of its links, never all of them, so no link between
+   different components is lost.
 
 Prefixes hold 32 bits of a shingle's hash, which lets more pairs through and loses none; sets hold 64 bits. Words are
 runs of characters other than ASCII white space, A-Z in lower case.
@@ -43,8 +45,9 @@ from penprint.llm.near_dedup import shingle_set
 ORDERS = 3
 CELL_BITS = 18
 CELLS = 1 << CELL_BITS
-# A cell is crowded from this many times the mean on; a level is a doubling.
-CROWDED = 2.0
+# Cells are crowded from so many deviations above the mean on. The first order puts the crowded ones in narrow
+# levels, rarest first; the others only tell doublings apart and so differ more from it.
+DEVIATIONS, LEVELS = 2.0, (8, 1, 1)
 _MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:ORDERS]
 PREFIXES = [f"prefix{j}" for j in range(ORDERS)]
 
@@ -53,8 +56,8 @@ def _cells(shingles: np.ndarray) -> np.ndarray:
     return ((shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def crowd_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """Per cell how crowded it is: 0 up to ``2 * CROWDED`` times the mean, then one more for every doubling.
+def crowds(docs: DataFrame, size: int) -> np.ndarray:
+    """Per cell the logarithm (base 2) of how crowded it is; 0 up to ``DEVIATIONS`` above the mean.
 
     Tasks count on their own and send a row per cell; the driver gets ``CELLS`` rows at most.
     """
@@ -63,27 +66,36 @@ def crowd_levels(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                total += np.bincount(_cells(shingle_set(text.as_py(), size)), minlength=CELLS)
+                np.add.at(total, _cells(shingle_set(text.as_py(), size)), 1)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["cell", "n"])
 
     counted = docs.select("text").mapInArrow(work, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    crowd = counts / max(CROWDED * counts.sum() / CELLS, CROWDED)
-    return np.log2(np.maximum(crowd, 1)).astype(np.uint8)
+    mean = counts.mean()
+    return np.log2(np.maximum(counts / max(mean + DEVIATIONS * mean**0.5, 1), 1)).astype(np.float32)
+
+
+def size_edges(percent: int) -> np.ndarray:
+    """First sizes of bands so wide that sets of similarity ``percent`` lie in the same or in neighbouring bands."""
+    edges = [1]
+    while edges[-1] < 2**40:
+        edges.append(edges[-1] * 100 // percent + 1)
+    return np.array(edges)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes(shingles: np.ndarray, levels: np.ndarray, percent: int) -> list[np.ndarray]:
+def prefixes(shingles: np.ndarray, crowd: np.ndarray, percent: int) -> list[np.ndarray]:
     """The first shingles under each order, cut to 32 bits, sorted."""
     length = prefix_length(len(shingles), percent)
-    level = levels[_cells(shingles)].astype(np.uint64) << np.uint64(56)
+    crowd = crowd[_cells(shingles)]
     found = []
-    for mixer in _MIXERS:
+    for mixer, fine in zip(_MIXERS, LEVELS, strict=True):
+        level = np.minimum(crowd * np.float32(fine), 255).astype(np.uint64) << np.uint64(56)
         mixed = shingles * mixer
         mixed = (mixed ^ (mixed >> np.uint64(32))) * mixer
         first = np.argpartition(level | (mixed >> np.uint64(8)), length - 1)[:length]
@@ -91,9 +103,9 @@ def prefixes(shingles: np.ndarray, levels: np.ndarray, percent: int) -> list[np.
     return found
 
 
-def _sketches(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``id, text_hash, n, class`` and the prefixes per row; all but the first three null without shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _sketches(docs: DataFrame, crowd: np.ndarray, size: int, percent: int) -> DataFrame:
+    """``id, text_hash, n, class, band`` and the prefixes per row; class and prefixes are null without shingles."""
+    shared, edges = docs.sparkSession.sparkContext.broadcast(crowd), size_edges(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,14 +117,15 @@ def _sketches(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> D
                 found = prefixes(shingles, shared.value, percent) if len(shingles) else [None] * ORDERS
                 for column, prefix in zip(firsts, found, strict=True):
                     column.append(prefix)
-            columns = [batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(known, pa.int64())]
+            band = np.searchsorted(edges, n, "right")
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(band, pa.int32())]
             columns += [pa.array(column, pa.list_(pa.int32())) for column in firsts]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n", "class", *PREFIXES])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n", "class", "band", *PREFIXES])
 
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
     kind = rows.schema["id"].dataType.simpleString()
     lists = ", ".join(f"{p} array<int>" for p in PREFIXES)
-    return rows.mapInArrow(work, f"id {kind}, text_hash bigint, n bigint, class bigint, {lists}")
+    return rows.mapInArrow(work, f"id {kind}, text_hash bigint, n bigint, class bigint, band int, {lists}")
 
 
 def candidates(tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -129,6 +142,24 @@ def candidates(tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return met.select("center", "class")
 
 
+def open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``center, class, n, comp`` that under every order share a prefix token with another component's member.
+
+    A link between two components of a cluster needs such a token under each order, so all others are done.
+    """
+    for prefix in [None, *PREFIXES[1:]]:
+        if prefix is None:
+            rows, keys = members, ["center"]
+        else:
+            rows = members.join(classes.select("class", prefix), "class")
+            rows = rows.select("center", "class", "n", "comp", F.explode_outer(prefix).alias("token"))
+            keys = ["center", "token"]
+        split = rows.groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        met = rows.join(split.select(*keys), keys, "left_semi").select("center", "class", "n", "comp")
+        members = saved(met.distinct(), "jaccard-members")
+    return members
+
+
 def _bits(lists: pa.ListArray, rows: int) -> np.ndarray:
     """A bit set per row over the entries that several rows hold."""
     size = np.diff(lists.offsets.to_numpy())
@@ -187,14 +218,15 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    rows = saved(_sketches(docs, crowd_levels(docs, size), size, percent), "jaccard-sketches")
+    rows = saved(_sketches(docs, crowds(docs, size), size, percent), "jaccard-sketches")
     classes = saved(
         rows.where("n > 0")
         .groupBy("class")
-        .agg(F.min(F.struct("id", "text_hash")).alias("at"), F.first("n").alias("n"), *[F.first(p).alias(p) for p in PREFIXES]),
+        .agg(F.min(F.struct("id", "text_hash")).alias("at"), F.first("n").alias("n"), F.first("band").alias("band"), *[F.first(p).alias(p) for p in PREFIXES]),
         "jaccard-classes",
     )
-    tokens = classes.select("class", F.explode_outer(PREFIXES[0]).alias("token"))
+    tokens = classes.select("class", "band", F.explode_outer(PREFIXES[0]).alias("token"))
+    tokens = tokens.select("class", F.explode_outer(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = saved(tokens.join(shared, "token"), "jaccard-buckets")
     rank = buckets.groupBy("class").agg(F.sum("members").alias("rank"))
@@ -216,13 +248,13 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     roots = components(links)
     sized = tested.join(classes.select("class", "n"), "class").join(roots, F.col("class") == F.col("node"), "left")
     members = sized.select("center", "class", "n", F.coalesce("root", "class").alias("comp"))
-    dealt = saved(deal_blocks(members), "jaccard-blocks")
+    dealt = saved(deal_blocks(open_members(members, classes)), "jaccard-blocks")
     sets = saved(sets_of_classes(docs, places, dealt.select("class").distinct(), size), "jaccard-block-sets")
     full = dealt.join(classes.select("class", *PREFIXES), "class").join(sets, "class")
     more = full.groupBy("center", "first", "second").applyInArrow(_block_links(percent), "a bigint, b bigint")
     more = saved(more, "jaccard-more")
     links = links.union(more)
-    return links, roots if more.isEmpty() else components(links), rows.drop(*PREFIXES)
+    return links, roots if more.isEmpty() else components(links), rows.drop("band", *PREFIXES)
 
 
 def jaccard_join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
