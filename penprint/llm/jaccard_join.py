@@ -2,11 +2,11 @@
 
 Two sets of similarity ``percent`` or more share at least that part of the larger one. So under any order of all
 shingles they share one among the first ``n - ceil(percent * n / 100) + 1`` of each (the *prefix*). Here there are
-``ORDERS`` orders, and a pair is a candidate only if its prefixes meet under every one of them:
+several ``ORDERS``, and a pair is a candidate only if its prefixes meet under every one of them:
 
-1. Equal shingle sets form one class. Shingles are counted in ``CELLS`` cells over all texts; every order puts the
-   shingles of crowded cells last and mixes those of one crowd its own way. Any order gives all links, so a cell
-   shared by accident costs time only.
+1. Equal shingle sets form one class. Every order deals all shingles of all texts to cells of its own and counts
+   them there; shingles of the least crowded cells come first, so those that many texts hold come last. Any order
+   gives all links, so a cell shared by accident costs time only.
 2. Classes are entered under each shingle of their first prefix, by bands of size, for linked sets differ little in
    size. In every such bucket all members meet one center, the one that shares the most buckets, so a group of
    copies costs as many pairs as it has members.
@@ -42,46 +42,55 @@ from penprint.llm.near_dedup import _class_of as class_of
 from penprint.llm.near_dedup import _sets as sets_of_classes
 from penprint.llm.near_dedup import shingle_set
 
-ORDERS = 3
-CELL_BITS = 18
-CELLS = 1 << CELL_BITS
-# Cells are crowded from so many deviations above the mean on. The first order puts the crowded ones in narrow
-# levels, rarest first; the others only tell doublings apart and so differ more from it.
-DEVIATIONS, LEVELS = 2.0, (8, 1, 1)
-_MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:ORDERS]
-PREFIXES = [f"prefix{j}" for j in range(ORDERS)]
+# An order has cells of its own, this many bits wide; a mixer deals shingles to them and breaks ties.
+ORDERS = ((18, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9))
+PREFIXES = [f"prefix{j}" for j in range(len(ORDERS))]
+CELLS = sum(1 << bits for bits, _ in ORDERS)
 
 
-def _cells(shingles: np.ndarray) -> np.ndarray:
-    return ((shingles * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _mixed(shingles: np.ndarray, mixer: int) -> np.ndarray:
+    mixed = shingles * np.uint64(mixer)
+    return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(mixer)
 
 
-def crowds(docs: DataFrame, size: int) -> np.ndarray:
-    """Per cell the logarithm (base 2) of how crowded it is; 0 up to ``DEVIATIONS`` above the mean.
+def _cells(mixed: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def crowds(docs: DataFrame, size: int) -> list[np.ndarray]:
+    """For every order the places of its cells, from the least to the most crowded.
 
     Tasks count on their own and send a row per cell; the driver gets ``CELLS`` rows at most.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        totals = [np.zeros(1 << bits, np.int64) for bits, _ in ORDERS]
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(total, _cells(shingle_set(text.as_py(), size)), 1)
+                shingles = shingle_set(text.as_py(), size)
+                for total, (bits, mixer) in zip(totals, ORDERS, strict=True):
+                    np.add.at(total, _cells(_mixed(shingles, mixer), bits), 1)
+        total = np.concatenate(totals)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["cell", "n"])
 
     counted = docs.select("text").mapInArrow(work, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(CELLS, np.int64)
     counts[counted.column("cell").to_numpy()] = counted.column("n").to_numpy()
-    mean = counts.mean()
-    return np.log2(np.maximum(counts / max(mean + DEVIATIONS * mean**0.5, 1), 1)).astype(np.float32)
+    places, at = [], 0
+    for bits, _ in ORDERS:
+        place = np.empty(1 << bits, np.uint32)
+        place[np.argsort(counts[at : at + len(place)], kind="stable")] = np.arange(len(place), dtype=np.uint32)
+        places.append(place)
+        at += len(place)
+    return places
 
 
 def size_edges(percent: int) -> np.ndarray:
     """First sizes of bands so wide that sets of similarity ``percent`` lie in the same or in neighbouring bands."""
     edges = [1]
     while edges[-1] < 2**40:
-        edges.append(edges[-1] * 100 // percent + 1)
+        edges.append(edges[-1] * 100 // min(percent, 99) + 1)  # wider bands do as well
     return np.array(edges)
 
 
@@ -89,23 +98,21 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes(shingles: np.ndarray, crowd: np.ndarray, percent: int) -> list[np.ndarray]:
+def prefixes(shingles: np.ndarray, places: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """The first shingles under each order, cut to 32 bits, sorted."""
     length = prefix_length(len(shingles), percent)
-    crowd = crowd[_cells(shingles)]
     found = []
-    for mixer, fine in zip(_MIXERS, LEVELS, strict=True):
-        level = np.minimum(crowd * np.float32(fine), 255).astype(np.uint64) << np.uint64(56)
-        mixed = shingles * mixer
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * mixer
-        first = np.argpartition(level | (mixed >> np.uint64(8)), length - 1)[:length]
+    for place, (bits, mixer) in zip(places, ORDERS, strict=True):
+        mixed = _mixed(shingles, mixer)
+        order = (place[_cells(mixed, bits)].astype(np.uint64) << np.uint64(64 - bits)) | (mixed & np.uint64((1 << 64 - bits) - 1))
+        first = np.argpartition(order, length - 1)[:length]
         found.append(np.unique(shingles[first].astype(np.uint32)).view(np.int32))
     return found
 
 
-def _sketches(docs: DataFrame, crowd: np.ndarray, size: int, percent: int) -> DataFrame:
+def _sketches(docs: DataFrame, places: list[np.ndarray], size: int, percent: int) -> DataFrame:
     """``id, text_hash, n, class, band`` and the prefixes per row; class and prefixes are null without shingles."""
-    shared, edges = docs.sparkSession.sparkContext.broadcast(crowd), size_edges(percent)
+    shared, edges = docs.sparkSession.sparkContext.broadcast(places), size_edges(percent)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +121,7 @@ def _sketches(docs: DataFrame, crowd: np.ndarray, size: int, percent: int) -> Da
                 shingles = shingle_set(text.as_py(), size)
                 n.append(len(shingles))
                 known.append(class_of(shingles) if len(shingles) else None)
-                found = prefixes(shingles, shared.value, percent) if len(shingles) else [None] * ORDERS
+                found = prefixes(shingles, shared.value, percent) if len(shingles) else [None] * len(PREFIXES)
                 for column, prefix in zip(firsts, found, strict=True):
                     column.append(prefix)
             band = np.searchsorted(edges, n, "right")
@@ -147,16 +154,14 @@ def open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     A link between two components of a cluster needs such a token under each order, so all others are done.
     """
-    for prefix in [None, *PREFIXES[1:]]:
-        if prefix is None:
-            rows, keys = members, ["center"]
-        else:
-            rows = members.join(classes.select("class", prefix), "class")
-            rows = rows.select("center", "class", "n", "comp", F.explode_outer(prefix).alias("token"))
-            keys = ["center", "token"]
-        split = rows.groupBy(*keys).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        met = rows.join(split.select(*keys), keys, "left_semi").select("center", "class", "n", "comp")
-        members = saved(met.distinct(), "jaccard-members")
+    parts = members.groupBy("center").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    members = saved(members.join(parts.select("center"), "center", "left_semi"), "jaccard-members")
+    for prefix in PREFIXES[1:]:
+        rows = members.join(classes.select("class", prefix), "class").select("center", "class", "comp", F.explode_outer(prefix).alias("token"))
+        rows = rows.select("center", "class", "comp", F.xxhash64("center", "token").alias("key"))
+        split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        met = rows.select("center", "class", "key").join(split.select("key"), "key", "left_semi").select("center", "class").distinct()
+        members = saved(members.join(met, ["center", "class"]).select("center", "class", "n", "comp"), "jaccard-members")
     return members
 
 
