@@ -39,13 +39,13 @@ from penprint.llm.common import saved, table
 from penprint.llm.components import components
 from penprint.llm.near_dedup import _blocks as deal_blocks
 from penprint.llm.near_dedup import _class_of as class_of
-from penprint.llm.near_dedup import _sets as sets_of_classes
 from penprint.llm.near_dedup import shingle_set
 
 # An order has cells of its own, this many bits wide; a mixer deals shingles to them and breaks ties.
 ORDERS = ((18, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9))
 PREFIXES = [f"prefix{j}" for j in range(len(ORDERS))]
 CELLS = sum(1 << bits for bits, _ in ORDERS)
+SIEVE_BITS = 1 << 25
 
 
 def _mixed(shingles: np.ndarray, mixer: int) -> np.ndarray:
@@ -135,6 +135,33 @@ def _sketches(docs: DataFrame, places: list[np.ndarray], size: int, percent: int
     return rows.mapInArrow(work, f"id {kind}, text_hash bigint, n bigint, class bigint, band int, {lists}")
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``class, shingles`` for the wanted classes, from the text of one document of each, and a few more.
+
+    No text moves: a table of ``SIEVE_BITS`` bits, the same size for any input, tells tasks which rows to read. Rows
+    that hit a bit by accident add sets that nothing joins.
+    """
+    spot = lambda *row: F.pmod(F.xxhash64(*row), F.lit(SIEVE_BITS))
+    spots = wanted.select(spot("at.id", "at.text_hash").alias("spot"))
+    parts = spots.groupBy(F.shiftright("spot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("spot").bitwiseAND(32767)).alias("bits"))
+    sieve = np.zeros((SIEVE_BITS >> 15, 4096), np.uint8)
+    for part, bits in parts.collect():
+        sieve[part] = np.frombuffer(bits, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(sieve.ravel())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = batch.column("spot").to_numpy()
+            hits = np.flatnonzero((shared.value[spots >> 3] >> (spots & 7)) & 1)
+            sets = [shingle_set(batch.column("text")[i].as_py(), size) for i in hits.tolist()]
+            sets = [s for s in sets if len(s)]
+            columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "shingles"])
+
+    rows = docs.select(spot("doc_id", F.xxhash64("text")).alias("spot"), "text")
+    return rows.mapInArrow(work, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
+
+
 def candidates(tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``center, class`` of fitting sizes whose prefixes meet under every order but the first, which dealt them."""
     others = PREFIXES[1:]
@@ -241,8 +268,8 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     pairs = saved(candidates(tested, classes, percent), "jaccard-candidates")
 
     places = classes.select("class", "at")
-    sets = sets_of_classes(docs, places, pairs.select("class").union(pairs.select("center")).distinct(), size)
-    sets = saved(sets, "jaccard-sets")
+    wanted = pairs.select("class").union(pairs.select("center")).distinct()
+    sets = saved(sets_of(docs, places.join(wanted, "class"), size), "jaccard-sets")
     center_sets = sets.select(F.col("class").alias("center"), F.col("shingles").alias("center_shingles"))
     common = F.size(F.array_intersect("shingles", "center_shingles"))
     linked = common * 100 >= (F.size("shingles") + F.size("center_shingles") - common) * percent
@@ -254,7 +281,7 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     sized = tested.join(classes.select("class", "n"), "class").join(roots, F.col("class") == F.col("node"), "left")
     members = sized.select("center", "class", "n", F.coalesce("root", "class").alias("comp"))
     dealt = saved(deal_blocks(open_members(members, classes)), "jaccard-blocks")
-    sets = saved(sets_of_classes(docs, places, dealt.select("class").distinct(), size), "jaccard-block-sets")
+    sets = saved(sets_of(docs, places.join(dealt, "class", "left_semi"), size), "jaccard-block-sets")
     full = dealt.join(classes.select("class", *PREFIXES), "class").join(sets, "class")
     more = full.groupBy("center", "first", "second").applyInArrow(_block_links(percent), "a bigint, b bigint")
     more = saved(more, "jaccard-more")
