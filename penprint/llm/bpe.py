@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -44,9 +45,11 @@ WORD = (
     r"|\p{IsWhite_Space}+(?!\P{IsWhite_Space})|\p{IsWhite_Space}+"
 )
 # A task forgets its words when it knows this many; a forgotten word is encoded again.
-KNOWN_WORDS = 800_000
-# The library's encodings are large objects, so words go through it in portions.
-PORTION = 2_000
+KNOWN_WORDS = 1_200_000
+# The library's encodings are large objects, so words go through it in portions. Words of a space and letters go
+# as texts of so many, each with a line end behind it; the library cuts them there.
+PORTION, TOGETHER = 2_000, 50
+SPACED_LETTERS = r"^ \p{L}+$"
 # A chunk is a run of whole texts of at most this many words, or a single longer text.
 CHUNK_WORDS = 1_500_000
 BATCH_BYTES = 24_000_000
@@ -118,6 +121,11 @@ def _pieces(text: str) -> pa.Array:
     return pa.array([tokens.get(i, b"") for i in range(max(tokens) + 1)], pa.large_binary())
 
 
+def _lists(lengths: list[np.ndarray], flat: list[np.ndarray]) -> pa.LargeListArray:
+    offsets = np.cumsum(np.concatenate([[0], *lengths])).astype(np.int64)
+    return pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *flat]), pa.int32()))
+
+
 class WordCoder:
     """Ids of words, each distinct word encoded once while it is known."""
 
@@ -125,22 +133,50 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.known_ids = _lists([], [])
 
     def ids(self, words: list[str]) -> pa.LargeListArray:
-        """Ids of every word; ``words`` are distinct or few."""
-        parts = []
+        """Ids of every word; ``words`` are distinct or few. Only unknown ones are encoded, the rest is one lookup."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            self.known_ids = pa.concat_arrays([self.known_ids, self._encoded(pa.array(new, pa.large_string()))])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return self.known_ids.take(pa.array(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))))
+
+    def _encoded(self, words: pa.Array) -> pa.LargeListArray:
+        """Ids of distinct words by the library."""
+        together = pc.match_substring_regex(words, SPACED_LETTERS) if len(self.line_end) == 1 else pa.array([False] * len(words))
+        plain, rest = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (together, pc.invert(together)))
+        lengths, flat = [], []
+        listed = words.take(pa.array(plain)).to_pylist()
+        for at in range(0, len(listed), PORTION):
+            groups = [listed[i : i + TOGETHER] for i in range(at, min(at + PORTION, len(listed)), TOGETHER)]
+            codes = self.tokenizer.encode_batch_fast(["\n".join(g) + "\n" for g in groups], add_special_tokens=False)
+            for group, code in zip(groups, codes, strict=True):
+                ids = np.array(code.ids, np.int32)
+                ends = np.flatnonzero(ids == self.line_end[0])
+                if len(ends) == len(group):
+                    lengths.append(np.diff(ends, prepend=-1) - 1)
+                    flat.append(ids[ids != self.line_end[0]])
+                else:  # the library's letters are others
+                    self._one_by_one(group, lengths, flat)
+        self._one_by_one(words.take(pa.array(rest)).to_pylist(), lengths, flat)
+        back = np.empty(len(words), np.int64)
+        back[np.concatenate([plain, rest])] = np.arange(len(words))
+        return _lists(lengths, flat).take(pa.array(back))
+
+    def _one_by_one(self, words: list[str], lengths: list, flat: list) -> None:
         for at in range(0, len(words), PORTION):
-            some = words[at : at + PORTION]
-            if len(self.known) > KNOWN_WORDS:
-                self.known.clear()
-            new = [w for w in some if w not in self.known]
-            for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<i4").tobytes()
-            parts += [self.known[w] for w in some]
-        lengths = np.fromiter((len(x) // 4 for x in parts), np.int64, len(parts))
-        flat = np.frombuffer(b"".join(parts), "<i4").astype(np.int32)
-        return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)])), pa.array(flat))
+            codes = [c.ids for c in self.tokenizer.encode_batch_fast(words[at : at + PORTION], add_special_tokens=False)]
+            lengths.append(np.fromiter(map(len, codes), np.int64, len(codes)))
+            flat.append(np.fromiter(chain.from_iterable(codes), np.int32))
 
     def words(self, batch: pa.RecordBatch, specials: list[str]) -> pa.ListArray:
         """The word lists of rows from ``worded``, with odd texts split here."""
@@ -282,7 +318,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared.value.encoder()
-        coder.known.clear()  # other tasks' words are not met here
+        coder.forget()  # other tasks' words are not met here
         wide = "<u2" if len(shared.value.pieces()) <= 65536 else "<u4"
         for batch in batches:
             for row in batch.to_pylist():
