@@ -11,10 +11,9 @@ several ``ORDERS``, and a pair is a candidate only if its prefixes meet under ev
    size. In every such bucket all members meet one center, the one that shares the most buckets, so a group of
    copies costs as many pairs as it has members.
 3. Of these pairs those of fitting sizes whose prefixes also meet under the other orders are verified.
-4. Members of a bucket that are still in different components and share a prefix token with such a member under
-   every order meet in blocks of bounded size; there, too, the filters of all orders are intersected before sets are
-   compared. A pair of blocks returns a spanning forest of its links, never all of them, so no link between
-   different components is lost.
+4. Members of a bucket that are still in different components meet in blocks of bounded size, first by their prefixes
+   under all orders; only members of pairs that pass them all bring their sets. A pair of blocks returns a spanning
+   forest of its links, never all of them, so no link between different components is lost.
 
 Prefixes hold 32 bits of a shingle's hash, which lets more pairs through and loses none; sets hold 64 bits. Words are
 runs of characters other than ASCII white space, A-Z in lower case.
@@ -176,20 +175,16 @@ def candidates(tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return met.select("center", "class")
 
 
-def open_members(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``center, class, n, comp`` that under every order share a prefix token with another component's member.
+def open_members(placed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``center, class, n, comp``: members that share a bucket with a member of another component.
 
-    A link between two components of a cluster needs such a token under each order, so all others are done.
+    ``placed`` has the members of buckets of more than two, without their centers, which have met all of them.
     """
-    parts = members.groupBy("center").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    members = saved(members.join(parts.select("center"), "center", "left_semi"), "jaccard-members")
-    for prefix in PREFIXES[1:]:
-        rows = members.join(classes.select("class", prefix), "class").select("center", "class", "comp", F.explode_outer(prefix).alias("token"))
-        rows = rows.select("center", "class", "comp", F.xxhash64("center", "token").alias("key"))
-        split = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        met = rows.select("center", "class", "key").join(split.select("key"), "key", "left_semi").select("center", "class").distinct()
-        members = saved(members.join(met, ["center", "class"]).select("center", "class", "n", "comp"), "jaccard-members")
-    return members
+    rows = placed.join(roots, F.col("class") == F.col("node"), "left")
+    rows = rows.select("token", "center", "class", F.coalesce("root", "class").alias("comp"))
+    split = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    members = rows.join(split.select("token"), "token", "left_semi").select("center", "class", "comp").distinct()
+    return members.join(classes.select("class", "n"), "class").select("center", "class", "n", "comp")
 
 
 def _bits(lists: pa.ListArray, rows: int) -> np.ndarray:
@@ -203,16 +198,47 @@ def _bits(lists: pa.ListArray, rows: int) -> np.ndarray:
     return bits
 
 
+class _Block:
+    """Members of a block, or of two, and the pairs among them that the filters of all orders let through."""
+
+    def __init__(self, part: pa.Table, percent: int):
+        self.comp, self.side, self.size = (part.column(c).to_numpy() for c in ("comp", "side", "n"))
+        self.firsts = [_bits(part.column(p).combine_chunks(), len(part)) for p in PREFIXES]
+        self.percent = percent
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """A member, and the others of fitting size and another component whose prefixes meet its own under every order."""
+        both = self.side.max() > 0
+        for i in np.flatnonzero(self.side == 0).tolist():
+            others = (self.side == 1) if both else (np.arange(len(self.side)) > i)
+            fits = np.minimum(self.size, self.size[i]) * 100 >= np.maximum(self.size, self.size[i]) * self.percent
+            j = np.flatnonzero(others & fits & (self.comp != self.comp[i]))
+            for bits in self.firsts:
+                j = j[(bits[j] & bits[i]).any(axis=1)]
+            if len(j):
+                yield i, j
+
+
+def _block_members(percent: int):
+    """The rows of a block that are in a pair at all."""
+
+    def work(part: pa.Table) -> pa.Table:
+        kept = np.zeros(len(part), bool)
+        for i, j in _Block(part, percent).pairs():
+            kept[i] = True
+            kept[j] = True
+        return part.select(["center", "first", "second", "class", "comp", "side"]).filter(pa.array(kept))
+
+    return work
+
+
 def _block_links(percent: int):
     """Links between different components within a block, or between two, as a spanning forest."""
 
     def work(part: pa.Table) -> pa.Table:
-        node, comp, side = (part.column(c).to_numpy() for c in ("class", "comp", "side"))
-        sets = part.column("shingles").combine_chunks()
-        size = np.diff(sets.offsets.to_numpy())
-        firsts = [_bits(part.column(p).combine_chunks(), len(node)) for p in PREFIXES]
+        block, node = _Block(part, percent), part.column("class").to_numpy()
         members = None
-        root = {int(c): int(c) for c in comp}
+        root = {int(c): int(c) for c in block.comp}
 
         def find(c: int) -> int:
             while root[c] != c:
@@ -221,19 +247,11 @@ def _block_links(percent: int):
             return c
 
         found = []
-        both = side.max() > 0
-        for i in np.flatnonzero(side == 0):
-            others = (side == 1) if both else (np.arange(len(node)) > i)
-            fits = np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
-            j = np.flatnonzero(others & fits & (comp != comp[i]))
-            for bits in firsts:
-                j = j[(bits[j] & bits[i]).any(axis=1)]
-            if not len(j):
-                continue
-            members = _bits(sets, len(node)) if members is None else members
+        for i, j in block.pairs():
+            members = _bits(part.column("shingles").combine_chunks(), len(node)) if members is None else members
             common = np.bitwise_count(members[j] & members[i]).sum(axis=1, dtype=np.int64)
-            for k in j[common * 100 >= (size[j] + size[i] - common) * percent]:
-                a, b = find(int(comp[i])), find(int(comp[k]))
+            for k in j[common * 100 >= (block.size[j] + block.size[i] - common) * percent]:
+                a, b = find(int(block.comp[i])), find(int(block.comp[k]))
                 if a != b:
                     root[max(a, b)] = min(a, b)
                     found.append((int(node[i]), int(node[k])))
@@ -263,8 +281,9 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     buckets = saved(tokens.join(shared, "token"), "jaccard-buckets")
     rank = buckets.groupBy("class").agg(F.sum("members").alias("rank"))
     centers = buckets.join(rank, "class").groupBy("token").agg(F.max_by("class", F.struct("rank", "class")).alias("center"))
-    tested = buckets.join(centers, "token").where("class <> center").select("center", "class").distinct()
-    tested = saved(tested, "jaccard-tested")
+    placed = buckets.join(centers, "token").where("class <> center").select("token", "center", "class", "members")
+    placed = saved(placed, "jaccard-placed")
+    tested = saved(placed.select("center", "class").distinct(), "jaccard-tested")
     pairs = saved(candidates(tested, classes, percent), "jaccard-candidates")
 
     places = classes.select("class", "at")
@@ -276,14 +295,17 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     links = pairs.join(center_sets, "center").join(sets, "class").where(linked)
     links = saved(links.select(F.col("class").alias("a"), F.col("center").alias("b")), "jaccard-links")
 
-    # Every pair of a bucket has met the bucket's center; what is not connected by that meets in blocks.
+    # All members of a bucket have met its center; what is not connected by that meets in blocks.
     roots = components(links)
-    sized = tested.join(classes.select("class", "n"), "class").join(roots, F.col("class") == F.col("node"), "left")
-    members = sized.select("center", "class", "n", F.coalesce("root", "class").alias("comp"))
-    dealt = saved(deal_blocks(open_members(members, classes)), "jaccard-blocks")
+    dealt = deal_blocks(open_members(placed.where("members > 2"), classes, roots))
+    filters = classes.select("class", "n", *PREFIXES)
+    block = ["center", "first", "second"]
+    rows_of_block = "center bigint, first int, second int, class bigint, comp bigint, side int"
+    dealt = dealt.join(filters, "class").groupBy(*block).applyInArrow(_block_members(percent), rows_of_block)
+    dealt = saved(dealt, "jaccard-blocks")
     sets = saved(sets_of(docs, places.join(dealt, "class", "left_semi"), size), "jaccard-block-sets")
-    full = dealt.join(classes.select("class", *PREFIXES), "class").join(sets, "class")
-    more = full.groupBy("center", "first", "second").applyInArrow(_block_links(percent), "a bigint, b bigint")
+    full = dealt.join(filters, "class").join(sets, "class")
+    more = full.groupBy(*block).applyInArrow(_block_links(percent), "a bigint, b bigint")
     more = saved(more, "jaccard-more")
     links = links.union(more)
     return links, roots if more.isEmpty() else components(links), rows.drop("band", *PREFIXES)
