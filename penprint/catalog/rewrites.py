@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from penprint.catalog.base import ascii_only, quote, register, table, with_ctes
 from penprint.functions import vectors as vx
 from penprint.operators import fit
+from penprint.operators import permute
 from penprint.operators import rerank as rr
+from penprint.operators import scaled_fit
 from penprint.operators import vectors as vec
 from penprint.plans.keys import join_on
 
@@ -323,6 +325,19 @@ register(
 )
 
 
+def _scaled_head(spark, sf):
+    """Means and deviations of the later half of every vector by its first half: rows only, held against numpy in the tests."""
+    rows = _regression_rows(spark, sf)
+    head = scaled_fit.head_rows(rows, scaled_fit.fit_scaled_gaussian(rows))
+    cells = F.posexplode(F.arrays_zip("weights", "log_weights")).alias("feature", "w")
+    return head.select("dim", "bias", "log_bias", cells).select(
+        "dim", "feature", F.col("w.weights").alias("weight"), F.col("w.log_weights").alias("log_weight"), "bias", "log_bias"
+    )
+
+
+register("fit_scaled_gaussian", _scaled_head)
+
+
 def _linear_residuals(spark, sf):
     """Residuals of the fit on half of the dimensions: their mean and their product with every feature."""
     rows = _regression_rows(spark, sf)
@@ -360,6 +375,33 @@ register(
 )
 
 
+SHUFFLE_SEED = 7
+
+
+def _permuted(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return permute.permuted_batches(docs, "doc_id", docs.count(), SHUFFLE_SEED)
+
+
+def _permuted_sql() -> str:
+    """Cycle walking as a recursion; its start and every step are one run of the rounds."""
+    half = "(SELECT greatest(1, ceil(log2(greatest(count(*), 2)) / 2))::BIGINT AS h, count(*) AS n FROM documents)"
+
+    def rounds(source: str) -> str:
+        for key in permute.round_keys(SHUFFLE_SEED):
+            mixed = f"((((b + {key} % (1::BIGINT << h)) * {permute.MIXER}) & 4294967295) >> (32 - h))"
+            source = f"SELECT doc_id, h, n, b AS a, xor(a, {mixed}) AS b FROM ({source})"
+        return f"SELECT doc_id, h, n, (a << h) | b AS x FROM ({source})"
+
+    first = rounds(f"SELECT doc_id, h, n, doc_id >> h AS a, doc_id & ((1::BIGINT << h) - 1) AS b FROM documents, {half}")
+    again = rounds("SELECT doc_id, h, n, x >> h AS a, x & ((1::BIGINT << h) - 1) AS b FROM walk WHERE x >= n")
+    return f"""WITH RECURSIVE walk AS ({first} UNION ALL {again})
+        SELECT doc_id, x AS place, x // {fit.BATCH} AS batch FROM walk WHERE x < n"""
+
+
+register("permuted_batches", _permuted, _permuted_sql())
+
+
 def _padded(spark, sf):
     from penprint.functions import text as tx
 
