@@ -41,7 +41,7 @@ from penprint.llm.near_dedup import _class_of as class_of
 from penprint.llm.near_dedup import shingle_set
 
 # An order has cells of its own, this many bits wide; a mixer deals shingles to them and breaks ties.
-ORDERS = ((18, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9))
+ORDERS = ((20, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9))
 PREFIXES = [f"prefix{j}" for j in range(len(ORDERS))]
 CELLS = sum(1 << bits for bits, _ in ORDERS)
 SIEVE_BITS = 1 << 25
@@ -65,10 +65,10 @@ def crowds(docs: DataFrame, size: int) -> list[np.ndarray]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(1 << bits, np.int64) for bits, _ in ORDERS]
         for batch in batches:
-            for text in batch.column(0):
-                shingles = shingle_set(text.as_py(), size)
-                for total, (bits, mixer) in zip(totals, ORDERS, strict=True):
-                    np.add.at(total, _cells(_mixed(shingles, mixer), bits), 1)
+            sets = [shingle_set(text.as_py(), size) for text in batch.column(0)]
+            shingles = np.concatenate([np.empty(0, np.uint64), *sets])
+            for total, (bits, mixer) in zip(totals, ORDERS, strict=True):
+                total += np.bincount(_cells(_mixed(shingles, mixer), bits), minlength=1 << bits)
         total = np.concatenate(totals)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["cell", "n"])
@@ -164,12 +164,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def candidates(tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``center, class`` of fitting sizes whose prefixes meet under every order but the first, which dealt them."""
     others = PREFIXES[1:]
-    of_class = classes.select("class", "n", *others)
     of_center = classes.select(F.col("class").alias("center"), F.col("n").alias("c_n"), *[F.col(p).alias(f"c_{p}") for p in others])
-    sizes = classes.select("class", "n")
-    fitting = tested.join(sizes, "class").join(sizes.select(F.col("class").alias("center"), F.col("n").alias("c_n")), "center")
-    fitting = fitting.where(F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent).select("center", "class")
-    met = fitting.join(of_center, "center").join(of_class, "class")
+    met = tested.join(of_center, "center").join(classes.select("class", "n", *others), "class")
+    met = met.where(F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent)
     for prefix in others:
         met = met.where(F.arrays_overlap(prefix, f"c_{prefix}"))
     return met.select("center", "class")
