@@ -4,7 +4,7 @@ from importlib import import_module
 
 from penprint.catalog.base import QUERIES, Query
 
-GROUPS = ("texts", "sentences", "profiles", "parsing", "induction", "emotions", "rewrites", "requests")
+GROUPS = ("texts", "sentences", "profiles", "parsing", "induction", "emotions", "fills", "rewrites", "requests")
 
 
 def all_queries() -> dict[str, Query]:
