@@ -235,6 +235,21 @@ register(
         "SELECT input_id, candidate AS refined, round(energy, 6) AS energy FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, step) AS r FROM alls) WHERE r = 1",
     ),
 )
+register(
+    "rewrite_pipeline",
+    lambda spark, sf: rr.rewrite_in_style(scored(spark, sf).withColumn("step", F.col("cand_id"))).select(
+        "input_id", "rewrite", *rounded("energy"), "chosen", "last_step"
+    ),
+    with_ctes(
+        *SCORED,
+        "kept AS (SELECT * FROM (SELECT *, max((copy_ratio < 0.85)::INT) OVER (PARTITION BY input_id) AS any_ok FROM total) WHERE copy_ratio < 0.85 OR any_ok = 0)",
+        "start AS (SELECT input_id, -1::BIGINT AS step, candidate, energy FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, cand_id) AS r FROM kept) WHERE r = 1)",
+        "alls AS (SELECT * FROM start UNION ALL SELECT input_id, cand_id, candidate, energy FROM total)",
+        "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY energy, step) AS r FROM alls) WHERE r = 1)",
+        """SELECT l.input_id, l.candidate AS rewrite, round(l.energy, 6) AS energy, s.candidate AS chosen, l.step AS last_step
+           FROM last l JOIN start s USING (input_id)""",
+    ),
+)
 register(
     "greedy_refine_compat",
     lambda spark, sf: rr.greedy_refine(*refinement(spark, sf), compat=True).select("input_id", "refined", *rounded("energy"), "last_step"),

@@ -223,3 +223,43 @@ def select_rewrite(
     rated = total_energy(scored, weights).withColumn("__copy", F.col("copy_ratio") >= limit)
     first = F.min_by(F.struct(cand, "energy", *keep), F.struct("__copy", F.col("energy").isNull(), "energy", cand))
     return rated.groupBy(key).agg(first.alias("b")).select(key, "b.*")
+
+
+def rewrite_in_style(
+    scored: DataFrame,
+    key: str = "input_id",
+    cand: str = "cand_id",
+    step: str = "step",
+    candidate: str = "candidate",
+    weights: Weights = Weights(),
+    limit: float = NEAR_COPY,
+    steps: int | None = None,
+) -> DataFrame:
+    """Choice and refinement in one call and one aggregation: ``key, rewrite, energy, chosen, last_step``.
+
+    ``scored`` has the five terms. Rows with ``cand`` are candidates: the one of least energy is chosen, near copies
+    only where an input has nothing else. Rows with ``step`` are proposals: the choice gives way to the first one of
+    least energy if that is lower. A row can be both. Rows without an energy count only where no other is there;
+    ``steps`` limits the proposals to those below it, all take part by default.
+    """
+    rated = total_energy(scored, weights)
+    empty = F.col("energy").isNull()
+    is_candidate = F.col(cand).isNotNull()
+    is_proposal = F.col(step).isNotNull() & ~empty
+    if steps is not None:
+        is_proposal = is_proposal & (F.col(step) >= 0) & (F.col(step) < steps)
+    order = F.struct(F.col("copy_ratio") >= limit, empty, F.col("energy"), F.col(cand))
+    chosen = F.min_by(F.struct(F.col(candidate).alias("text"), "energy"), F.when(is_candidate, order)).alias("c")
+    refined = F.min_by(
+        F.struct(F.col(candidate).alias("text"), "energy", F.col(step).cast("bigint").alias("step")), F.when(is_proposal, F.struct("energy", step))
+    ).alias("p")
+    both = rated.groupBy(key).agg(chosen, refined).where("c IS NOT NULL")
+    better = F.col("p").isNotNull() & (F.col("c.energy").isNull() | (F.col("p.energy") < F.col("c.energy")))
+    pick = lambda name: F.when(better, F.col(f"p.{name}")).otherwise(F.col(f"c.{name}"))
+    return both.select(
+        key,
+        pick("text").alias("rewrite"),
+        pick("energy").alias("energy"),
+        F.col("c.text").alias("chosen"),
+        F.when(better, F.col("p.step")).otherwise(-1).cast("bigint").alias("last_step"),
+    )
