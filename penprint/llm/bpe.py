@@ -25,7 +25,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -144,11 +144,15 @@ class WordCoder:
         """Ids of every word; ``words`` are distinct or few. Only unknown ones are encoded, the rest is one lookup."""
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
+        get = self.known.get
+        places = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(places < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys(words[i] for i in unknown))
             self.known_ids = pa.concat_arrays([self.known_ids, self._encoded(pa.array(new, pa.large_string()))])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        return self.known_ids.take(pa.array(np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))))
+            places[unknown] = [get(words[i]) for i in unknown]
+        return self.known_ids.take(pa.array(places))
 
     def _encoded(self, words: pa.Array) -> pa.LargeListArray:
         """Ids of distinct words by the library."""

@@ -136,10 +136,12 @@ def write_tokens(docs: DataFrame, vocabulary: Vocabulary, folder: str) -> DataFr
             for rows, words in chunks_of(batch, coder.words(batch, shared.value.specials)):
                 ids = coder.texts(words)
                 offsets, flat = offsets_of(ids), ids.flatten().to_numpy()
+                flat = np.insert(flat, offsets[1:], END_ID)
+                offsets = (offsets + np.arange(len(offsets))).tolist()
                 for i, doc_id in enumerate(rows.column("doc_id").to_pylist()):
                     if writer is None:
                         writer = Writer(f"{folder}/part-{part:06d}-{len(written):04d}-{uuid.uuid4().hex}.zst")
-                    writer.add(doc_id, np.append(flat[offsets[i] : offsets[i + 1]], END_ID))
+                    writer.add(doc_id, flat[offsets[i] : offsets[i + 1]])
                     if writer.out.size >= FILE_BYTES:
                         finish()
                         writer = None
