@@ -281,9 +281,12 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     placed = buckets.join(centers, "token").where("class <> center").select("token", "center", "class", "members")
     placed = saved(placed, "jaccard-placed")
     tested = saved(placed.select("center", "class").distinct(), "jaccard-tested")
-    pairs = saved(candidates(tested, classes, percent), "jaccard-candidates")
+    # The rest of the classes is alone; only these move on, with their prefixes.
+    met = tested.select("class").union(tested.select("center")).distinct()
+    active = saved(classes.join(met, "class", "left_semi"), "jaccard-active")
+    pairs = saved(candidates(tested, active, percent), "jaccard-candidates")
 
-    places = classes.select("class", "at")
+    places = active.select("class", "at")
     wanted = pairs.select("class").union(pairs.select("center")).distinct()
     sets = saved(sets_of(docs, places.join(wanted, "class"), size), "jaccard-sets")
     center_sets = sets.select(F.col("class").alias("center"), F.col("shingles").alias("center_shingles"))
@@ -294,8 +297,8 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
 
     # All members of a bucket have met its center; what is not connected by that meets in blocks.
     roots = components(links)
-    dealt = deal_blocks(open_members(placed.where("members > 2"), classes, roots))
-    filters = classes.select("class", "n", *PREFIXES)
+    dealt = deal_blocks(open_members(placed.where("members > 2"), active, roots))
+    filters = active.select("class", "n", *PREFIXES)
     block = ["center", "first", "second"]
     rows_of_block = "center bigint, first int, second int, class bigint, comp bigint, side int"
     dealt = dealt.join(filters, "class").groupBy(*block).applyInArrow(_block_members(percent), rows_of_block)
