@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions import text as tx
 from penprint.plans.keys import explode, join_on
+from penprint.session import stored
 
 # Fixed values of the method: least scores of abbreviations, collocations and sentence starters, and the share of
 # periods that an abbreviation is expected to carry.
@@ -34,6 +35,9 @@ CLOSED = f"^[\"'”’»)\\]]*{tx.SPACE}*$"
 MARKS = "[.!?…]+$"
 IS_NUMBER = r"^\p{N}[\p{N}.,]*$"
 INITIAL = r"^\p{L}$"
+# Most pieces are a word and white space: nothing has to be cut off them.
+PLAIN = f"^[{LETTERS}]+{tx.SPACE}*$"
+STOPS = "[.!?…]"
 
 
 def tokens_of(text: Column) -> Column:
@@ -41,19 +45,29 @@ def tokens_of(text: Column) -> Column:
 
     ``mark`` is ``.``, ``…`` or ``!`` where a sentence may end, ``,`` for a period before other punctuation.
     """
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    cut = F.transform(pieces, lambda p: F.struct(p.alias("raw"), F.regexp_extract(p, TAIL, 0).alias("tail")))
+    return _tokens(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)))
+
+
+def _tokens(pieces: Column) -> Column:
+    """The tokens of an array of pieces; the tail is null where a piece is plain."""
+    cut = F.transform(pieces, lambda p: F.struct(p.alias("raw"), F.when(~p.rlike(PLAIN), F.regexp_extract(p, TAIL, 0)).alias("tail")))
     cut = F.transform(
         cut,
-        lambda x: F.struct(x["raw"].alias("raw"), x["tail"].alias("tail"), F.substr(x["raw"], F.lit(1), F.length(x["raw"]) - F.length(x["tail"])).alias("bare")),
+        lambda x: F.struct(
+            x["raw"].alias("raw"),
+            x["tail"].alias("tail"),
+            F.when(x["tail"].isNull(), tx.strip(x["raw"])).otherwise(F.substr(x["raw"], F.lit(1), F.length(x["raw"]) - F.length(x["tail"]))).alias("bare"),
+        ),
     )
     cut = F.transform(
         cut,
         lambda x: F.struct(
             x["raw"].alias("raw"),
-            F.regexp_extract(x["bare"], MARKS, 0).alias("marks"),
+            F.when(x["tail"].isNull(), "").otherwise(F.regexp_extract(x["bare"], MARKS, 0)).alias("marks"),
             x["tail"].rlike(CLOSED).alias("closed"),
-            F.regexp_replace(F.regexp_replace(x["bare"], MARKS, ""), f"^[^{LETTERS}]+|[^{LETTERS}]+$", "").alias("word"),
+            F.when(x["tail"].isNull(), x["bare"])
+            .otherwise(F.regexp_replace(F.regexp_replace(x["bare"], MARKS, ""), f"^[^{LETTERS}]+|[^{LETTERS}]+$", ""))
+            .alias("word"),
         ),
     )
 
@@ -76,20 +90,23 @@ def punkt_counts(df: DataFrame, text: str = "text", by: Sequence[str] = ()) -> D
     """``by, before, context, typ, letter, mark, n``: word types with what stands before them.
 
     ``context`` is ``start`` (first of a text or after ``!``), ``mid``, ``.`` or ``…``; ``before`` is the type
-    before a period or ellipsis, else empty.
+    before a period or ellipsis, else empty. The counts are written once, since learning reads them several times.
     """
-    tokens = df.select(*by, tokens_of(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-
-    def seen(x: Column, i: Column) -> Column:
-        last = F.get("t", i - 1)
-        context = (
-            F.when((i == 0) | (last["mark"] == "!"), "start").when(last["mark"].isin(".", "…"), last["mark"]).otherwise("mid")
-        )
-        before = F.when(last["mark"].isin(".", "…"), last["typ"]).otherwise("")
-        return F.struct(F.coalesce(before, F.lit("")).alias("before"), context.alias("context"), x["typ"].alias("typ"), x["letter"].alias("letter"), x["mark"].alias("mark"))
-
-    rows = explode(tokens, by, F.transform("t", seen), "x")
-    return rows.groupBy(*by, "x.before", "x.context", "x.typ", "x.letter", "x.mark").agg(F.count(F.lit(1)).alias("n"))
+    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"{tx.NON_SPACE}+"), F.lit(0))
+    rows = explode(df.select(*by, pieces.alias("__pieces")), [*by, "__pieces"], "__pieces", "__raw", "__at")
+    # A token follows from its piece alone, so pieces are counted first, each with the one before if that may end a
+    # sentence (null for none before, empty for any other), and every distinct pair is looked at once.
+    last = F.get("__pieces", F.col("__at") - 1)
+    last = F.when(F.col("__at") > 0, F.when(last.rlike(STOPS), last).otherwise(""))
+    pairs = rows.select(*by, last.alias("__last"), "__raw").groupBy(*by, "__last", "__raw").agg(F.count(F.lit(1)).alias("__n"))
+    tokens = pairs.select(*by, "__n", F.col("__last").isNull().alias("__first"), _tokens(F.array(F.coalesce("__last", F.lit("")), "__raw")).alias("t"))
+
+    before, x = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    stop = before["mark"].isin(".", "…")
+    context = F.when(F.col("__first") | (before["mark"] == "!"), "start").when(stop, before["mark"]).otherwise("mid")
+    counted = [F.when(stop, before["typ"]).otherwise("").alias("before"), context.alias("context"), *[x[c].alias(c) for c in ("typ", "letter", "mark")]]
+    rows = tokens.select(*by, *counted, "__n")
+    return stored(rows.groupBy(*by, "before", "context", "typ", "letter", "mark").agg(F.sum("__n").alias("n")), "punkt-counts")
 
 
 def _log_term(count: Column, share: Column) -> Column:
@@ -241,11 +258,12 @@ def punkt_sentences(
 
     places = explode(rows, [*keys, "__text"], F.filter(F.transform("t", place), lambda x: x.isNotNull()), "x").select(*keys, "__text", "x.*")
     open_ends = _no_end(places, words, collocations, by).groupBy(*keys, "__text").agg(F.collect_set("at").alias("__open"))
-    met = join_on(rows, open_ends, [*keys, "__text"], "left")
     last = F.size("t") - 1
     ends = F.filter(F.transform("t", lambda x, i: F.when((i == last) | x["mark"].isin(".", "…", "!"), i)), lambda e: e.isNotNull())
-    ends = F.array_except(ends, F.coalesce("__open", F.array().cast("array<int>")))
-    met = met.select(*keys, F.transform("t", lambda x: x["raw"]).alias("raw"), ends.alias("ends"))
+    # Only what the sentences are cut from moves.
+    slim = rows.select(*keys, "__text", F.col("t.raw").alias("raw"), ends.alias("ends"))
+    met = join_on(slim, open_ends, [*keys, "__text"], "left")
+    met = met.withColumn("ends", F.array_except("ends", F.coalesce("__open", F.array().cast("array<int>")))).drop("__open", "__text")
 
     def sentence(end: Column, i: Column) -> Column:
         start = F.when(i == 0, 0).otherwise(F.get("ends", i - 1) + 1)

@@ -188,3 +188,20 @@ def test_empty_table_and_extra_columns(spark):
     assert pk.punkt_sentences(empty, *pk.punkt_model(counts), ["id"]).collect() == []
     clash = spark.createDataFrame([("One. Two three.", 1)], "text string, id int").withColumns({c: F.lit("q") for c in ("typ", "n", "at", "mark", "t")})
     assert [r.sentence for r in pk.punkt_sentences(clash, *pk.punkt_model(pk.punkt_counts(clash)), ["id"]).orderBy("sent_id").collect()] == ["One.", "Two three."]
+
+
+def test_counts_look_at_every_distinct_piece_once(spark, tmp_path):
+    """Pieces repeat; their counts are kept, and later readers do not split the texts again."""
+    texts = ["Dr. Who came. Dr. Who left! No… yes 3.5 km (approx.) \"end.\" ", "Dr. Who came. ", "", None, " . .. x\t\n!? ab,. c"] * 3
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = pk.punkt_counts(df)
+    wanted: dict = {}
+    for row in df.select(pk.tokens_of(F.coalesce("text", F.lit(""))).alias("t")).collect():
+        for i, x in enumerate(row.t):
+            last = row.t[i - 1] if i else None
+            stop = last is not None and last.mark in (".", "…")
+            context = "start" if last is None or last.mark == "!" else last.mark if stop else "mid"
+            key = (last.typ if stop else "", context, x.typ, x.letter, x.mark)
+            wanted[key] = wanted.get(key, 0) + 1
+    assert {tuple(r[:5]): r.n for r in counts.collect()} == wanted
+    assert counts.inputFiles()
