@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from penprint.functions import text as tx
 from penprint.plans.keys import explode, first_k, join_on
+from penprint.session import stored
 
 SMOOTHING = 1.0
 MOST_LABELS = 1000
@@ -29,25 +30,30 @@ class EmotionModel:
     labels: list[tuple[str, float, float]]
 
 
-def word_rows(df: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """``keys, word, times``: how often every word stands in the text, or texts, of these keys."""
+def word_rows(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """``keep, word``: a row per word of every text. They are counted where they are needed, not per text."""
     words = tx.words(F.coalesce(F.col(text), F.lit("")))
-    return explode(df.select(*keys, text), keys, words, "word").groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("times"))
+    return explode(df.select(*keep, text), keep, words, "word")
 
 
 def label_by_terms(df: DataFrame, lexicon: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
     """``keys, label``: texts whose listed terms all have the same emotion. ``lexicon`` has ``term, emotion``, one row per term."""
     terms = lexicon.where(F.col("emotion").isNotNull()).select(F.col("term").alias("word"), "emotion")
-    hits = join_on(word_rows(df, keys, text), terms, ["word"])
+    words = F.array_distinct(tx.words(F.coalesce(F.col(text), F.lit(""))))
+    hits = join_on(explode(df.select(*keys, text), keys, words, "word"), terms, ["word"])
     found = hits.groupBy(*keys).agg(F.min("emotion").alias("label"), F.max("emotion").alias("other"))
     return found.where(F.col("label") == F.col("other")).drop("other")
 
 
 def label_counts(df: DataFrame, labels: DataFrame, keys: Sequence[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``label, texts, words`` and ``word, label, n`` over the labelled texts; ``labels`` has one row per key."""
-    known = labels.where(F.col("label").isNotNull()).select(*keys, "label")
-    rows = join_on(word_rows(df, keys, text), known, keys)
-    counts = rows.groupBy("word", "label").agg(F.sum("times").alias("n"))
+    """``label, texts, words`` and ``word, label, n`` over the labelled texts; ``labels`` has one row per key.
+
+    Texts meet their labels before they are split, so a word moves as part of a count by label. Labels and counts are
+    written once, since all that is fitted reads them several times.
+    """
+    known = stored(labels.where(F.col("label").isNotNull()).select(*keys, "label"), "emotion-labels")
+    rows = word_rows(join_on(df.select(*keys, text), known, keys), ["label"], text)
+    counts = stored(rows.groupBy("word", "label").agg(F.count(F.lit(1)).alias("n")), "emotion-counts")
     sizes = counts.groupBy("label").agg(F.sum("n").alias("words"))
     return join_on(known.groupBy("label").agg(F.count(F.lit(1)).alias("texts")), sizes, ["label"], "left"), counts
 
@@ -71,9 +77,11 @@ def emotion_probabilities(df: DataFrame, model: EmotionModel, keys: Sequence[str
 
     Texts of equal keys are judged as one; texts without known words get the priors.
     """
-    hits = join_on(word_rows(df, keys, text), model.words, ["word"])
-    label = lambda name: F.sum(F.col("times") * F.coalesce(F.get(F.map_values(F.map_filter("gains", lambda k, _: k == name)), F.lit(0)), F.lit(0.0)))
-    sums = hits.groupBy(*keys).agg(F.sum("times").alias("known"), *[label(name).alias(f"gain{i}") for i, (name, _, _) in enumerate(model.labels)])
+    gain = lambda name: F.coalesce(F.get(F.map_values(F.map_filter("gains", lambda k, _: k == name)), F.lit(0)), F.lit(0.0))
+    gains = [f"gain{i}" for i in range(len(model.labels))]
+    words = model.words.select("word", *[gain(name).alias(g) for g, (name, _, _) in zip(gains, model.labels)])
+    hits = join_on(word_rows(df, keys, text), words, ["word"])
+    sums = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("known"), *[F.sum(g).alias(g) for g in gains])
     rows = join_on(df.select(*keys).distinct(), sums, keys, "left")
 
     def score(i: int, prior: float, unseen: float) -> Column:

@@ -83,3 +83,16 @@ def test_nothing_to_learn_from(spark):
     frame = spark.createDataFrame([], "id int, text string, label string")
     with pytest.raises(ValueError):
         em.fit_emotions(frame, frame, ["id"])
+
+
+def test_words_move_as_counts_only(spark):
+    """No shuffle holds a row per text and word on the way to the counts, and the counts are read from where they were written."""
+    rows = [("a", 1, "joy joy w1"), ("a", 1, "w1 w2"), ("b", None, "w1 fear"), (None, 2, "w3"), ("c", 3, None), ("d", 4, "joy fear")]
+    df = spark.createDataFrame(rows, "author string, seq int, text string")
+    terms = spark.createDataFrame([("joy", "joy"), ("fear", "fear")], "term string, emotion string")
+    labels = em.label_by_terms(df, terms, ["author", "seq"])
+    assert sorted(map(str, labels.collect())) == sorted(["Row(author='a', seq=1, label='joy')", "Row(author='b', seq=None, label='fear')"])
+    sizes, counts = em.label_counts(df, labels, ["author", "seq"])
+    assert counts.inputFiles()
+    assert {(r.word, r.label): r.n for r in counts.collect()} == {("joy", "joy"): 2, ("w1", "joy"): 2, ("w2", "joy"): 1, ("w1", "fear"): 1, ("fear", "fear"): 1}
+    assert {(r.label, r.texts, r.words) for r in sizes.collect()} == {("joy", 1, 5), ("fear", 1, 2)}
