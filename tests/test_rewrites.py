@@ -230,6 +230,22 @@ def test_order_columns_of_any_size(spark):
         assert top(df) == want, name
 
 
+def test_small_orders_are_counted_in_long_integers(spark):
+    from penprint.operators import grams
+
+    kinds = [grams.TRIGRAMS, grams.CHAR_TRIGRAMS]
+    schema = "author string, seq bigint, text string"
+    for seqs, kind in (([0, 2**31 - 1, None], "long"), ([0, 2**31], "decimal"), ([-1, 3], "decimal"), ([None], "long"), ([], "long")):
+        df = spark.createDataFrame([("a", seq, "one two three four") for seq in seqs], schema)
+        counts = grams.gram_counts(df, kinds)
+        assert counts.schema["first"].dataType.typeName() == kind
+        assert grams.vocabulary_with_first(df).schema["first"].dataType.typeName() == kind
+        if None in seqs and len(seqs) > 1:
+            lone = df.where("seq IS NULL")
+            last = grams.vocabulary_with_first(df.where("seq > 0")).agg(F.max("first")).first()[0]
+            assert grams.vocabulary_with_first(df.where("seq > 0").union(lone.withColumn("text", F.lit("new")))).where("term = 'new'").first()["first"] > last
+
+
 def test_candidates_without_energy_lose(spark):
     schema = "input_id int, cand_id int, candidate string, copy_ratio double, energy double"
     rows = [(1, 1, "x", 0.1, None), (1, 2, "y", 0.2, 0.1), (2, 5, "z", 0.3, None)]
