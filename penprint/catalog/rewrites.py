@@ -14,6 +14,7 @@ from penprint.operators import rerank as rr
 from penprint.operators import scaled_fit
 from penprint.operators import vectors as vec
 from penprint.plans.keys import join_on
+from penprint.session import stored
 
 DIMS = 64
 
@@ -217,7 +218,8 @@ register(
 
 
 def refinement(spark, sf):
-    rows = scored(spark, sf)
+    columns = ("input_id", "cand_id", "candidate", "input_text", *rr.TERMS)
+    rows = stored(scored(spark, sf).select(*columns), "scored")
     first = rr.select_rewrite(rows, keep=("candidate", "input_text", "e1", "e2", "e3"))
     starts = first.select("input_id", F.col("input_text").alias("text"), F.col("candidate").alias("current"), "e1", "e2", "e3")
     proposals = rows.select("input_id", F.col("cand_id").alias("step"), F.col("candidate").alias("proposal"), "e1", "e2", "e3")

@@ -163,8 +163,8 @@ def greedy_refine(
     model = weights.e1 * F.col("e1") + weights.e2 * F.col("e2") + weights.e3 * F.col("e3")
     within = proposals if steps is None else proposals.where((F.col("step") >= 0) & (F.col("step") < steps))
 
-    def closeness(a: Column, b: Column) -> Column:
-        return weights.e4 * edit_penalty(a, b) + weights.copy_ratio * copy_ratio(a, b)
+    def closeness(distance: Column, a: Column, b: Column) -> Column:
+        return weights.e4 * penalty_of(distance, b) + weights.copy_ratio * ratio_of(distance, a, b)
 
     if not compat:
         inputs = starts.select(key, "text")
@@ -187,20 +187,28 @@ def greedy_refine(
     gathered = one_per_step.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(F.col("step").cast("bigint").alias("step"), "p.proposal", "p.model"))).alias("__steps")
     )
-    base = starts.select(key, F.col("current"), (model + closeness(F.col("current"), F.col("current"))).alias("__e0"))
+    current = F.col("current")
+    itself = F.when(current.isNotNull(), F.lit(0))
+    base = starts.select(key, current, (model + closeness(itself, current, current)).alias("__e0"))
     both = join_on(base, gathered, [key], "left").withColumn(
         "__steps", F.coalesce("__steps", F.array().cast("array<struct<step:bigint,proposal:string,model:double>>"))
     )
     begin = F.struct(F.col("current").alias("text"), F.col("__e0").alias("energy"), F.lit(-1).cast("bigint").alias("step"))
 
     def fold(state, p):
-        e = p["model"] + closeness(p["proposal"], state["text"])
-        better = e < state["energy"]
-        return F.struct(
-            F.when(better, p["proposal"]).otherwise(state["text"]).alias("text"),
-            F.when(better, e).otherwise(state["energy"]).alias("energy"),
-            F.when(better, p["step"]).otherwise(state["step"]).alias("step"),
-        )
+        # Arrays of one entry hold what is used more than once: lambdas work out every mention anew.
+        distance = F.array(F.levenshtein(p["proposal"], state["text"]))
+        energy = F.transform(distance, lambda d: p["model"] + closeness(d, p["proposal"], state["text"]))
+
+        def step(e: Column) -> Column:
+            better = e < state["energy"]
+            return F.struct(
+                F.when(better, p["proposal"]).otherwise(state["text"]).alias("text"),
+                F.when(better, e).otherwise(state["energy"]).alias("energy"),
+                F.when(better, p["step"]).otherwise(state["step"]).alias("step"),
+            )
+
+        return F.get(F.transform(energy, step), F.lit(0))
 
     return both.select(key, F.aggregate("__steps", begin, fold).alias("r")).select(
         key, F.col("r.text").alias("refined"), F.col("r.energy").alias("energy"), F.col("r.step").alias("last_step")

@@ -295,3 +295,12 @@ def test_fit_survives_a_large_offset(spark):
     df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "features array<double>, target array<double>")
     head = fit.fit_linear_gaussian(df, ridge=0.0).first()
     assert np.allclose(head["weights"], [0.5, -2.0], atol=1e-2) and abs(head["sigma"] - 0.01) < 2e-3
+
+
+def test_moving_text_is_compared_once_a_step(spark):
+    starts = spark.createDataFrame([(1, "abc", "abd", 1.0, 0.0, 0.0), (2, None, None, 1.0, 0.0, 0.0)], "input_id long, text string, current string, e1 double, e2 double, e3 double")
+    proposals = spark.createDataFrame([(1, 0, "abcd", 0.1, 0.0, 0.0), (1, 1, None, 0.0, 0.0, 0.0), (2, 0, "x", 0.0, 0.0, 0.0)], "input_id long, step int, proposal string, e1 double, e2 double, e3 double")
+    refined = rr.greedy_refine(starts, proposals, compat=True)
+    assert refined._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") == 1
+    got = {r.input_id: (r.refined, r.last_step) for r in refined.collect()}
+    assert got == {1: ("abcd", 0), 2: (None, -1)}
