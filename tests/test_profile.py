@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from penprint import style_profile
+from penprint.catalog import all_queries
+from penprint.functions import text as tx
 from penprint.operators import counters as ct
 from penprint.operators import edges as ed
 from penprint.plans import profile as pr
@@ -178,3 +180,28 @@ def test_only_leaves_out_what_no_field_reads(spark):
     for field in [*list(pr.FIELDS)[::10], "formality_score", "top_emotions", "vader_compound"]:
         alone = style_profile(docs, only=[field]).orderBy("author").collect()
         assert [r[field] for r in alone] == [r[field] for r in whole], field
+
+
+@pytest.mark.parametrize("name", ["future_tense_ratio", "passive_voice_ratio", "politeness_score", "profile_cards", "style_profile_original_caps"])
+def test_marked_texts_are_made_once(spark, sf, name):
+    plan = all_queries()[name].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Why would you" not in plan
+
+
+def test_edges_leave_out_what_is_not_read(spark):
+    docs = spark.createDataFrame([("a", 1, "one. two")], "author string, seq long, text string")
+    placed = ed.stored_edges(docs, without=(*ed.GRAMS, "inner"))
+    assert not {*ed.GRAMS, "inner", "word_offset", "char_offset", "inner_offset"} & set(placed.columns)
+    assert {"stop_offset", "text_offset"} <= set(placed.columns)
+
+
+def test_ends_of_texts_equal_a_search_of_the_whole_text(spark):
+    ends = ["was", "was ", "WERE\n", "xwas", "_was", "ébeen", " been\u2028\r\n ", "was.", "being\x0b", "\U0001d400was", "a -", "a - -", "- -", "-", " - ", "- a - ", " -", "", " "]
+    texts = sorted({*ends, *(f"{a} {b}" for a in ends for b in ends), *(f"{a}{b}" for a in ends for b in ends)})
+    docs = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "author string, seq long, text string")
+    t = F.col("text")
+    passive = t.rlike(f"(?i){tx.NOT_AFTER_WORD}({'|'.join(ed.AUXILIARIES)}){tx.SPACE}*$")
+    dashes = [tx.count_of(c, " - ") - tx.count_of(t, " - ") for c in (F.concat(t, F.lit(" ")), F.concat(F.lit(" "), t))]
+    want = {r[0]: tuple(r[1:]) for r in docs.select("seq", passive, *dashes).collect()}
+    edges = ed.text_edges(docs).select("seq", "closing.passive", "closing.dash", F.col("opening.dash"))
+    assert {r[0]: tuple(r[1:]) for r in edges.collect()} == want
