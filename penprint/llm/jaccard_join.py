@@ -9,7 +9,8 @@ several ``ORDERS``, and a pair is a candidate only if its prefixes meet under ev
    gives all links, so a cell shared by accident costs time only.
 2. Classes are entered under each shingle of their first prefix, by bands of size, for linked sets differ little in
    size. In every such bucket all members meet one center, the one that shares the most buckets, so a group of
-   copies costs as many pairs as it has members.
+   copies costs as many pairs as it has members. The first prefix is longer by ``MEETINGS - 1``, so linked sets share
+   ``MEETINGS`` of its shingles, and pairs that chance brings together under fewer go no further.
 3. Of these pairs those of fitting sizes whose prefixes also meet under the other orders are verified.
 4. Members of a bucket that are still in different components meet in blocks of bounded size, first by their prefixes
    under all orders; only members of pairs that pass them all bring their sets. A pair of blocks returns a spanning
@@ -30,7 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penprint.llm.bpe import bounded_batches
@@ -45,6 +47,8 @@ ORDERS = ((20, 0x9E3779B97F4A7C15), (16, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3
 PREFIXES = [f"prefix{j}" for j in range(len(ORDERS))]
 CELLS = sum(1 << bits for bits, _ in ORDERS)
 SIEVE_BITS = 1 << 25
+# So many shingles of the first prefix are shared by linked sets, as far as they share so many at all.
+MEETINGS = 2
 
 
 def _mixed(shingles: np.ndarray, mixer: int) -> np.ndarray:
@@ -98,14 +102,15 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefixes(shingles: np.ndarray, places: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """The first shingles under each order, cut to 32 bits, sorted."""
-    length = prefix_length(len(shingles), percent)
+    """The first shingles under each order, cut to 32 bits, sorted; equal ones stay in the first, which is counted."""
     found = []
     for place, (bits, mixer) in zip(places, ORDERS, strict=True):
+        length = prefix_length(len(shingles), percent)
+        length = length if found else min(len(shingles), length + MEETINGS - 1)
         mixed = _mixed(shingles, mixer)
         order = (place[_cells(mixed, bits)].astype(np.uint64) << np.uint64(64 - bits)) | (mixed & np.uint64((1 << 64 - bits) - 1))
-        first = np.argpartition(order, length - 1)[:length]
-        found.append(np.unique(shingles[first].astype(np.uint32)).view(np.int32))
+        first = shingles[np.argpartition(order, length - 1)[:length]].astype(np.uint32)
+        found.append((np.unique(first) if found else np.sort(first)).view(np.int32))
     return found
 
 
@@ -134,33 +139,68 @@ def _sketches(docs: DataFrame, places: list[np.ndarray], size: int, percent: int
     return rows.mapInArrow(work, f"id {kind}, text_hash bigint, n bigint, class bigint, band int, {lists}")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``class, shingles`` for the wanted classes, from the text of one document of each, and a few more.
+def _spot(*row: str | Column) -> Column:
+    return F.pmod(F.xxhash64(*row), F.lit(SIEVE_BITS))
 
-    No text moves: a table of ``SIEVE_BITS`` bits, the same size for any input, tells tasks which rows to read. Rows
-    that hit a bit by accident add sets that nothing joins.
-    """
-    spot = lambda *row: F.pmod(F.xxhash64(*row), F.lit(SIEVE_BITS))
-    spots = wanted.select(spot("at.id", "at.text_hash").alias("spot"))
+
+def _sieve(spots: DataFrame) -> Broadcast:
+    """A table of ``SIEVE_BITS`` bits, the same size for any input, that tells tasks which rows to take."""
     parts = spots.groupBy(F.shiftright("spot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("spot").bitwiseAND(32767)).alias("bits"))
     sieve = np.zeros((SIEVE_BITS >> 15, 4096), np.uint8)
     for part, bits in parts.collect():
         sieve[part] = np.frombuffer(bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(sieve.ravel())
+    return spots.sparkSession.sparkContext.broadcast(sieve.ravel())
+
+
+def _hits(sieve: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return ((sieve[spots >> 3] >> (spots & 7)) & 1).astype(bool)
+
+
+def sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``class`` is wanted, and a few more that hit a bit by accident. No row moves."""
+    shared = _sieve(wanted.select(_spot("class").alias("spot")))
+
+    @F.arrow_udf("boolean")
+    def hit(spots: pa.Array) -> pa.Array:
+        return pa.array(_hits(shared.value, spots.to_numpy()))
+
+    return rows.where(hit(_spot("class")))
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``class, shingles`` for the wanted classes, from the text of one document of each, and a few more.
+
+    No text moves: a sieve tells tasks which rows to read. Rows that hit a bit by accident add sets that nothing joins.
+    """
+    shared = _sieve(wanted.select(_spot("at.id", "at.text_hash").alias("spot")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = batch.column("spot").to_numpy()
-            hits = np.flatnonzero((shared.value[spots >> 3] >> (spots & 7)) & 1)
+            hits = np.flatnonzero(_hits(shared.value, batch.column("spot").to_numpy()))
             sets = [shingle_set(batch.column("text")[i].as_py(), size) for i in hits.tolist()]
             sets = [s for s in sets if len(s)]
             columns = [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["class", "shingles"])
 
-    rows = docs.select(spot("doc_id", F.xxhash64("text")).alias("spot"), "text")
+    rows = docs.select(_spot("doc_id", F.xxhash64("text")).alias("spot"), "text")
     return rows.mapInArrow(work, "class bigint, shingles array<bigint>").dropDuplicates(["class"])
 
 
+def tested_pairs(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``center, class`` of fitting sizes that share enough shingles of their first prefixes to be linked.
+
+    A shingle is one bucket for sets of neighbouring bands and two for sets of one band. Buckets that a pair shares
+    under another center are not counted here; there both are members, and meet in blocks if still apart.
+    """
+    sizes = classes.select("class", "n", "band")
+    of_center = sizes.select(F.col("class").alias("center"), F.col("n").alias("c_n"), F.col("band").alias("c_band"))
+    met = placed.groupBy("center", "class").agg(F.count(F.lit(1)).alias("met")).join(of_center, "center").join(sizes, "class")
+    larger = F.greatest("n", "c_n")
+    needed = F.least(F.lit(MEETINGS), F.ceil(larger * percent / 100)) * F.when(F.col("band") == F.col("c_band"), 2).otherwise(1)
+    fits = F.least("n", "c_n") * 100 >= larger * percent
+    return met.where(fits & (F.col("met") >= needed)).select("center", "class")
+
+
 def candidates(tested: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs ``center, class`` of fitting sizes whose prefixes meet under every order but the first, which dealt them."""
     others = PREFIXES[1:]
@@ -280,19 +320,19 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     centers = buckets.join(rank, "class").groupBy("token").agg(F.max_by("class", F.struct("rank", "class")).alias("center"))
     placed = buckets.join(centers, "token").where("class <> center").select("token", "center", "class", "members")
     placed = saved(placed, "jaccard-placed")
-    tested = saved(placed.select("center", "class").distinct(), "jaccard-tested")
+    tested = saved(tested_pairs(placed, classes, percent), "jaccard-tested")
     # The rest of the classes is alone; only these move on, with their prefixes.
-    met = tested.select("class").union(tested.select("center")).distinct()
-    active = saved(classes.join(met, "class", "left_semi"), "jaccard-active")
+    met = tested.select("class").union(tested.select("center")).union(placed.where("members > 2").select("class"))
+    active = saved(sifted(classes, met.distinct()), "jaccard-active")
     pairs = saved(candidates(tested, active, percent), "jaccard-candidates")
 
     places = active.select("class", "at")
     wanted = pairs.select("class").union(pairs.select("center")).distinct()
-    sets = saved(sets_of(docs, places.join(wanted, "class"), size), "jaccard-sets")
+    sets = sets_of(docs, places.join(wanted, "class"), size)  # dealt by class once, for members and for centers
     center_sets = sets.select(F.col("class").alias("center"), F.col("shingles").alias("center_shingles"))
     common = F.size(F.array_intersect("shingles", "center_shingles"))
     linked = common * 100 >= (F.size("shingles") + F.size("center_shingles") - common) * percent
-    links = pairs.join(center_sets, "center").join(sets, "class").where(linked)
+    links = pairs.join(sets, "class").join(center_sets, "center").where(linked)
     links = saved(links.select(F.col("class").alias("a"), F.col("center").alias("b")), "jaccard-links")
 
     # All members of a bucket have met its center; what is not connected by that meets in blocks.
@@ -303,8 +343,8 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> tuple[
     rows_of_block = "center bigint, first int, second int, class bigint, comp bigint, side int"
     dealt = dealt.join(filters, "class").groupBy(*block).applyInArrow(_block_members(percent), rows_of_block)
     dealt = saved(dealt, "jaccard-blocks")
-    sets = saved(sets_of(docs, places.join(dealt, "class", "left_semi"), size), "jaccard-block-sets")
-    full = dealt.join(filters, "class").join(sets, "class")
+    sets = sets_of(docs, places.join(dealt, "class", "left_semi"), size)
+    full = dealt.join(sifted(filters, dealt.select("class").distinct()), "class").join(sets, "class")
     more = full.groupBy(*block).applyInArrow(_block_links(percent), "a bigint, b bigint")
     more = saved(more, "jaccard-more")
     links = links.union(more)

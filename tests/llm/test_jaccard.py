@@ -158,5 +158,54 @@ def test_crowded_shingles_come_last(spark):
             assert common.astype(np.uint32).view(np.int32)[0] not in prefix
 
 
+def test_similar_sets_share_several_shingles_of_the_first_prefix():
+    rng = np.random.default_rng(9)
+    places = [rng.permutation(1 << bits).astype(np.uint32) for bits, _ in jj.ORDERS]
+    for percent in (50, 85, 90, 100):
+        for _ in range(300):
+            union = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 200)), dtype=np.uint64))
+            if rng.random() < 0.3:  # shingles that agree in 32 bits are still two
+                union = np.unique(np.concatenate([union, union ^ np.uint64(1 << 50)]))
+            union = rng.permutation(union)
+            shared = -(-percent * len(union) // 100)
+            left = int(rng.integers(0, len(union) - shared + 1))
+            a, b = union[: shared + left], np.concatenate([union[:shared], union[shared + left :]])
+            p, q = (jj.prefixes(np.sort(x), places, percent)[0] for x in (a, b))
+            both = sum(min((p == t).sum(), (q == t).sum()) for t in np.intersect1d(p, q))
+            assert both >= min(jj.MEETINGS, shared)
+
+
+@pytest.mark.parametrize("percent", [50, 90])
+def test_pairs_that_meet_by_one_shingle_go_no_further(spark, percent, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):  # pairs that share three words and no more
+        words = rng.choices(WORDS, k=3)
+        for k in range(2):
+            own = [f"own{i}x{k}x{j}" for j in range(9)]
+            rows.append((len(rows), " ".join(own[:4] + words + own[4:])))
+    rows += [(1000 + i, " ".join(changed(rng, rows[i][1].split(), 1))) for i in range(0, 40, 2)]
+    rows += [(2000 + i, " ".join([*rows[i][1].split(), "more"])) for i in range(0, 40, 2)]
+    mixed = np.random.default_rng(3)  # orders that know nothing of counts, so the shared words stand anywhere
+    places = [mixed.permutation(1 << bits).astype(np.uint32) for bits, _ in jj.ORDERS]
+    monkeypatch.setattr(jj, "crowds", lambda docs, size: places)
+    reached = []
+    candidates = jj.candidates
+    monkeypatch.setattr(jj, "candidates", lambda tested, *rest: reached.append(tested.count()) or candidates(tested, *rest))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in jj.jaccard_join(docs, 3, percent).collect()), key=repr)
+    assert got == plain_join(rows, 3, percent)[0]
+    assert 20 <= reached[0] <= 60
+
+
+def test_sieve_keeps_every_wanted_class(spark):
+    rows = spark.range(-500, 500).select(F.xxhash64("id").alias("class"), F.array("id").alias("list"))
+    wanted = rows.select("class").where("pmod(class, 7) = 0")
+    want = {r["class"] for r in wanted.collect()}
+    got = {r["class"] for r in jj.sifted(rows, wanted).collect()}
+    assert want <= got and len(got) < len(want) + 20
+    assert jj.sifted(rows, wanted.where("false")).count() == 0
+
+
 def test_empty_table(spark, no_docs):
     assert jj.jaccard_join(no_docs).collect() == []
