@@ -27,7 +27,7 @@ def test_stages_on_edge_rows_and_none(spark, sf, edge_docs, no_docs, tmp_path):
 
 
 def test_names():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(SQL) < set(QUERIES) <= set(entry_points.queries()) and "pipeline" in entry_points.queries()
 
 
