@@ -205,3 +205,9 @@ def test_ends_of_texts_equal_a_search_of_the_whole_text(spark):
     want = {r[0]: tuple(r[1:]) for r in docs.select("seq", passive, *dashes).collect()}
     edges = ed.text_edges(docs).select("seq", "closing.passive", "closing.dash", F.col("opening.dash"))
     assert {r[0]: tuple(r[1:]) for r in edges.collect()} == want
+
+
+def test_the_query_shows_every_card(spark, sf):
+    labels = {r["label"]: r["n"] for r in all_queries()["profile_cards"].run(spark, sf).groupBy("label").agg(F.count("value").alias("n")).collect()}
+    assert set(labels) == {"Avg Word Length", "Sentence Length", "Vocabulary Richness", "Formality", "Sentiment", "Reading Level", "Top Words"}
+    assert len(set(labels.values())) == 1
