@@ -12,13 +12,19 @@ broadcasts the model only where it is small.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from penprint.functions import text as tx
-from penprint.plans.keys import explode, join_on
+from penprint.operators import scan as sc
+from penprint.operators.scan import row_groups
+from penprint.plans.keys import join_on
 from penprint.session import stored
 
 # Fixed values of the method: least scores of abbreviations, collocations and sentence starters, and the share of
@@ -86,19 +92,42 @@ def _tokens(pieces: Column) -> Column:
     return F.transform(cut, token)
 
 
+def _pieces(chunk: sc.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Begin and end of the pieces between white space, whether a stop is in them, the distinct ones and their numbers."""
+    inside = chunk.kind != sc.SPACE
+    inside[chunk.ends] = False
+    starts, ends = chunk.runs(inside)
+    stops = np.flatnonzero((chunk.kind == sc.STOP) | (chunk.codes == ord("…")))
+    found = sc.to_strings(chunk.codes[inside], ends - starts).dictionary_encode()
+    return starts, ends, sc.between(stops, starts, ends) > 0, found.dictionary, found.indices.to_numpy().astype(np.int64)
+
+
 def punkt_counts(df: DataFrame, text: str = "text", by: Sequence[str] = ()) -> DataFrame:
     """``by, before, context, typ, letter, mark, n``: word types with what stands before them.
 
     ``context`` is ``start`` (first of a text or after ``!``), ``mid``, ``.`` or ``…``; ``before`` is the type
     before a period or ellipsis, else empty. The counts are written once, since learning reads them several times.
     """
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"{tx.NON_SPACE}+"), F.lit(0))
-    rows = explode(df.select(*by, pieces.alias("__pieces")), [*by, "__pieces"], "__pieces", "__raw", "__at")
     # A token follows from its piece alone, so pieces are counted first, each with the one before if that may end a
     # sentence (null for none before, empty for any other), and every distinct pair is looked at once.
-    last = F.get("__pieces", F.col("__at") - 1)
-    last = F.when(F.col("__at") > 0, F.when(last.rlike(STOPS), last).otherwise(""))
-    pairs = rows.select(*by, last.alias("__last"), "__raw").groupBy(*by, "__last", "__raw").agg(F.count(F.lit(1)).alias("__n"))
+    borders = sc.classes(df.sparkSession)["word"]
+
+    def work(part: pa.RecordBatch, texts: list[str]) -> Iterator[list]:
+        chunk = sc.Chunk(texts, borders)
+        starts, ends, stops, distinct, ids = _pieces(chunk)
+        of = chunk.text_of(starts)
+        group, first = row_groups(part.columns[:-1], len(texts))
+        # The piece before by number, 0 for none, 1 for one that ends nothing.
+        size = max(len(distinct), 1)
+        last = np.where(np.append(False, of[1:] == of[:-1])[: len(of)], np.append(0, np.where(stops, ids + 2, 1)[:-1])[: len(of)], 0)
+        keys, n, _, _ = sc.tally((group[of] * (size + 2) + last) * size + ids, len(first) * (size + 2) * size)
+        last, row = keys // size % (size + 2), first[keys // size // (size + 2)]
+        shown = pa.concat_arrays([pa.array([None, ""], distinct.type), distinct])
+        yield [*(c.take(pa.array(row)) for c in part.columns[:-1]), sc.taken(shown, last), sc.taken(distinct, keys % size), n]
+
+    whole = df.select(*by, F.coalesce(F.col(text), F.lit("")).alias("__whole"))
+    schema = T.StructType([*whole.schema.fields[:-1], T.StructField("__last", T.StringType()), T.StructField("__raw", T.StringType()), T.StructField("__n", T.LongType())])
+    pairs = sc.counted(whole, "__whole", schema, work, sums=["__n"]).groupBy(*by, "__last", "__raw").agg(F.sum("__n").alias("__n"))
     tokens = pairs.select(*by, "__n", F.col("__last").isNull().alias("__first"), _tokens(F.array(F.coalesce("__last", F.lit("")), "__raw")).alias("t"))
 
     before, x = F.get("t", F.lit(0)), F.get("t", F.lit(1))
@@ -249,24 +278,48 @@ def punkt_sentences(
     no abbreviations. Rows of equal keys may hold different texts.
     """
     keys = [*dict.fromkeys([*by, *keys])]
-    rows = df.select(*keys, F.xxhash64(text).alias("__text"), tokens_of(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-
-    def place(x: Column, i: Column) -> Column:
-        after = F.get("t", i + 1)
-        here = F.struct(i.alias("at"), x["typ"].alias("typ"), x["mark"].alias("mark"), after["typ"].alias("after"), after["letter"].alias("letter"))
-        return F.when(x["mark"].isin(".", "…") & (i + 1 < F.size("t")), here)
-
-    places = explode(rows, [*keys, "__text"], F.filter(F.transform("t", place), lambda x: x.isNotNull()), "x").select(*keys, "__text", "x.*")
-    open_ends = _no_end(places, words, collocations, by).groupBy(*keys, "__text").agg(F.collect_set("at").alias("__open"))
-    last = F.size("t") - 1
-    ends = F.filter(F.transform("t", lambda x, i: F.when((i == last) | x["mark"].isin(".", "…", "!"), i)), lambda e: e.isNotNull())
-    # Only what the sentences are cut from moves.
-    slim = rows.select(*keys, "__text", F.col("t.raw").alias("raw"), ends.alias("ends"))
-    met = join_on(slim, open_ends, [*keys, "__text"], "left")
-    met = met.withColumn("ends", F.array_except("ends", F.coalesce("__open", F.array().cast("array<int>")))).drop("__open", "__text")
-
-    def sentence(end: Column, i: Column) -> Column:
-        start = F.when(i == 0, 0).otherwise(F.get("ends", i - 1) + 1)
-        return tx.strip(F.array_join(F.slice("raw", start + 1, end - start + 1), ""))
-
-    return explode(met, keys, F.transform("ends", sentence), "sentence", "sent_id")
+    borders = sc.classes(df.sparkSession)["word"]
+    whole = df.select(*keys, F.xxhash64(text).alias("__text"), F.coalesce(F.col(text), F.lit("")).alias("__whole"))
+    names = [*keys, "__text"]
+
+    # Only pieces with a stop in them can end a sentence; they go with the piece behind.
+    def marked(part: pa.RecordBatch, texts: list[str]) -> Iterator[list]:
+        chunk = sc.Chunk(texts, borders)
+        starts, _, stops, distinct, ids = _pieces(chunk)
+        of, at = chunk.text_of(starts), np.flatnonzero(stops)
+        follows = np.append(of[1:] == of[:-1], False)[: len(of)]
+        after = pa.array(np.append(ids[1:], 0)[: len(ids)][at], mask=~follows[at])
+        place = at - np.searchsorted(starts, chunk.starts)[of[at]]
+        yield [*(c.take(pa.array(of[at])) for c in part.columns[:-1]), place, sc.taken(distinct, ids[at]), distinct.take(after)]
+
+    fields = [T.StructField("at", T.IntegerType()), T.StructField("__raw", T.StringType()), T.StructField("__after", T.StringType())]
+    rows = sc.counted(whole, "__whole", T.StructType([*(whole.schema[n] for n in names), *fields]), marked, sums=[], merge=False)
+    rows = rows.select(*names, "at", F.col("__after").isNotNull().alias("__more"), _tokens(F.array("__raw", F.coalesce("__after", F.lit("")))).alias("t"))
+    here, after = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    rows = rows.select(*names, "at", "__more", here["typ"].alias("typ"), here["mark"].alias("mark"), after["typ"].alias("after"), after["letter"].alias("letter"))
+    rows = stored(rows.where(F.col("mark").isin(".", "…", "!")), "punkt-marks")
+    places = rows.where(F.col("mark").isin(".", "…") & F.col("__more")).drop("__more")
+    open_ends = _no_end(places, words, collocations, by).select(*names, "at").distinct()
+    ends = join_on(rows.select(*names, "at"), open_ends, [*names, "at"], "left_anti").groupBy(*names).agg(F.collect_set("at").alias("ends"))
+    # Texts move only to meet the places where their sentences end.
+    met = join_on(whole, ends, names, "left").drop("__text")
+
+    def cut(part: pa.RecordBatch, texts: list[str]) -> Iterator[list]:
+        chunk = sc.Chunk(texts, borders)
+        starts, ends, *_ = _pieces(chunk)
+        first = np.searchsorted(starts, chunk.starts)
+        till = np.append(first[1:], len(starts))
+        lists = part.column(len(keys) + 1)
+        of = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        # The last piece ends the last sentence.
+        filled = np.flatnonzero(till > first)
+        last = np.unique(np.concatenate([first[of] + lists.flatten().to_numpy(), till[filled] - 1]))
+        of = chunk.text_of(starts[last])
+        fresh = np.append(True, of[1:] != of[:-1])[: len(of)]
+        begin = starts[np.where(fresh, first[of], np.append(0, last[:-1] + 1)[: len(last)])] - chunk.starts[of]
+        end = ends[last] - chunk.starts[of]
+        sentences = [texts[i][b:e] for i, b, e in zip(of.tolist(), begin.tolist(), end.tolist())]
+        yield [*(c.take(pa.array(of)) for c in part.columns[: len(keys)]), np.arange(len(of)) - np.searchsorted(of, of), pa.array(sentences, pa.string())]
+
+    schema = T.StructType([*(whole.schema[k] for k in keys), T.StructField("sent_id", T.IntegerType()), T.StructField("sentence", T.StringType())])
+    return sc.counted(met.select(*keys, "__whole", "ends"), "__whole", schema, cut, sums=[], merge=False)

@@ -205,3 +205,13 @@ def test_counts_look_at_every_distinct_piece_once(spark, tmp_path):
             wanted[key] = wanted.get(key, 0) + 1
     assert {tuple(r[:5]): r.n for r in counts.collect()} == wanted
     assert counts.inputFiles()
+
+
+def test_texts_are_split_without_expressions(spark):
+    df = spark.createDataFrame([(1, "Dr. No came. He left."), (1, "Dr. No came. He left."), (2, None)], "doc_id long, text string")
+    counts = pk.punkt_counts(df)
+    assert counts.agg({"n": "sum"}).first()[0] == 10
+    sents = pk.punkt_sentences(df, *pk.punkt_model(counts), ["doc_id"])
+    plan = sents._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
+    assert sorted(r.sentence for r in sents.collect()).count("He left.") == 2
